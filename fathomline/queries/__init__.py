@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_problems
+from . import catalog_problems, unit_problems
 
-MODULES = [catalog_problems]
+MODULES = [catalog_problems, unit_problems]
 
 
 def queries() -> dict:
