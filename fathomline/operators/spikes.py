@@ -34,7 +34,7 @@ def implausible_positions(samples: Column) -> Column:
                 at, pos = np.nonzero(mask)
                 for r, p in zip(part, np.split(pos.astype(np.int32), np.cumsum(np.bincount(at, minlength=len(part)))[:-1]), strict=True):
                     out[r] = p
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return F.filter(positions(samples), lambda p: F.get(samples, p).isNotNull())
 
