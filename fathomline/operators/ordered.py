@@ -25,3 +25,18 @@ def sharded_lag(df: DataFrame, keys: list[str], shard: Column, order: list[str],
         cond = cond & rows[k].eqNullSafe(F.col(f"_k{i}"))
     out = rows.join(ends, cond, "left").withColumn(into, F.coalesce("_lag", "_carry"))
     return out.drop("_shard", "_val", "_lag", "_s2", "_carry", *[f"_k{i}" for i in range(len(keys))])
+
+
+def sharded_sum(df: DataFrame, keys: list[str], shard: Column, order: list[str], value: str, into: str) -> DataFrame:
+    """Running sum of ``value`` along ``order`` within ``keys``, spread over shards as in ``sharded_lag``."""
+    rows = df.withColumn("_shard", shard)
+    inside = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(value).over(inside))
+    across = Window.partitionBy(*keys).orderBy("_shard")
+    parts = rows.groupBy(*keys, "_shard").agg(F.sum(value).alias("_part"))
+    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_s2"), (F.sum("_part").over(across) - F.col("_part")).alias("_before"))
+    cond = F.col("_shard").eqNullSafe(F.col("_s2"))
+    for i, k in enumerate(keys):
+        cond = cond & rows[k].eqNullSafe(F.col(f"_k{i}"))
+    out = rows.join(parts, cond, "left").withColumn(into, F.col("_sum") + F.coalesce("_before", F.lit(0)))
+    return out.drop("_shard", "_sum", "_s2", "_before", *[f"_k{i}" for i in range(len(keys))])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_problems, drift_problems, spike_problems, stamp_problems, unit_problems
+from . import catalog_problems, drift_problems, reference, spike_problems, stamp_problems, unit_problems
 
-MODULES = [catalog_problems, unit_problems, stamp_problems, drift_problems, spike_problems]
+MODULES = [catalog_problems, unit_problems, stamp_problems, drift_problems, spike_problems, reference]
 
 
 def queries() -> dict:
