@@ -214,14 +214,18 @@ def text_looks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def look_pairs(looks: DataFrame, key: str) -> DataFrame:
-    """(key_a, key_b) of pages of one look and different codes; ``looks`` is read twice, so cut its lineage first.
+    """(key_a, key_b) of pages of one look and different codes; ``looks`` is read more than once, so cut its lineage first.
 
-    Only looks that have several codes are joined: copies of one text never meet.
+    Different texts of a look are paired first, as texts; then each pair of texts
+    gets its pages. Copies of one text never meet, however many there are.
     """
-    mixed = looks.groupBy("look").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).filter("lo <> hi").select("look")
-    rows = looks.join(mixed, "look", "left_semi")
-    a, b = rows.select("look", F.col("code").alias("code_a"), F.col(key).alias(f"{key}_a")), rows.select("look", F.col("code").alias("code_b"), F.col(key).alias(f"{key}_b"))
-    return a.join(b, "look").filter((F.col("code_a") != F.col("code_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))).select(f"{key}_a", f"{key}_b")
+    texts = looks.groupBy("look", "code").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("look").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("look")
+    texts = texts.join(mixed, "look", "left_semi")
+    pairs = texts.select("look", F.col("code").alias("code_1")).join(texts.select("look", F.col("code").alias("code_2")), "look").filter("code_1 < code_2")
+    page = lambda i: looks.select("look", F.col("code").alias(f"code_{i}"), F.col(key).alias(f"k{i}"))
+    out = pairs.join(page(1), ["look", "code_1"]).join(page(2), ["look", "code_2"])
+    return out.filter("k1 is not null and k2 is not null and k1 <> k2").select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"))
 
 
 def look_members(looks: DataFrame, key: str) -> DataFrame:

@@ -20,7 +20,7 @@ def p8_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_packs(spark: SparkSession, sf: str) -> DataFrame:
-    packs = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").select("pack_name", "capacity_tokens").filter("capacity_tokens is not null").collect()]
+    packs = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").select("pack_name", "capacity_tokens").filter("pack_name is not null and capacity_tokens > 0").collect()]
     counts = cut(token_counts(table(spark, sf, "documents"), "doc_id", "text"))
     return packed(counts, "doc_id", packs)
 
