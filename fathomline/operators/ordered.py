@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sharded_lag(df: DataFrame, keys: list[str], shard: Column, order: list[str], values: list[str], into: str = "prev") -> DataFrame:
     """Previous row's ``values`` as a struct column ``into`` (null on a group's first row).
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import charts
+from .ordered import fresh
 
 CELLS = 4_000_000  # values worked on at once
 
@@ -46,7 +47,9 @@ def off_scale(df: DataFrame, group: str, grade: str) -> DataFrame:
     Only two counts per group are shuffled; AQE splits a group that owns a large share of the rows.
     """
     g = F.col(grade)
-    votes = df.filter(g.isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count_if(g.isin(0, 1)).alias("_flags"), F.count_if(g.between(0, 100)).alias("_all"))
-    top = votes.select("_g", F.when(F.col("_flags") * 2 > F.col("_all"), 1).otherwise(100).alias("_top"))
-    joined = df.filter(g.isNotNull()).join(top, df[group].eqNullSafe(F.col("_g")))
-    return joined.filter(~g.between(F.lit(0), F.col("_top"))).drop("_g", "_top")
+    key, top = fresh(df, "group"), fresh(df, "top")
+    graded = df.filter(g.isNotNull())
+    flags, within = F.count_if(g.isin(0, 1)), F.count_if(g.between(0, 100))
+    scales = graded.groupBy(F.col(group).alias(key)).agg(F.when(flags * 2 > within, 1).otherwise(100).alias(top))
+    joined = graded.join(scales, graded[group].eqNullSafe(scales[key]))
+    return joined.filter(~g.between(F.lit(0), F.col(top))).drop(key, top)

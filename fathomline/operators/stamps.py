@@ -77,7 +77,7 @@ def settle(df: DataFrame, record: str, source: Column, chunk: Column, order: Col
         yield frame(recs, cheapest_path(path))
 
     def frame(recs: list, times: list) -> pd.DataFrame:
-        return pd.DataFrame({record: pd.Series([r for r, _ in recs], dtype="int64"), "us": pd.Series(times, dtype=object), "keep": pd.Series([k for _, k in recs], dtype=object)})
+        return pd.DataFrame({record: pd.array([r for r, _ in recs], dtype="Int64"), "us": pd.Series(times, dtype=object), "keep": pd.Series([k for _, k in recs], dtype=object)})
 
     return rows.select("rec", "src", "chunk", "states", "keep").mapInPandas(walk, schema)
 

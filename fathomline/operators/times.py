@@ -15,7 +15,7 @@ def resolve_times(df: DataFrame) -> DataFrame:
     """Adds b_us, e_us (first and last sample), rate, n to catalog rows.
 
     end = begin + (n - 1) / rate. A value that is null, NaN, zero or negative is
-    missing; one missing value follows from the other three. Where it can't be
+    missing; columns of these names are replaced. One missing value follows from the other three. Where it can't be
     found (two are missing, or the rate of a single sample) it stays null.
     """
     b0, e0 = (F.when(F.unix_micros(c) > 0, F.unix_micros(c)) for c in (F.col("begin_time"), F.col("end_time")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import units as U
+from .ordered import fresh
 
 UNIT = StructType([StructField("name", StringType()), StructField("scale", DoubleType()), StructField("offset", DoubleType()), StructField("dims", ArrayType(IntegerType()))])
 
@@ -66,7 +67,8 @@ def canonical_factor(unit: Column, to_strain: Column) -> Column:
 
 
 def with_units(df: DataFrame, unit: Column, to_strain: Column) -> DataFrame:
-    """Adds unit (name as written in plain), canonical_unit and factor."""
-    out = df.withColumn("_u", unit)
-    u = F.col("_u")
-    return out.withColumns({"unit_name": u["name"], "canonical_unit": canonical_unit(u), "factor": canonical_factor(u, to_strain)}).drop("_u")
+    """Adds unit_name (its plain name), canonical_unit and factor; columns of these names are replaced."""
+    name = fresh(df, "unit")
+    out = df.withColumn(name, unit)
+    u = F.col(name)
+    return out.withColumns({"unit_name": u["name"], "canonical_unit": canonical_unit(u), "factor": canonical_factor(u, to_strain)}).drop(name)

@@ -65,7 +65,7 @@ def trace_explode(spark, sf):
     return _long(_traces(spark, sf), F.col("samples"))
 
 
-@query(f"WITH {S_SQL} SELECT channel, it, round(-0.2 + it * 0.01, 6) AS t_sec, 1700000000000000 + it * 10000 AS t_us FROM s")
+@query(f"WITH {S_SQL} SELECT channel, it, round(CAST(-0.2 + it * 0.01 AS DOUBLE), 6) AS t_sec, 1700000000000000 + it * 10000 AS t_us FROM s")
 def time_axes(spark, sf):
     rows = T.to_samples(_traces(spark, sf), ["channel", "dt", "t0_sec", "begin_us"])
     return rows.select("channel", "it", F.round(T.time_axis(F.col("it"), F.col("t0_sec"), F.col("dt")), 6).alias("t_sec"), T.clock_axis(F.col("it"), F.col("begin_us"), F.col("dt")).alias("t_us"))

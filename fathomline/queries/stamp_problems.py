@@ -33,7 +33,7 @@ def _proc(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event(spark: SparkSession, sf: str) -> DataFrame:
     """begin_time and event_time of every event."""
-    rows = _zoned(spark, sf, table(spark, sf, "event_headers"))
+    rows = _zoned(spark, sf, table(spark, sf, "event_headers").select("ev_id", "array_id", "begin_time", "event_time", "time_before", "event_time_index", "dt_s"))
     rows = rows.withColumns({"b": readings(F.col("begin_time"), F.col("tz")), "e": readings(F.col("event_time"), F.col("tz"))})
     lead = F.coalesce("time_before", F.col("event_time_index") * F.col("dt_s")) * 1e6
     states = paired_states(F.col("b"), F.col("e"), lambda b, e: F.when(F.abs(e - b - lead) > 2 * SECOND_US, F.lit(AGAINST)))
