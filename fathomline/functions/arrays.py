@@ -13,9 +13,15 @@ from pyspark.sql.types import ArrayType, DoubleType
 CELLS = 4_000_000  # values worked on at once
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row, also inside lambdas."""
-    return F.transform(F.array(value), body)[0]
+def with_params(x: Column, params: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body(value, index, params)`` over an array, with ``params`` computed once per row.
+
+    A lambda that refers to a column expression computes it anew for every
+    element; here it is repeated by reference beside the values. Lambdas aren't
+    nested either, as Spark can't hand nested ones to an Arrow kernel.
+    """
+    paired = F.zip_with(x, F.array_repeat(params, F.size(x)), lambda v, p: F.struct(v.alias("v"), p.alias("p")))
+    return F.transform(paired, lambda s, i: body(s["v"], i, s["p"]))
 
 
 def by_length(arrays: pd.Series, kernel: Callable[[np.ndarray], np.ndarray]) -> pd.Series:

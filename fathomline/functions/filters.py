@@ -61,12 +61,12 @@ def filtered(x: np.ndarray, f_low: float, f_high: float, order: int, zero_phase:
     return x
 
 
-def bandpass(f_min: float, f_max: float, dt: float, order: int = 14, zero_phase: bool = True):
-    """Column function of array<double>: band f_min to f_max in Hz."""
+def bandpass(f_min: float, f_max: float, dt: float, order: int = 14, zero_phase: bool = True, step: int = 1):
+    """Column function of array<double>: band f_min to f_max in Hz, then every ``step``-th sample."""
     lo, hi = f_min * dt, f_max * dt
     if order < 1 or (lo < LOWEST and hi > HIGHEST):
         raise ValueError("the band has no corner within it, or the order is below 1")
-    return row_kernel(lambda x: filtered(x, lo, hi, order, zero_phase))
+    return row_kernel(lambda x: filtered(x, lo, hi, order, zero_phase)[:, :: max(1, step)])
 
 
 def downsample(factor: int, dt: float, anti_alias: bool = True, order: int = 8, zero_phase: bool = True):

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let, row_kernel
+from .arrays import row_kernel, with_params
 
 
 def doubles(x: Column) -> Column:
@@ -22,15 +22,17 @@ def doubles(x: Column) -> Column:
 
 def detrend(x: Column) -> Column:
     """Less the least-squares line over the sample index; a single sample becomes 0."""
-    middle = (F.size(x) - 1) / 2
+    y, n = doubles(x), F.size(x).cast("double")
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0.0).alias("i"))
+    sums = F.aggregate(y, zero, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["w"] + a["i"] * v).alias("w"), (a["i"] + 1.0).alias("i")))
+    fit = F.struct(sums.alias("t"), n.alias("n"))
 
-    def fitted(s: Column) -> Column:
-        y, mid = s["x"], s["mid"]
-        sums = F.aggregate(F.transform(y, lambda v, i: F.struct(v.alias("v"), (v * (i - mid)).alias("w"))), F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w")), lambda a, e: F.struct((a["v"] + e["v"]).alias("v"), (a["w"] + e["w"]).alias("w")))
-        n = F.size(y)
-        return let(F.struct(y.alias("x"), mid.alias("mid"), (sums["v"] / n).alias("mean"), F.when(n > 1, sums["w"] / (n.cast("double") * (n * n - 1) / 12)).otherwise(0.0).alias("slope")), lambda p: F.transform(p["x"], lambda v, i: v - (p["mean"] + p["slope"] * (i - p["mid"]))))
+    def less(v: Column, i: Column, p: Column) -> Column:
+        n, middle = p["n"], (p["n"] - 1) / 2
+        slope = F.coalesce(F.try_divide(p["t"]["w"] - middle * p["t"]["s"], n * (n * n - 1) / 12), F.lit(0.0))
+        return v - (F.try_divide(p["t"]["s"], n) + slope * (i - middle))
 
-    return let(F.struct(doubles(x).alias("x"), middle.alias("mid")), fitted)
+    return with_params(y, fit, less)
 
 
 def tukey(i: Column, n: Column, alpha: float) -> Column:
@@ -45,24 +47,23 @@ def tukey(i: Column, n: Column, alpha: float) -> Column:
 
 
 def taper(x: Column, alpha: float = 0.4) -> Column:
-    return let(doubles(x), lambda y: F.transform(y, lambda v, i: v * tukey(i, F.size(y), alpha)))
+    return with_params(doubles(x), F.size(x), lambda v, i, n: v * tukey(i, n, alpha))
 
 
 def backward_difference(x: Column, dt: Column) -> Column:
     """(x[i] - x[i-1]) / dt, and 0 for the first sample."""
-    return let(F.struct(doubles(x).alias("x"), dt.alias("dt")), lambda s: F.transform(s["x"], lambda v, i: F.when(i == 0, F.lit(0.0)).otherwise((v - F.get(s["x"], i - 1)) / s["dt"])))
+    y = doubles(x)
+    before = F.concat(F.slice(y, 1, 1), y)
+    return with_params(F.slice(F.zip_with(y, before, lambda v, u: v - u), F.lit(1), F.size(x)), dt, lambda d, _, dt: d / dt)
 
 
 def gradient(x: Column, dt: Column) -> Column:
     """Central difference, one-sided at both ends; null for fewer than two samples."""
-
-    def body(s: Column) -> Column:
-        y, last = s["x"], F.size(s["x"]) - 1
-        ahead, behind = lambda i: F.get(y, F.least(i + 1, last)), lambda i: F.get(y, F.greatest(i - 1, F.lit(0)))
-        width = lambda i: F.when((i == 0) | (i == last), F.lit(1.0)).otherwise(2.0)
-        return F.when(last >= 1, F.transform(y, lambda v, i: (ahead(i) - behind(i)) / (width(i) * s["dt"])))
-
-    return let(F.struct(doubles(x).alias("x"), dt.alias("dt")), body)
+    y, n = doubles(x), F.size(x)
+    behind, ahead = F.concat(F.slice(y, 1, 1), y), F.concat(F.slice(y, 2, 2_147_483_645), F.slice(y, -1, 1))
+    steps = F.slice(F.zip_with(ahead, behind, lambda b, a: b - a), F.lit(1), n)
+    params = F.struct(n.alias("n"), dt.alias("dt"))
+    return F.when(n >= 2, with_params(steps, params, lambda d, i, p: d / (F.when((i == 0) | (i == p["n"] - 1), F.lit(1.0)).otherwise(2.0) * p["dt"])))
 
 
 def integrate(dt: float):
@@ -121,4 +122,5 @@ def window_slice(x: Column, start: Column, stop: Column) -> Column:
 
 def peak_scaled(x: Column) -> Column:
     """Over the channel's peak amplitude (1e-30 at least)."""
-    return let(doubles(x), lambda y: let(F.greatest(F.array_max(F.transform(y, F.abs)), F.lit(1e-30)), lambda p: F.transform(y, lambda v: v / p)))
+    y = doubles(x)
+    return with_params(y, F.greatest(F.array_max(F.transform(y, F.abs)), F.lit(1e-30)), lambda v, _, peak: v / peak)

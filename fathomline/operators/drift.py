@@ -71,7 +71,7 @@ def cell_profiles(df: DataFrame, keys: list[str], row: str, cells: str) -> DataF
     rows = rows.select(*keys, "_name", F.pmod(mixed, F.lit(DRAWN)).alias("_bucket"), rank.alias("_rank"), F.struct(mixed.alias("h"), F.col("_row").alias("row"), plain.alias("val")).alias("_drawn"))
     rows = rows.groupBy(*keys, "_name", "_bucket").agg(F.max("_rank").alias("_rank"), F.min("_drawn").alias("_drawn"))
     cols = rows.groupBy(*keys, "_name").agg(F.max("_rank").alias("_rank"), F.collect_list(F.struct(F.col("_drawn.row").alias("row"), F.col("_drawn.val").alias("val"))).alias("sample"))
-    kind = F.element_at(F.array(F.lit("integer"), F.lit("fractional"), F.lit("text")), F.col("_rank") + 1)
+    kind = F.when(F.col("_rank") == 0, "integer").when(F.col("_rank") == 1, "fractional").when(F.col("_rank") == 2, "text")
     return cols.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_name").alias("name"), kind.alias("type"), "sample"))).alias("profile"))
 
 

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
-
 PHASES = ("P", "S")
 
 
 def peaks(score: Column, threshold: float) -> Column:
     """0-based indices of local maxima at or above a threshold; of a plateau its first sample counts."""
-    lowest = F.lit(float("-inf"))
-
-    def body(s: Column) -> Column:
-        found = F.transform(s, lambda v, i: F.when((v >= threshold) & (v > F.coalesce(F.when(i > 0, F.get(s, i - 1)), lowest)) & (v >= F.coalesce(F.get(s, i + 1), lowest)), i))
-        return F.array_compact(found)
-
-    return let(score, body)
+    lowest = F.array(F.lit(float("-inf")))
+    before = F.concat(lowest, score)
+    after = F.concat(F.slice(score, 2, 2_147_483_645), lowest)
+    sides = F.zip_with(F.slice(before, F.lit(1), F.size(score)), after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    found = F.transform(F.zip_with(score, sides, lambda v, s: (v >= threshold) & (v > s["a"]) & (v >= s["b"])), lambda hit, i: F.when(hit, i))
+    return F.array_compact(found)
 
 
 def pick(df: DataFrame, channel: str, scores: dict[str, Column], threshold: float, fs: Column, begin_us: Column, keep: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,12 @@ from ..functions.series import stride, window_slice
 
 
 def to_samples(traces: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
-    """Long form: (keys, it, x)."""
-    return traces.select(*keys, F.posexplode(samples).alias("it", "x"))
+    """Long form: (keys, it, x).
+
+    The outer form, as Spark otherwise infers a filter on the array's size and
+    pushes it below Arrow kernels, where it would compute them once more.
+    """
+    return traces.select(*keys, F.posexplode_outer(samples).alias("it", "x")).filter("it is not null")
 
 
 def to_traces(samples: DataFrame, keys: list[str]) -> DataFrame:

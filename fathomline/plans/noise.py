@@ -22,8 +22,9 @@ def prepare(traces: DataFrame, keys: list[str], chunk: str, dt: float, band: tup
     if detrended:
         out = out.withColumn("samples", S.detrend(F.col("samples")))
     if band is not None:
-        out = out.withColumn("samples", bandpass(band[0], band[1], dt, order)(S.taper(F.col("samples"), alpha)))
-    out = out.withColumn("samples", S.stride(F.col("samples"), step))
+        out = out.withColumn("samples", bandpass(band[0], band[1], dt, order, step=step)(S.taper(F.col("samples"), alpha)))
+    else:
+        out = out.withColumn("samples", S.stride(F.col("samples"), step))
     if common_mode:
         out = to_traces(subtract_common_mode(to_samples(out, keys), chunk), keys)
     if not normalise:
