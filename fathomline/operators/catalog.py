@@ -144,23 +144,27 @@ def window_chain(segmented: DataFrame, key: str, length_us: int) -> DataFrame:
 
     A window begins at a row's begin, the next one at the first row that begins
     at or after its end; the last one must end by the begin of the segment's
-    last row. Segments of one row have none. One segment is one sequential walk
-    over sorted begins; different segments are different groups.
+    last row. So a window is known once a row at or after its end comes: one walk
+    over the sorted begins with two numbers of state, whatever the segment's
+    length. Segments of one row have no window.
     """
-    import numpy as np
     import pandas as pd
 
     if length_us <= 0:
         raise ValueError("the window length must be positive")
-
-    def walk(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = np.sort(rows["begin_us"].to_numpy())
-        at, found = 0, []
-        while len(b) > 1 and at < len(b) and b[at] + length_us <= b[-1]:
-            found.append(b[at])
-            at = int(np.searchsorted(b, b[at] + length_us, side="left"))
-        begins = np.array(found, np.int64)
-        return pd.DataFrame({key: group[0], "segment_id": group[1], "window_begin": begins, "window_end": begins + length_us})
-
     schema = StructType([StructField(key, segmented.schema[key].dataType), *[StructField(c, LongType()) for c in ("segment_id", "window_begin", "window_end")]])
-    return segmented.select(key, F.col("segment_id").cast("bigint"), "begin_us").groupBy(key, "segment_id").applyInPandas(walk, schema)
+
+    def walk(batches):
+        at, start = None, 0
+        for batch in batches:
+            found = []
+            for k, seg, b in zip(batch[key], batch["segment_id"], batch["begin_us"], strict=True):
+                if (k, seg) != at:
+                    at, start = (k, seg), b
+                elif b >= start + length_us:
+                    found.append((k, seg, start, start + length_us))
+                    start = b
+            yield pd.DataFrame(found, columns=[key, "segment_id", "window_begin", "window_end"])
+
+    rows = segmented.select(key, F.col("segment_id").cast("bigint"), "begin_us").filter(F.col("begin_us").isNotNull())
+    return rows.repartition(key, "segment_id").sortWithinPartitions(key, "segment_id", "begin_us").mapInPandas(walk, schema)
