@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .encoding import corpus_tokens, token_counts, token_ids
-from .lookalike import look_members, look_pairs, text_forms, text_looks
+from .lookalike import SAME_LETTERS, SAME_MARKS, look_members, look_pairs, text_forms, text_looks
 from .packing import packed
 
 
@@ -50,7 +52,34 @@ def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens, p9_packs, p9_fill, p10_found, p10_forms, p10_classes)}
-SQL: dict[str, str] = {}
+
+
+def _look_sql() -> str:
+    """The look by the database's own composition: invisible characters out, letters and marks to one of each kind, ligatures spelled out."""
+    alike = {c: g[0] for g in (*SAME_LETTERS, *SAME_MARKS) for c in g[1:]} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"\u3000": " "}
+    alike = {c: alike.get(t, t) for c, t in alike.items()}
+    text = "regexp_replace(text, '[\\p{Cf}]', '', 'g')"
+    spelled = [("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")]
+    for c in map(chr, (*range(0x0370, 0x0530), *range(0x1F00, 0x2000))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0] in alike:
+            plain = unicodedata.normalize("NFC", alike[parts[0]] + parts[1:])
+            if len(plain) == 1:
+                alike[c] = plain
+            else:
+                spelled.append((c, plain))
+    for c, plain in spelled:
+        text = f"replace({text}, '{c}', '{plain}')"
+    source, target = "".join(alike), "".join(alike.values())
+    return f"nfc_normalize(translate({text}, '{source.replace(chr(39), chr(39) * 2)}', '{target.replace(chr(39), chr(39) * 2)}'))"
+
+
+SQL: dict[str, str] = {
+    "p10_found": f"""WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL)
+      SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p10_classes": f"""WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL),
+      per AS (SELECT look, min(doc_id) AS class_id, count(*) AS n_pages, count(DISTINCT text) AS n_texts FROM looks GROUP BY look) SELECT doc_id, class_id, n_pages, n_texts FROM looks JOIN per USING (look)""",
+}
 
 
 def queries() -> dict:
