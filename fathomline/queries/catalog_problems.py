@@ -35,7 +35,7 @@ def p1_periods(spark: SparkSession, sf: str) -> DataFrame:
 def p4_grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = _catalog(spark, sf)
     grid = counter_grid(rows, _gaps(rows), "run_id", canonical_path(F.col("file")), F.col("b_us"), F.col("rate"), F.col("first_sample"), F.col("n"))
-    return grid.select("run_id", F.col("cell_no").alias("minute_no"), F.round("samples", 3).alias("samples"), F.round("lost", 3).alias("lost"), "uncovered_us", "status")
+    return grid.select("run_id", F.col("cell_no").alias("minute_no"), F.round("samples", 6).alias("samples"), F.round("lost", 6).alias("lost"), "uncovered_us", "status")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,4 +108,15 @@ SQL = {
       SELECT run_id, unnest(range(lo, hi + 1)) AS minute_no FROM spans
       UNION ALL SELECT run_id, gap_from_us // 60000000 FROM gaps WHERE FALSE""",
     "p7_found": f"WITH {P7} SELECT first_row_id FROM files WHERE samples < 2000",
+    "p4_grid": f"""WITH {GAPS}, {PATHS},
+      ch AS (SELECT run_id, file, coalesce(first_sample, 0) AS c0, b_us AS b, max({{'n': n, 'r': rate}}) AS m FROM (SELECT * FROM named UNION ALL BY NAME SELECT * FROM resolved WHERE file IS NULL) WHERE run_id IS NOT NULL AND b_us IS NOT NULL AND rate > 0 AND n > 0 GROUP BY ALL),
+      st AS (SELECT run_id, file, c0, b, m.n AS n, b + CAST(round_even(m.n * (1e6 / m.r), 0) AS BIGINT) AS t1, b + CAST(round_even((m.n - 1) * (1e6 / m.r), 0) AS BIGINT) AS last FROM ch),
+      pv AS (SELECT *, lag(t1) OVER w AS pt, c0 - lag(c0 + n) OVER w AS jump FROM st WINDOW w AS (PARTITION BY run_id, file ORDER BY b, c0)),
+      parts AS (SELECT run_id, b AS t0, t1, last, CAST(n AS DOUBLE) AS inc, 1 AS seen FROM pv UNION ALL SELECT run_id, pt, b, b - 1, CAST(jump AS DOUBLE), 0 FROM pv WHERE jump > 0 AND b > pt),
+      cells AS (SELECT *, unnest(range(t0 // 60000000, last // 60000000 + 1)) AS m FROM parts),
+      shares AS (SELECT run_id, m, inc * (CASE WHEN m = last // 60000000 THEN t1 ELSE (m + 1) * 60000000 END - greatest(t0, m * 60000000)) / (t1 - t0) AS share, seen, 0 AS u FROM cells),
+      holes AS (SELECT *, unnest(range(gap_from_us // 60000000, (gap_to_us - 1) // 60000000 + 1)) AS m FROM gaps),
+      every AS (SELECT run_id, m, CASE WHEN seen = 1 THEN share ELSE 0 END AS s, CASE WHEN seen = 1 THEN 0 ELSE share END AS l, seen, u FROM shares
+        UNION ALL SELECT run_id, m, 0, 0, 0, least(gap_to_us, (m + 1) * 60000000) - greatest(gap_from_us, m * 60000000) FROM holes)
+      SELECT run_id, m AS minute_no, round(sum(s), 6) AS samples, round(sum(l), 6) AS lost, CAST(sum(u) AS BIGINT) AS uncovered_us, CASE WHEN max(seen) = 0 THEN 'empty' WHEN sum(u) > 0 THEN 'partial' ELSE 'full' END AS status FROM every GROUP BY run_id, m""",
 }

@@ -43,4 +43,29 @@ def p5_sheets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_headers, p5_sheets)}
-SQL: dict[str, str] = {}
+# the same by a list of which names belong together, as the files of this project use them
+FAMILIES = {
+    "nCh": ["nCh", "NumChannels", "nChannels", "n_channels", "nx"], "nt": ["nt", "nSamples"], "fs": ["fs", "Fs", "sampling_rate"], "dCh": ["dCh", "dx", "dx_m", "ChannelSpacing"], "startTime": ["startTime", "StartTime", "begTime", "begin_time"],
+    "endTime": ["endTime", "EndTime", "end_time", "stopTime"], "GaugeLength": ["GaugeLength", "GaugeLen", "gauge_length_m"], "index_raw": ["index_raw", "index", "ichan_before_taptest"], "index_taptest": ["index_taptest", "ichan_after_taptest", "taptest_channel_index"],
+    "lat": ["lat", "latitude"], "lon": ["lon", "longitude"], "ele": ["ele", "elevation"], "azi": ["azi", "azimuth"], "dip": ["dip", "dipping angle"], "taptest": ["taptest", "status"],
+}
+KNOWN = ", ".join(f"('{n}', '{f}')" for f, ns in FAMILIES.items() for n in ns)
+
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH known(name, fam) AS (VALUES {KNOWN}),
+      pf AS (SELECT run_id, file_no AS no, arg_min(file, hdr_id) AS file, arg_min(attrs, hdr_id) AS a FROM proc_headers WHERE run_id IS NOT NULL AND file_no IS NOT NULL GROUP BY ALL),
+      pa AS (SELECT run_id, no, unnest(json_keys(a)) AS k, a FROM pf),
+      pt AS (SELECT 'proc' AS src, run_id, no, k, json_type(a, '$."' || k || '"') AS jt FROM pa),
+      sc AS (SELECT run_id, sheet_no AS no, sheet_file AS file, unnest(map_keys(cells)) AS k, trim(unnest(map_values(cells))) AS v FROM sheet_rows WHERE run_id IS NOT NULL AND sheet_no IS NOT NULL),
+      st AS (SELECT 'sheet' AS src, run_id, no, k, max(CASE WHEN v = '' OR v IS NULL THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 1 WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 2 ELSE 3 END) AS rk FROM sc GROUP BY ALL),
+      cols AS (SELECT src, run_id, no, k, CASE WHEN jt IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN jt = 'DOUBLE' THEN 'fractional' WHEN jt = 'VARCHAR' THEN 'text' WHEN jt = 'ARRAY' THEN 'list' END AS kind FROM pt
+        UNION ALL SELECT src, run_id, no, k, CASE rk WHEN 1 THEN 'integer' WHEN 2 THEN 'fractional' WHEN 3 THEN 'text' END FROM st),
+      fam AS (SELECT cols.*, coalesce(known.fam, k) AS fam FROM cols LEFT JOIN known ON known.name = k),
+      files AS (SELECT 'proc' AS src, run_id, no, file FROM pf UNION ALL SELECT DISTINCT 'sheet', run_id, no, file FROM sc),
+      steps AS (SELECT *, lag(no) OVER (PARTITION BY src, run_id ORDER BY no) AS was FROM files),
+      now AS (SELECT s.src, s.run_id, s.no, s.file, f.fam, f.k, f.kind FROM steps s JOIN fam f ON f.src = s.src AND f.run_id = s.run_id AND f.no = s.no WHERE was IS NOT NULL),
+      old AS (SELECT s.src, s.run_id, s.no, s.file, f.fam, f.k, f.kind FROM steps s JOIN fam f ON f.src = s.src AND f.run_id = s.run_id AND f.no = s.was),
+      both_sides AS (SELECT coalesce(now.src, old.src) AS src, coalesce(now.file, old.file) AS file, old.k AS o, now.k AS n, old.kind AS ok, now.kind AS nk FROM now FULL JOIN old ON now.src = old.src AND now.run_id = old.run_id AND now.no = old.no AND now.fam = old.fam)
+      SELECT src, file, 'added' AS change_kind, '' AS old_name, n AS new_name FROM both_sides WHERE o IS NULL UNION ALL SELECT src, file, 'removed', o, '' FROM both_sides WHERE n IS NULL
+      UNION ALL SELECT src, file, 'renamed', o, n FROM both_sides WHERE o <> n UNION ALL SELECT src, file, 'retyped', o, n FROM both_sides WHERE ok <> nk""",
+}
