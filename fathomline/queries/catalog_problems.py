@@ -82,7 +82,7 @@ resolved AS (
     coalesce(e0, b0 + CAST(round_even((n - 1) * 1e6 / rate, 0) AS BIGINT)) AS e_us FROM counted)"""
 
 GAPS = f"""{RESOLVED},
-iv AS (SELECT run_id, b_us AS b, e_us AS e, coalesce(2.5e6 / rate, 0.0) AS tol FROM resolved WHERE run_id IS NOT NULL AND b_us IS NOT NULL AND e_us >= b_us),
+iv AS (SELECT DISTINCT run_id, b_us AS b, e_us AS e, coalesce(2.5e6 / rate, 0.0) AS tol FROM resolved WHERE run_id IS NOT NULL AND b_us IS NOT NULL AND e_us >= b_us),
 run AS (SELECT *, max({{'e': e, 'tol': tol}}) OVER (PARTITION BY run_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM iv),
 gaps AS (SELECT run_id, p.e AS gap_from_us, b AS gap_to_us FROM run WHERE b - p.e > p.tol)"""
 

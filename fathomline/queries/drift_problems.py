@@ -55,7 +55,7 @@ SQL: dict[str, str] = {
     "p5_found": f"""WITH known(name, fam) AS (VALUES {KNOWN}),
       pf AS (SELECT run_id, file_no AS no, arg_min(file, hdr_id) AS file, arg_min(attrs, hdr_id) AS a FROM proc_headers WHERE run_id IS NOT NULL AND file_no IS NOT NULL GROUP BY ALL),
       pa AS (SELECT run_id, no, unnest(json_keys(a)) AS k, a FROM pf),
-      pt AS (SELECT 'proc' AS src, run_id, no, k, json_type(a, '$."' || k || '"') AS jt FROM pa),
+      pt AS (SELECT 'proc' AS src, run_id, no, k, CASE WHEN trim(a ->> ('$."' || k || '"')) <> '' THEN json_type(a, '$."' || k || '"') END AS jt FROM pa),
       sc AS (SELECT run_id, sheet_no AS no, sheet_file AS file, unnest(map_keys(cells)) AS k, trim(unnest(map_values(cells))) AS v FROM sheet_rows WHERE run_id IS NOT NULL AND sheet_no IS NOT NULL),
       st AS (SELECT 'sheet' AS src, run_id, no, k, max(CASE WHEN v = '' OR v IS NULL THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 1 WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 2 ELSE 3 END) AS rk FROM sc GROUP BY ALL),
       cols AS (SELECT src, run_id, no, k, CASE WHEN jt IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN jt = 'DOUBLE' THEN 'fractional' WHEN jt = 'VARCHAR' THEN 'text' WHEN jt = 'ARRAY' THEN 'list' END AS kind FROM pt
