@@ -1,15 +1,30 @@
-"""Session helpers: table access, checkpoint folder, row-count-free lineage cuts."""
+"""Session helpers: code on the executors, table access, checkpoint folder, lineage cuts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per Spark context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fathomline_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="fathomline-code-")) / "fathomline.zip"
+    with zipfile.PyZipFile(str(path), "w") as z:
+        z.writepy(str(Path(__file__).resolve().parent))
+    sc.addPyFile(str(path))
+    sc._fathomline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
