@@ -6,11 +6,13 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .functions.scalars import iso_timestamp, parse_iso
 from .operators import catalog as C
 from .plans.desample import pending
 from .plans.events import extract_plan, extract_status, status_counts
+from .session import cut
 from .sources.segy import read_segy, segy_catalog
 from .sources.tables import read_catalog, write_catalog
 
@@ -22,6 +24,21 @@ def build_catalog(spark: SparkSession, folder: str, path: str, system: str) -> i
     return read_catalog(spark, path).count()
 
 
+def load_or_build(spark: SparkSession, folder: str, path: str, system: str, overwrite: bool = False) -> DataFrame:
+    """The catalog at ``path``, brought up to date with the folder's files; built where it can't be read."""
+    try:
+        known = read_catalog(spark, path) if not overwrite else None
+    except AnalysisException:
+        known = None
+    if known is None or known.isEmpty():
+        build_catalog(spark, folder, path, system)
+        return read_catalog(spark, path)
+    fresh = C.with_columns(segy_catalog(C.unknown_files(read_segy(spark, folder), known)))
+    rows = C.append(known, fresh, ["file", "first_sample"], ["begin_us"])
+    write_catalog(cut(rows), path)  # cut first: the rows are read from what is overwritten
+    return read_catalog(spark, path)
+
+
 def list_windows(spark: SparkSession, path: str, length_us: int, since: str | None, until: str | None, system: str, done: str | None) -> DataFrame:
     """Windows still to process, those of [since, until) if both are given."""
     if (since is None) != (until is None):
@@ -51,6 +68,7 @@ def main(args: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="job", required=True)
     c = sub.add_parser("catalog")
     c.add_argument("--from", dest="folder", required=True)
+    c.add_argument("--overwrite", action="store_true")
     w = sub.add_parser("windows")
     w.add_argument("--seconds", type=float, default=60)
     w.add_argument("--since")
@@ -67,7 +85,7 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if a.job == "catalog":
-        print(build_catalog(spark, a.folder, a.catalog, a.system), "files")
+        print(load_or_build(spark, a.folder, a.catalog, a.system, a.overwrite).count(), "files")
     elif a.job == "windows":
         rows = list_windows(spark, a.catalog, int(a.seconds * 1e6), a.since, a.until, a.system, a.done).orderBy("begin")
         (rows if a.all else rows.limit(1)).show(1000, False)

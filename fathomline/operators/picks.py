@@ -38,3 +38,27 @@ def pick_counts(picks: DataFrame) -> DataFrame:
 def pick_seconds(index: Column, fs: Column, t0: Column) -> Column:
     """Where a pick is drawn: seconds from the trace's own origin."""
     return t0 + index / fs
+
+
+def scored(df: DataFrame, channel: str, samples: str, keys: list[str], scorer, phases: tuple[str, ...] = PHASES) -> DataFrame:
+    """Per-sample scores of a model: (keys, channel, <phase>: array<double>, ...).
+
+    ``scorer`` maps a chunk's (channels, samples) matrix to (phases, channels,
+    samples). A chunk of (keys) is what a model sees at once, so it goes to one
+    task; its channels are bounded by the instrument.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    schema = StructType([*[StructField(k, df.schema[k].dataType) for k in keys], StructField(channel, df.schema[channel].dataType), *[StructField(p, ArrayType(DoubleType())) for p in phases]])
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows[samples].notna()].sort_values(channel)
+        if not len(rows):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema})
+        scores = np.asarray(scorer(np.stack(rows[samples].to_list()).astype(np.float32)), float)
+        out = {k: group[i] for i, k in enumerate(keys)} | {channel: rows[channel].to_numpy()} | {p: list(scores[i]) for i, p in enumerate(phases)}
+        return pd.DataFrame(out)
+
+    return df.select(*keys, channel, samples).groupBy(*keys).applyInPandas(run, schema)

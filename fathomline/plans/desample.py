@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.arrays import row_kernel
 from ..functions.filters import filtered
@@ -41,3 +42,33 @@ def pending(windows: DataFrame, done: DataFrame, system: Column, dated: bool = F
     """Windows whose processed file isn't there yet; named by the window's own begin."""
     named = windows.withColumn("file", processed_name(system, F.col("window_begin"), dated))
     return named.join(done.select("file"), "file", "left_anti")
+
+
+def desample_windows(rows: DataFrame, windows: DataFrame, key: str, fs: float, f_max: float = 0.4, order: int = 14, wrapped: bool = False) -> DataFrame:
+    """Processed channels of each window: (key, segment_id, window_begin, channel, begin_us, fs_out, samples).
+
+    ``rows`` are a catalog's segmented rows with their channels' samples: (key,
+    segment_id, file, begin_us, end_us, channel, samples). A window takes the
+    rows that meet it and one more of the segment on each side, so that the
+    filter's edges fall on padding; a channel's rows are put together, filtered,
+    decimated and cut to the target rows. One shuffle, over (window, channel).
+    """
+    ratio = ratio_for(fs, f_max)
+    dt_out = F.lit(ratio * 1e6 / fs)
+    parts = rows.join(windows, [key, "segment_id"])
+    w = Window.partitionBy(key, "segment_id", "window_begin", "channel").orderBy("begin_us")
+    hit = (F.col("begin_us") < F.col("window_end")) & (F.col("end_us") > F.col("window_begin"))
+    parts = parts.withColumn("_hit", hit).withColumns({"_next": F.lead("_hit").over(w), "_prev": F.lag("_hit").over(w)})
+    parts = parts.withColumn("_role", F.when(F.col("_hit"), 1).when(F.col("_next"), 0).when(F.col("_prev"), 2)).filter("_role is not null")
+    whole = parts.groupBy(key, "segment_id", "window_begin", "channel").agg(
+        F.array_sort(F.collect_list(F.struct("begin_us", "samples"))).alias("_rows"),
+        F.min(F.when(F.col("_role") == 1, F.col("begin_us"))).alias("_target"),
+        F.min(F.when(F.col("_role") == 2, F.col("begin_us"))).alias("_after"),
+        F.max(F.when(F.col("_role") == 0, F.lit(True))).alias("_padded"),
+    )
+    joined = F.flatten(F.transform("_rows", lambda r: F.transform(r["samples"], lambda v: v.cast("double"))))
+    out = whole.select(key, "segment_id", "window_begin", "channel", F.col("_rows")[0]["begin_us"].alias("_first"), "_target", "_after", "_padded", joined.alias("_x"))
+    out = out.withColumn("_y", desample(F.col("_x"), fs, f_max, order, wrapped))
+    left, right = trim_bounds(F.size("_y"), F.col("_first"), dt_out, F.when(F.col("_padded"), F.col("_target")), F.col("_after"))
+    out = out.withColumns({"_l": left, "_r": right})
+    return out.select(key, "segment_id", "window_begin", "channel", (F.col("_first") + F.rint(F.col("_l") * dt_out)).cast("bigint").alias("begin_us"), F.lit(fs / ratio).alias("fs_out"), F.slice("_y", F.col("_l") + 1, F.greatest(F.col("_r") - F.col("_l"), F.lit(0))).alias("samples"))

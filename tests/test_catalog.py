@@ -142,3 +142,32 @@ def test_desample_trim_and_pending(spark):
     done = spark.createDataFrame([("ProcX-2023-11-14T221320Z.h5",)], "file string")
     assert [r.file for r in D.pending(windows, done, F.lit("X")).collect()] == ["ProcX-2023-11-14T221420Z.h5"]
     assert D.ratio_for(100, 0.4) == 100 and D.ratio_for(100, 0) == 1
+
+
+def test_desampled_windows_join_without_seams(spark):
+    import numpy as np
+
+    fs, n = 100.0, 400
+    t = np.arange(6 * n) / fs
+    x = np.sin(2 * np.pi * 0.5 * t)
+    rows = [("k", f"f{i}", round(i * n / fs * 1e6), round((i * n + n - 1) / fs * 1e6), fs, n, 1, 0, 0, [float(v) for v in x[i * n : (i + 1) * n]]) for i in range(6)]
+    df = C.segments(spark.createDataFrame(rows, SCHEMA + ", channel int, samples array<double>"), "key")
+    windows = C.window_chain(df, "key", 4_000_000)
+    assert windows.count() == 5
+    out = D.desample_windows(df, windows, "key", fs, f_max=4.0, order=8).orderBy("window_begin").collect()
+    assert [len(r.samples) for r in out] == [40] * 5 and all(r.fs_out == 10.0 for r in out)
+    assert [r.begin_us for r in out] == [r.window_begin for r in out]
+    y = np.concatenate([r.samples for r in out])
+    assert np.abs(y - x[: 5 * n : 10])[5:].max() < 0.02
+
+
+def test_model_scores_become_picks(spark):
+    import numpy as np
+
+    from fathomline.operators import picks as P
+
+    df = spark.createDataFrame([("c", ch, [0.0, 0.1 * ch, 1.0, 0.0]) for ch in range(3)] + [("d", 0, None)], "chunk string, channel int, samples array<double>")
+    out = P.scored(df, "channel", "samples", ["chunk"], lambda m: np.stack([m, 1 - m]))
+    assert out.count() == 3
+    picks = P.pick(out, "channel", {"P": F.col("P")}, 0.5, F.lit(100.0), F.lit(0), ["chunk"])
+    assert sorted((r.chunk, r.channel_index, r.phase_index) for r in picks.collect()) == [("c", i, 2) for i in range(3)]
