@@ -4,9 +4,11 @@
     factor  := number | symbol [ "^"? exponent ]
     number  := decimal [ ("e" | "x10^" | "^") exponent ]
 
-A unit is (scale, offset, exponents) over the dimensions metre, second, radian
-and count; strain is metre per metre, so it has no exponent at all. Text around
-a unit is searched clause by clause for the one the text states.
+A unit is (scale, offset, exponents) over the dimensions metre, second, radian,
+count and kelvin; strain is metre per metre, so it has no exponent at all. A
+value is scale times the written one plus the offset, which only a temperature
+by itself has. Text around a unit is searched clause by clause for the one the
+text states.
 
 Defined results: null, blank and placeholder units ('-', 'n/a', 'unknown', ...)
 count as not stated; a text that states no unit gives null; text of any length
@@ -23,30 +25,34 @@ from typing import NamedTuple
 class Unit(NamedTuple):
     scale: float
     offset: float
-    dims: tuple[int, int, int, int]  # metre, second, radian, count
+    dims: tuple[int, int, int, int, int]  # metre, second, radian, count, kelvin
 
 
 # fixed values: prefixes, symbols and words of units
 PREFIXES = {"nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "kilo": 1e3, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "k": 1e3}
 BASES = {
-    "strain": (1.0, (0, 0, 0, 0)), "ε": (1.0, (0, 0, 0, 0)),
-    "m": (1.0, (1, 0, 0, 0)), "metre": (1.0, (1, 0, 0, 0)), "meter": (1.0, (1, 0, 0, 0)),
-    "s": (1.0, (0, 1, 0, 0)), "sec": (1.0, (0, 1, 0, 0)), "second": (1.0, (0, 1, 0, 0)),
-    "rad": (1.0, (0, 0, 1, 0)), "radian": (1.0, (0, 0, 1, 0)),
-    "count": (1.0, (0, 0, 0, 1)), "cts": (1.0, (0, 0, 0, 1)), "ct": (1.0, (0, 0, 0, 1)),
-    "ft": (0.3048, (1, 0, 0, 0)), "foot": (0.3048, (1, 0, 0, 0)), "feet": (0.3048, (1, 0, 0, 0)),
-    "in": (0.0254, (1, 0, 0, 0)), "inch": (0.0254, (1, 0, 0, 0)),
+    "strain": (1.0, (0, 0, 0, 0, 0)), "ε": (1.0, (0, 0, 0, 0, 0)),
+    "m": (1.0, (1, 0, 0, 0, 0)), "metre": (1.0, (1, 0, 0, 0, 0)), "meter": (1.0, (1, 0, 0, 0, 0)),
+    "s": (1.0, (0, 1, 0, 0, 0)), "sec": (1.0, (0, 1, 0, 0, 0)), "second": (1.0, (0, 1, 0, 0, 0)),
+    "rad": (1.0, (0, 0, 1, 0, 0)), "radian": (1.0, (0, 0, 1, 0, 0)),
+    "count": (1.0, (0, 0, 0, 1, 0)), "cts": (1.0, (0, 0, 0, 1, 0)), "ct": (1.0, (0, 0, 0, 1, 0)),
+    "ft": (0.3048, (1, 0, 0, 0, 0)), "foot": (0.3048, (1, 0, 0, 0, 0)), "feet": (0.3048, (1, 0, 0, 0, 0)),
+    "in": (0.0254, (1, 0, 0, 0, 0)), "inch": (0.0254, (1, 0, 0, 0, 0)),
 }
+TEMPERATURES = {"kelvin": (1.0, 0.0), "°c": (1.0, 273.15), "degc": (1.0, 273.15), "celsius": (1.0, 273.15), "°f": (5 / 9, 273.15 - 32 * 5 / 9), "degf": (5 / 9, 273.15 - 32 * 5 / 9), "fahrenheit": (5 / 9, 273.15 - 32 * 5 / 9)}
+LENGTH, TEMPERATURE = (1, 0, 0, 0, 0), (0, 0, 0, 0, 1)
 PREFIXED = {"strain", "ε", "m", "metre", "meter", "s", "sec", "second", "rad", "radian"}
 PLACEHOLDERS = {"", "-", "--", "n/a", "na", "none", "null", "nan", "unknown", "unk", "?", "unit", "units"}
 LABELS = {"raw", "phase", "unit", "units", "amplitude", "gl", "gauge", "length"}
 
-TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:e[+-]?\d+|(?:x10)?\^[+-]?\d+)?)|(?P<word>[a-zA-Zµμε]+(?:-(?=strain))?)|(?P<power>\^?[+-]?\d+)|(?P<op>[/*·^()\[\].]))", re.I)
+TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?(?:e[+-]?\d+|(?:x10)?\^[+-]?\d+)?)|(?P<word>[a-zA-Zµμε°]+(?:-(?=strain))?)|(?P<power>\^?[+-]?\d+)|(?P<op>[/*·^()\[\].]))", re.I)
 
 
 def symbol(word: str) -> Unit | None:
     """One unit symbol or name, prefixed or not; case only matters nowhere here."""
     w = word.lower().rstrip("-")
+    if w in TEMPERATURES or word == "K":
+        return Unit(*TEMPERATURES.get(w, (1.0, 0.0)), TEMPERATURE)
     for s in (w, w[:-1] if len(w) > 3 and w.endswith("s") else w, w[:-2] if w.endswith("es") else w):
         if s in BASES:
             return Unit(BASES[s][0], 0.0, BASES[s][1])
@@ -69,7 +75,7 @@ def _times(a: Unit, b: Unit) -> Unit:
 
 def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
     """The longest unit that starts at ``at``, and where it ends; (None, at) if none does."""
-    total, end, sign, named, prefix = Unit(1.0, 0.0, (0, 0, 0, 0)), at, 1, False, None
+    total, end, sign, named, prefix = Unit(1.0, 0.0, (0, 0, 0, 0, 0)), at, 1, False, None
     pos = at
     while m := TOKEN.match(text, pos):
         kind, t = m.lastgroup, m.group(m.lastgroup)
@@ -78,7 +84,7 @@ def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
             value = (10.0 if "x10" in t.lower() else float(p[1])) ** int(p[2]) * (float(p[1]) if "x10" in t.lower() else 1) if p else float(t)
             if named:
                 break
-            total = _times(total, Unit(value, 0.0, (0, 0, 0, 0)))
+            total = _times(total, Unit(value, 0.0, (0, 0, 0, 0, 0)))
             pos = m.end()
             continue
         if kind == "word":
@@ -106,6 +112,8 @@ def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
             pos = m.end()
             continue
         break
+    if named and total.dims == TEMPERATURE and (m := re.match(r"\s*(\S+)$", text[at:end])) and (u := symbol(m[1])):
+        return u, end  # a temperature by itself keeps its offset
     return (total, end) if named else (None, at)
 
 
@@ -161,8 +169,8 @@ def signal_unit_in(text: str | None) -> Unit | None:
 
 
 def is_signal(u: Unit) -> bool:
-    m, s, rad, count = u.dims
-    return m == 0 and s in (0, -1) and (rad, count) in ((0, 0), (1, 0), (0, 1))
+    m, s, rad, count, kelvin = u.dims
+    return m == 0 and kelvin == 0 and s in (0, -1) and (rad, count) in ((0, 0), (1, 0), (0, 1))
 
 
 CUE = re.compile(r"gauge|\bgl\b|\bunits?\b", re.I)
@@ -184,11 +192,11 @@ def length_unit_in(note: str | None) -> Unit | None:
             continue
         if m := re.match(r"\d+(?:\.\d+)?(?:e[+-]?\d+)?\s*", c, re.I):
             u, end = parse(c, m.end())
-            if u and u.dims == (1, 0, 0, 0) and not c[end:].strip(" ."):
+            if u and u.dims == LENGTH and not c[end:].strip(" ."):
                 return u
             continue
         u, end = parse(c)
-        if u and u.dims == (1, 0, 0, 0) and re.match(r"\W|$", c[end:]) and (c[:end].lower() != "in" or not c[end:].strip()):
+        if u and u.dims == LENGTH and re.match(r"\W|$", c[end:]) and (c[:end].lower() != "in" or not c[end:].strip()):
             return u
         if CUE.search(c):
             for m in re.finditer(r"(?<![A-Za-z])(?:\d+(?:\.\d+)?\s*)?([A-Za-z]+)(?![A-Za-z])", c):
@@ -196,7 +204,7 @@ def length_unit_in(note: str | None) -> Unit | None:
                 if w == "in" and not re.match(r"\s*$", c[m.end() :]):
                     continue  # the preposition
                 u = symbol(m[1])
-                if u and u.dims == (1, 0, 0, 0):
+                if u and u.dims == LENGTH:
                     return u
     return None
 
@@ -206,8 +214,10 @@ NAMES = {1.0: "", 1e-6: "micro", 1e-9: "nano", 1e-3: "milli"}
 
 def name_of(u: Unit) -> str | None:
     """The plain name of a unit, as in ``nanostrain/s``; null for a unit that has none here."""
-    m, s, rad, count = u.dims
-    if u.dims == (1, 0, 0, 0):
+    _, s, rad, count, _ = u.dims
+    if u.dims == TEMPERATURE:
+        return next((n for n in ("K", "°C", "°F") if (t := symbol(n)) and abs(t.scale - u.scale) < 1e-9 and abs(t.offset - u.offset) < 1e-9), None)
+    if u.dims == LENGTH:
         for name, k in (("m", 1.0), ("mm", 1e-3), ("cm", 1e-2), ("ft", 0.3048), ("in", 0.0254)):
             if abs(u.scale / k - 1) < 1e-9:
                 return name
@@ -219,3 +229,11 @@ def name_of(u: Unit) -> str | None:
         if abs(u.scale / k - 1) < 1e-6:
             return prefix + kind + "/s" * (s == -1)
     return None
+
+
+@lru_cache(maxsize=65536)
+def quantity_of(text: str | None) -> tuple[float, Unit] | None:
+    """A number with its unit, such as ``12.5 ft``, ``-3e-9 strain/s`` or ``21 °C``: the value in base units, and the unit."""
+    m = re.fullmatch(r"\s*([+-]?\d+(?:\.\d+)?(?:e[+-]?\d+)?)\s*(\D.*)", text or "", re.I | re.S)
+    u = unit_of(m[2]) if m else None
+    return (float(m[1]) * u.scale + u.offset, u) if u else None

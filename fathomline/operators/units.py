@@ -57,18 +57,30 @@ def length_unit(note: Column) -> Column:
 def canonical_unit(unit: Column) -> Column:
     """microstrain, microstrain/s or m, by the unit's exponents."""
     second = F.element_at(unit["dims"], 2)
-    return F.when(F.element_at(unit["dims"], 1) == 1, "m").when(second == -1, "microstrain/s").when(second == 0, "microstrain")
+    return F.when(F.element_at(unit["dims"], 5) == 1, "K").when(F.element_at(unit["dims"], 1) == 1, "m").when(second == -1, "microstrain/s").when(second == 0, "microstrain")
 
 
 def canonical_factor(unit: Column, to_strain: Column) -> Column:
-    """What a value in ``unit`` is multiplied by to be in its canonical unit; ``to_strain`` serves counts and phase."""
+    """What a value in ``unit`` is multiplied by (before its offset is added) to be in its canonical unit; ``to_strain`` serves counts and phase."""
     physical = (F.element_at(unit["dims"], 3) != 0) | (F.element_at(unit["dims"], 4) != 0)
-    return F.when(F.element_at(unit["dims"], 1) == 1, unit["scale"]).otherwise(unit["scale"] * 1e6 * F.when(physical, to_strain).otherwise(F.lit(1.0)))
+    base = (F.element_at(unit["dims"], 1) == 1) | (F.element_at(unit["dims"], 5) == 1)
+    return F.when(base, unit["scale"]).otherwise(unit["scale"] * 1e6 * F.when(physical, to_strain).otherwise(F.lit(1.0)))
+
+
+def quantities(text: Column) -> Column:
+    """struct<value, name, scale, offset, dims> of texts that hold a number and a unit; the value is in base units."""
+
+    @F.pandas_udf(StructType([StructField("value", DoubleType()), *UNIT.fields]))
+    def read(texts: pd.Series) -> pd.DataFrame:
+        found = [U.quantity_of(t) for t in texts]
+        return pd.concat([pd.DataFrame({"value": [q and q[0] for q in found]}, dtype=float), _frame([q and q[1] for q in found])], axis=1)
+
+    return read(text)
 
 
 def with_units(df: DataFrame, unit: Column, to_strain: Column) -> DataFrame:
-    """Adds unit_name (its plain name), canonical_unit and factor; columns of these names are replaced."""
+    """Adds unit_name (its plain name), canonical_unit, factor and offset (canonical = value * factor + offset); columns of these names are replaced."""
     name = fresh(df, "unit")
     out = df.withColumn(name, unit)
     u = F.col(name)
-    return out.withColumns({"unit_name": u["name"], "canonical_unit": canonical_unit(u), "factor": canonical_factor(u, to_strain)}).drop(name)
+    return out.withColumns({"unit_name": u["name"], "canonical_unit": canonical_unit(u), "factor": canonical_factor(u, to_strain), "offset": u["offset"]}).drop(name)

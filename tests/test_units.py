@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import units as U
-from fathomline.operators.units import length_unit, signal_unit, with_units
+from fathomline.operators.units import length_unit, quantities, signal_unit, with_units
 
 
 @pytest.mark.parametrize(("text", "name"), [
@@ -52,3 +52,11 @@ def test_lengths_in_metres(spark):
     out = {r.id: r.y for r in with_units(df, length_unit(F.col("note")), F.lit(None).cast("double")).select("id", (F.col("v") * F.col("factor")).alias("y")).collect()}
     assert [round(out[i], 6) for i in (1, 2, 3, 4)] == [3.048, 4.0, 2.0, 2.54]
     assert with_units(df.limit(0), length_unit(F.col("note")), F.lit(None).cast("double")).count() == 0
+
+
+def test_numbers_with_units(spark):
+    texts = ["12.5 ft", "-3e-9 strain/s", "21 °C", "68degF", "300 K", "7 nonsense", "12", None, "", "1e3 mm", "5 µε/s"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.q for r in df.select(quantities(F.col("t")).alias("q")).collect()]
+    assert [q.value and round(q.value, 12) for q in got] == [3.81, -3e-9, 294.15, 293.15, 300.0, None, None, None, None, 1.0, 5e-6]
+    assert [q.name for q in got[:5]] == ["ft", "strain/s", "°C", "°F", "K"] and got[2].dims == [0, 0, 0, 0, 1]
