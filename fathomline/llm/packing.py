@@ -14,7 +14,7 @@ What grows with the data stays distributed: token counts, the histogram, the
 rank of each item within its size (by hash shards of each size, so a size held
 by a third of all items is many tasks), and the lookup of a rank's pack.
 
-Defined results: null and empty texts are pages of 0 tokens and ride in the
+Defined results: without pack sizes there are no packs; null and empty texts are pages of 0 tokens and ride in the
 pack that their key's hash names; a page above the capacity is cut into full pieces
 and a rest; repeated rows are items of their own; an empty table gives none; a
 capacity below 1 is an error.
@@ -88,7 +88,8 @@ def best_fit(histogram: dict[int, int], capacity: int, first_pack: int = 0) -> t
 def pieces(counts: DataFrame, key: str, packs: list[tuple[str, int]]) -> DataFrame:
     """(pack_name, capacity, key, piece_no, token_from, size): pages, cut only above the capacity."""
     n, cap = F.col("tokens"), F.col("capacity")
-    rows = counts.withColumn("p", F.explode(F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for name, c in packs])))
+    sizes = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for name, c in packs])
+    rows = counts.withColumn("p", F.explode(sizes.cast("array<struct<pack_name:string,capacity:bigint>>")))
     rows = rows.select(F.col(key).alias("key"), "tokens", F.col("p.pack_name").alias("pack_name"), F.col("p.capacity").alias("capacity"))
     rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(n / cap) - 1, F.lit(0)))))
     start = F.col("piece_no") * cap
@@ -100,8 +101,8 @@ def packed(counts: DataFrame, key: str, packs: list[tuple[str, int]]) -> DataFra
 
     ``counts`` has (key, tokens) and is read more than once: cut its lineage first.
     """
-    if any(c < 1 for _, c in packs):
-        raise ValueError("a capacity is at least one token")
+    if any(c < 1 for _, c in packs) or len(dict(packs)) < len(packs):
+        raise ValueError("pack sizes have a name each and a capacity of at least one token")
     counts = counts.withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint"))
     items = pieces(counts, key, packs).withColumn("shard", F.pmod(F.xxhash64("key", "piece_no"), F.lit(SHARDS)))
 
@@ -141,5 +142,5 @@ def _looked_up(ranked: DataFrame, placed: list[tuple], total: dict[str, int]) ->
                 out[at] = r + shift[np.searchsorted(froms, r, side="right") - 1]
         return pd.Series(out)
 
-    empty = F.coalesce(*[F.when(F.col("pack_name") == name, F.when(F.lit(n) > 0, F.pmod(F.xxhash64("key"), F.lit(max(n, 1)))).otherwise(F.lit(0))) for name, n in total.items()])
+    empty = F.coalesce(F.lit(None).cast("bigint"), *[F.when(F.col("pack_name") == name, F.when(F.lit(n) > 0, F.pmod(F.xxhash64("key"), F.lit(max(n, 1)))).otherwise(F.lit(0))) for name, n in total.items()])
     return ranked.withColumn("pack_no", F.when(F.col("size") == 0, empty).otherwise(pack_of("pack_name", "size", "rank")).cast("bigint"))

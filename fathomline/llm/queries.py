@@ -22,7 +22,8 @@ def p8_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_packs(spark: SparkSession, sf: str) -> DataFrame:
-    packs = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").select("pack_name", "capacity_tokens").filter("pack_name is not null and capacity_tokens > 0").collect()]
+    sizes = table(spark, sf, "pack_sizes").filter("pack_name is not null and capacity_tokens > 0")
+    packs = sorted((r["pack_name"], r["c"]) for r in sizes.groupBy("pack_name").agg(F.min("capacity_tokens").alias("c")).collect())
     counts = cut(token_counts(table(spark, sf, "documents"), "doc_id", "text"))
     return packed(counts, "doc_id", packs)
 
@@ -30,7 +31,7 @@ def p9_packs(spark: SparkSession, sf: str) -> DataFrame:
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Packs, tokens and share of used space of each pack size."""
     packs = p9_packs(spark, sf).filter("size > 0").groupBy("pack_name", "pack_no").agg(F.sum("size").alias("used"))
-    sizes = table(spark, sf, "pack_sizes").select("pack_name", "capacity_tokens")
+    sizes = table(spark, sf, "pack_sizes").groupBy("pack_name").agg(F.min("capacity_tokens").alias("capacity_tokens"))
     per = packs.groupBy("pack_name").agg(F.count("*").alias("packs"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
     return per.join(sizes, "pack_name").select("pack_name", "packs", "tokens", "fullest", F.round(F.col("tokens") / (F.col("packs") * F.col("capacity_tokens")), 4).alias("used_share"))
 
