@@ -13,17 +13,18 @@ order of columns and how a text is written are no change.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import columns as C
 from ..functions.attrs import Frac, Int, read_attrs
 from .ordered import sharded_lag
 
-SAMPLE = ArrayType(StructType([StructField("row", LongType()), StructField("val", StringType())]))
-PROFILE = ArrayType(StructType([StructField("name", StringType()), StructField("type", StringType()), StructField("sample", SAMPLE)]))
 CHANGE = ArrayType(StructType([StructField("change_kind", StringType()), StructField("old_name", StringType()), StructField("new_name", StringType())]))
 DRAWN = 32
 
@@ -31,29 +32,28 @@ DRAWN = 32
 YES, NO = ("yes", "good", "located", "ok", "true"), ("no", "bad", "lost", "muted", "false")
 
 
-def attr_profiles(attrs: Column) -> Column:
-    """Profile of a JSON object: its attributes' types and values."""
+def _value(value) -> tuple[str | None, str | None]:
+    """Type of a JSON value, and its content in one spelling."""
+    kind = "list" if isinstance(value, list) else "integer" if isinstance(value, Int | bool) else "fractional" if isinstance(value, Frac) else "text" if isinstance(value, str) and value.strip() else "object" if isinstance(value, dict) else None
+    while isinstance(value, list) and len(value) == 1:
+        value = value[0]
+    if kind is None or value is None:
+        return kind, None
+    try:
+        return kind, f"{float(str(value)):.12g}"
+    except ValueError:
+        return kind, str(value)
+
 
-    def one(value) -> tuple[str | None, str | None]:
-        kind = "list" if isinstance(value, list) else "integer" if isinstance(value, Int | bool) else "fractional" if isinstance(value, Frac) else "text" if isinstance(value, str) and value.strip() else "object" if isinstance(value, dict) else None
-        while isinstance(value, list) and len(value) == 1:
-            value = value[0]
-        if kind is None or value is None:
-            return kind, None
-        try:
-            return kind, f"{float(str(value)):.12g}"
-        except ValueError:
-            return kind, str(value)
+@lru_cache(maxsize=1024)
+def attr_profile(attrs: str | None) -> list[tuple]:
+    """Profile of a JSON object: its attributes' names, types and values."""
+    return [(k, kind, {0: v}) for k, value in read_attrs(attrs).items() for kind, v in [_value(value)]]
 
-    @F.pandas_udf(PROFILE)
-    def profile(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = [(k, *one(v)) for k, v in read_attrs(t).items()]
-            out.append([{"name": k, "type": kind, "sample": [{"row": 0, "val": v}]} for k, kind, v in found])
-        return pd.Series(out, dtype=object)
 
-    return profile(attrs)
+def sketch_profile(columns) -> list[tuple]:
+    """Profile from the rows of ``cell_profiles``."""
+    return [(c["name"], c["type"], {s["row"]: s["val"] for s in c["sample"]}) for c in columns]
 
 
 def cell_profiles(df: DataFrame, keys: list[str], row: str, cells: str) -> DataFrame:
@@ -75,22 +75,22 @@ def cell_profiles(df: DataFrame, keys: list[str], row: str, cells: str) -> DataF
     return cols.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_name").alias("name"), kind.alias("type"), "sample"))).alias("profile"))
 
 
-def version_changes(profiles: DataFrame, source: str, order: str, keep: list[str], chunk: int = 1024) -> DataFrame:
-    """(keep, change_kind, old_name, new_name): each version against the one before it in its source."""
+def version_changes(df: DataFrame, source: str, order: str, keep: list[str], payload: str, profile: Callable[[object], list[tuple]], chunk: int = 1024) -> DataFrame:
+    """(keep, change_kind, old_name, new_name): each version against the one before it in its source.
+
+    ``payload`` is what a version's profile is read from, ``profile`` reads it.
+    Payloads travel as they are, and both sides of a pair are read in one Arrow
+    pass; a version is the one before the next, so it is read once.
+    """
 
     @F.pandas_udf(CHANGE)
     def compare(before: pd.Series, after: pd.Series) -> pd.Series:
-        def read(p) -> list[tuple]:
-            return [(c["name"], c["type"], {s["row"]: s["val"] for s in c["sample"]}) for c in p]
-
-        out = [[] if b is None or a is None else [dict(zip(("change_kind", "old_name", "new_name"), c, strict=True)) for c in C.changes(read(b), read(a))] for b, a in zip(before, after, strict=True)]
-        return pd.Series(out, dtype=object)
+        names = ("change_kind", "old_name", "new_name")
+        return pd.Series([[dict(zip(names, c, strict=True)) for c in C.changes(profile(b), profile(a))] for b, a in zip(before, after, strict=True)], dtype=object)
 
-    paired = sharded_lag(profiles, [source], F.floor(F.col(order) / F.lit(chunk)).cast("bigint"), [order], ["profile"])
-    # a version whose names and types are those of the one before has nothing to compare
-    shape = lambda c: F.transform(F.array_sort(c), lambda x: F.struct(x["name"], x["type"]))
-    paired = paired.filter(F.col("prev").isNotNull() & (shape(F.col("prev.profile")) != shape(F.col("profile"))))
-    return paired.select(*keep, F.inline(compare(F.col("prev.profile"), F.col("profile"))))
+    paired = sharded_lag(df, [source], F.floor(F.col(order) / F.lit(chunk)).cast("bigint"), [order], [payload])
+    paired = paired.filter(F.col("prev").isNotNull() & ~F.col(f"prev.{payload}").eqNullSafe(F.col(payload)))
+    return paired.select(*keep, F.inline(compare(F.col(f"prev.{payload}"), F.col(payload))))
 
 
 def column_families(changes: DataFrame) -> dict[str, str]:

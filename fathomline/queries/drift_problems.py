@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import attr_profiles, cell_profiles, column_families, unified, version_changes
+from ..operators.drift import attr_profile, cell_profiles, column_families, sketch_profile, unified, version_changes
 from ..session import table
 
 HEADER_COLUMNS = ["nCh", "nt", "fs", "dt", "dCh", "startTime", "endTime", "GaugeLength", "pulseRate", "nodeTemp", "polarity", "firmware", "chain"]
@@ -14,14 +14,14 @@ SHEET_COLUMNS = ["index_raw", "fiber", "taptest", "quality", "index_taptest", "l
 
 def _proc_changes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "proc_headers").filter("run_id is not null and file_no is not null")
-    files = rows.groupBy("run_id", "file_no").agg(F.min_by(F.struct("file", "attrs"), "hdr_id").alias("f")).select("run_id", "file_no", "f.file", attr_profiles(F.col("f.attrs")).alias("profile"))
-    return version_changes(files, "run_id", "file_no", ["file"])
+    files = rows.groupBy("run_id", "file_no").agg(F.min_by(F.struct("file", "attrs"), "hdr_id").alias("f")).select("run_id", "file_no", "f.*")
+    return version_changes(files, "run_id", "file_no", ["file"], "attrs", attr_profile)
 
 
 def _sheet_changes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "sheet_rows").filter("run_id is not null and sheet_no is not null")
     sheets = cell_profiles(rows.withColumn("file", F.col("sheet_file")), ["run_id", "sheet_no", "file"], "row_no", "cells")
-    return version_changes(sheets, "run_id", "sheet_no", ["file"])
+    return version_changes(sheets, "run_id", "sheet_no", ["file"], "profile", sketch_profile)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

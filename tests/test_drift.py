@@ -43,12 +43,12 @@ def test_single_values_need_names():
 def test_headers(spark):
     rows = [("r", 0, "f0", '{"nCh": 10, "fs": 100.0, "x": null}'), ("r", 1, "f1", '{"fs": 100, "nCh": 10, "x": 5}'), ("r", 3, "f3", '{"fs": [100], "nChannels": "10", "chain": "c"}'), ("r", 4, "f4", None), ("q", 0, "g0", "{}"), ("q", 5000, "g1", '{"a": true}')]
     df = spark.createDataFrame(rows, "run string, no long, file string, attrs string").withColumn("prev", F.lit("clash"))
-    got = sorted(map(tuple, D.version_changes(df.select("run", "no", "file", D.attr_profiles(F.col("attrs")).alias("profile")), "run", "no", ["file"], chunk=2).collect()))
+    got = sorted(map(tuple, D.version_changes(df, "run", "no", ["file"], "attrs", D.attr_profile, chunk=2).collect()))
     assert got == sorted([
         ("f1", "retyped", "fs", "fs"), ("f3", "retyped", "fs", "fs"), ("f3", "renamed", "nCh", "nChannels"), ("f3", "retyped", "nCh", "nChannels"), ("f3", "added", "", "chain"), ("f3", "removed", "x", ""),
         ("f4", "removed", "fs", ""), ("f4", "removed", "nChannels", ""), ("f4", "removed", "chain", ""), ("g1", "added", "", "a"),
     ])
-    assert D.version_changes(df.limit(0).select("run", "no", "file", D.attr_profiles(F.col("attrs")).alias("profile")), "run", "no", ["file"]).count() == 0
+    assert D.version_changes(df.limit(0), "run", "no", ["file"], "attrs", D.attr_profile).count() == 0
 
 
 def test_sheets(spark):
@@ -59,7 +59,7 @@ def test_sheets(spark):
     rows += rows[:5] + [("r", 3, "s3", 0, None), (None, 0, "n", 0, {"a": "1"})]
     df = spark.createDataFrame(rows, "run string, no long, file string, row_no int, cells map<string,string>").withColumn("sample", F.lit(1))
     profiles = D.cell_profiles(df, ["run", "no", "file"], "row_no", "cells")
-    changes = D.version_changes(profiles, "run", "no", ["file"])
+    changes = D.version_changes(profiles, "run", "no", ["file"], "profile", D.sketch_profile)
     assert sorted(map(tuple, changes.collect())) == sorted([("s1", "renamed", "lat", "latitude"), ("s1", "retyped", "index_raw", "index_raw"), ("s2", "retyped", "latitude", "latitude")])
     families = D.column_families(changes.unionByName(changes))
     assert families == {"lat": families["lat"], "latitude": families["lat"]}
