@@ -13,6 +13,7 @@ order of columns and how a text is written are no change.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ CHANGE = ArrayType(StructType([StructField("change_kind", StringType()), StructF
 DRAWN = 32
 
 # fixed values: words for yes and no, as columns of flags write them
+TAGGED = re.compile(r"^[a-z]+[-_ ]?(?=\d+$)")
 YES, NO = ("yes", "good", "located", "ok", "true"), ("no", "bad", "lost", "muted", "false")
 
 
@@ -51,46 +53,76 @@ def attr_profile(attrs: str | None) -> list[tuple]:
     return [(k, kind, {0: v}) for k, value in read_attrs(attrs).items() for kind, v in [_value(value)]]
 
 
-def sketch_profile(columns) -> list[tuple]:
-    """Profile from the rows of ``cell_profiles``."""
-    return [(c["name"], c["type"], {s["row"]: s["val"] for s in c["sample"]}) for c in columns]
+def plain(text: str | None) -> str | None:
+    """A cell's content in one spelling: numbers as numbers, also behind a tag (ch100), yes and no as 1 and 0."""
+    t = (text or "").strip().lower()
+    if not t:
+        return None
+    if t in YES or t in NO:
+        return "1" if t in YES else "0"
+    t = TAGGED.sub("", t)
+    try:
+        return f"{float(t):.12g}"
+    except ValueError:
+        return t
+
 
+def sketch_profile(sheet) -> list[tuple]:
+    """Profile from a row of ``cell_sketches``."""
+    rows = [(r["row"], {c["key"]: c["value"] for c in r["cells"]}) for r in sheet["rows"]]
+    return [(c["name"], c["type"], {row: plain(cells.get(c["name"])) for row, cells in rows}) for c in sheet["columns"]]
 
-def cell_profiles(df: DataFrame, keys: list[str], row: str, cells: str) -> DataFrame:
-    """(keys, profile) of tables kept as rows of name-to-text maps.
 
-    Only the types and, for each of 32 hash buckets, one drawn row go through the shuffle.
+def cell_sketches(df: DataFrame, keys: list[str], row: str, cells: str) -> DataFrame:
+    """(keys, columns, sheet) of tables kept as rows of name-to-text maps.
+
+    columns: names, with the type of all filled values, combined on the map side
+    to one row a column. sheet: the columns, and of each of 32 hash buckets of
+    rows one whole row, the same one in every version that has it.
     """
-    rows = df.select(*keys, F.col(row).cast("bigint").alias("_row"), F.explode(cells).alias("_name", "_text"))
+    base = df.select(*keys, F.col(row).cast("bigint").alias("_row"), F.col(cells).alias("_cells")).filter("_cells is not null")
+    each = base.select(*keys, F.explode("_cells").alias("_name", "_text"))
     text = F.lower(F.trim("_text"))
-    number = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
-    rank = F.when(text == "", None).when(text.rlike(r"^[+-]?\d+$"), 0).when(text.rlike(number), 1).otherwise(F.when(text.isNotNull(), 2))
-    tagged = F.regexp_extract(text, r"^[a-z]+[-_ ]?(\d+)$", 1)
-    plain = F.when(text == "", None).when(text.isin(*YES), "1.0").when(text.isin(*NO), "0.0").when(text.rlike(number), text.try_cast("double").cast("string")).when(tagged != "", tagged.cast("double").cast("string")).otherwise(text)
-    mixed = F.xxhash64("_row")
-    rows = rows.select(*keys, "_name", F.pmod(mixed, F.lit(DRAWN)).alias("_bucket"), rank.alias("_rank"), F.struct(mixed.alias("h"), F.col("_row").alias("row"), plain.alias("val")).alias("_drawn"))
-    rows = rows.groupBy(*keys, "_name", "_bucket").agg(F.max("_rank").alias("_rank"), F.min("_drawn").alias("_drawn"))
-    cols = rows.groupBy(*keys, "_name").agg(F.max("_rank").alias("_rank"), F.collect_list(F.struct(F.col("_drawn.row").alias("row"), F.col("_drawn.val").alias("val"))).alias("sample"))
+    rank = F.when(text == "", None).when(text.rlike(r"^[+-]?\d+$"), 0).when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), 1).otherwise(F.when(text.isNotNull(), 2))
+    named = each.select(*keys, "_name", rank.alias("_rank")).groupBy(*keys, "_name").agg(F.max("_rank").alias("_rank"))
     kind = F.when(F.col("_rank") == 0, "integer").when(F.col("_rank") == 1, "fractional").when(F.col("_rank") == 2, "text")
-    return cols.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_name").alias("name"), kind.alias("type"), "sample"))).alias("profile"))
+    columns = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_name").alias("name"), kind.alias("type")))).alias("columns"))
+    mixed = F.xxhash64("_row")
+    drawn = base.groupBy(*keys, F.pmod(mixed, F.lit(DRAWN)).alias("_bucket")).agg(F.min_by(F.struct(F.col("_row").alias("row"), F.map_entries("_cells").alias("cells")), F.struct(mixed, F.to_json("_cells"))).alias("_r"))
+    rows = drawn.groupBy(*keys).agg(F.collect_list("_r").alias("rows"))
+    return columns.join(rows, keys).select(*keys, "columns", F.struct("columns", "rows").alias("sheet"))
 
 
-def version_changes(df: DataFrame, source: str, order: str, keep: list[str], payload: str, profile: Callable[[object], list[tuple]], chunk: int = 1024) -> DataFrame:
+def version_changes(df: DataFrame, source: str, order: str, keep: list[str], payload: str, profile: Callable[[object], list[tuple]], same: str | None = None, chunk: int = 1024) -> DataFrame:
     """(keep, change_kind, old_name, new_name): each version against the one before it in its source.
 
-    ``payload`` is what a version's profile is read from, ``profile`` reads it.
+    ``payload`` is what a version's profile is read from, ``profile`` reads it;
+    versions that agree in the column ``same`` (the payload by default) have no change.
     Payloads travel as they are, and both sides of a pair are read in one Arrow
     pass; a version is the one before the next, so it is read once.
     """
 
-    @F.pandas_udf(CHANGE)
-    def compare(before: pd.Series, after: pd.Series) -> pd.Series:
+    same = same or payload
+
+    def differences(before, after) -> list[dict]:
         names = ("change_kind", "old_name", "new_name")
-        return pd.Series([[dict(zip(names, c, strict=True)) for c in C.changes(profile(b), profile(a))] for b, a in zip(before, after, strict=True)], dtype=object)
+        return [dict(zip(names, c, strict=True)) for c in C.changes(profile(before), profile(after))]
+
+    nested = isinstance(df.schema[payload].dataType, StructType)  # structs come to Arrow functions as frames
 
-    paired = sharded_lag(df, [source], F.floor(F.col(order) / F.lit(chunk)).cast("bigint"), [order], [payload])
-    paired = paired.filter(F.col("prev").isNotNull() & ~F.col(f"prev.{payload}").eqNullSafe(F.col(payload)))
-    return paired.select(*keep, F.inline(compare(F.col(f"prev.{payload}"), F.col(payload))))
+    @F.pandas_udf(CHANGE)
+    def compare(pairs: pd.Series) -> pd.Series:
+        return pd.Series([differences(*p) for p in pairs], dtype=object)
+
+    @F.pandas_udf(CHANGE)
+    def compare_plain(before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([differences(b, a) for b, a in zip(before, after, strict=True)], dtype=object)
+
+    paired = sharded_lag(df, [source], F.floor(F.col(order) / F.lit(chunk)).cast("bigint"), [order], sorted({payload, same}))
+    paired = paired.filter(F.col("prev").isNotNull() & ~F.col(f"prev.{same}").eqNullSafe(F.col(same)))
+    before, after = F.col(f"prev.{payload}"), F.col(payload)
+    found = compare(F.array(before, after)) if nested else compare_plain(before, after)
+    return paired.select(*keep, F.inline(found))
 
 
 def column_families(changes: DataFrame) -> dict[str, str]:

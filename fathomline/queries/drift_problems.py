@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import attr_profile, cell_profiles, column_families, sketch_profile, unified, version_changes
+from ..operators.drift import attr_profile, cell_sketches, column_families, sketch_profile, unified, version_changes
 from ..session import table
 
 HEADER_COLUMNS = ["nCh", "nt", "fs", "dt", "dCh", "startTime", "endTime", "GaugeLength", "pulseRate", "nodeTemp", "polarity", "firmware", "chain"]
@@ -20,8 +20,8 @@ def _proc_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sheet_changes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "sheet_rows").filter("run_id is not null and sheet_no is not null")
-    sheets = cell_profiles(rows.withColumn("file", F.col("sheet_file")), ["run_id", "sheet_no", "file"], "row_no", "cells")
-    return version_changes(sheets, "run_id", "sheet_no", ["file"], "profile", sketch_profile)
+    sheets = cell_sketches(rows.select("run_id", "sheet_no", F.coalesce("sheet_file", F.lit("")).alias("file"), "row_no", "cells"), ["run_id", "sheet_no", "file"], "row_no", "cells")
+    return version_changes(sheets, "run_id", "sheet_no", ["file"], "sheet", sketch_profile, same="columns")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,8 +58,9 @@ def test_sheets(spark):
     rows = sheet(0, lambda i: {"index_raw": str(i), "lat": None if i % 3 else f"{i}.5", "empty": ""}) + sheet(1, lambda i: {"index_raw": f"ch{i}", "latitude": "" if i % 3 else f" {i}.5 ", "empty": None}) + sheet(2, lambda i: {"index_raw": f"ch{i}", "latitude": "7", "empty": "1.0"})
     rows += rows[:5] + [("r", 3, "s3", 0, None), (None, 0, "n", 0, {"a": "1"})]
     df = spark.createDataFrame(rows, "run string, no long, file string, row_no int, cells map<string,string>").withColumn("sample", F.lit(1))
-    profiles = D.cell_profiles(df, ["run", "no", "file"], "row_no", "cells")
-    changes = D.version_changes(profiles, "run", "no", ["file"], "profile", D.sketch_profile)
+    sketches = D.cell_sketches(df.filter("run is not null"), ["run", "no", "file"], "row_no", "cells")
+    changes = D.version_changes(sketches, "run", "no", ["file"], "sheet", D.sketch_profile, same="columns")
+    assert [D.plain(t) for t in (None, " ", "ch100", "n-7", "1.50", "Yes", "lost", "box A")] == [None, None, "100", "7", "1.5", "1", "0", "box a"]
     assert sorted(map(tuple, changes.collect())) == sorted([("s1", "renamed", "lat", "latitude"), ("s1", "retyped", "index_raw", "index_raw"), ("s2", "retyped", "latitude", "latitude")])
     families = D.column_families(changes.unionByName(changes))
     assert families == {"lat": families["lat"], "latitude": families["lat"]}
