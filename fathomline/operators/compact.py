@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hilbert import hilbert
+from ..session import cut
 
 BITS = 16
 
@@ -36,9 +37,12 @@ def file_sizes(chunks: DataFrame) -> DataFrame:
 def compaction_plan(files: DataFrame, target: int, prefix_bits: int = 18) -> DataFrame:
     """Adds code, out_file and out_offset (in samples) to ``file_sizes``.
 
-    The time range of all files (two numbers) is read first, so that codes use
-    every bit. Files whose begin is unknown go to the start of the range.
+    The files' table is written to the checkpoint folder, as it is read three
+    times: for the time range of all files (two numbers, so that codes use every
+    bit), for the histogram and for the placing. Files whose begin is unknown go
+    to the start of the range.
     """
+    files = cut(files)
     low, high = files.agg(F.min("b"), F.max("b")).first()
     low, span = low or 0, max((high or 0) - (low or 0), 1)
     top = (1 << BITS) - 1
