@@ -41,7 +41,7 @@ LIGATURES = (*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x0132, 0x0133, *ra
 VISIBLE_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 OTHER_INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xE0100, 0xE01F0)}
 MARKED = re.compile(r"[^\u0300-\u036f][\u0300-\u036f]+")
-STACKED = re.compile(r"[\u0300-\u036f]{2}")
+MARK = re.compile(r"[\u0300-\u036f]")
 AT_ONCE = 1000
 
 
@@ -133,24 +133,33 @@ def count_members(texts: list[str]) -> Counter:
 
 
 class Rewriter:
-    """Greedy rewriting by an automaton over all strings that have a representative."""
+    """Greedy rewriting of all strings that have a representative, the longest first.
+
+    The automaton holds the strings of several code points, all of which have a
+    combining mark. Classes are closed under their letters' look-alikes, so single
+    code points can go before, by a translation table; texts without a mark, or
+    without anything to rewrite, never see the slower part.
+    """
 
     def __init__(self, to: dict[str, str]):
         import ahocorasick
 
+        self.single = {ord(k): v for k, v in to.items() if len(k) == 1}
+        self.any_single = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(self.single)) + "]")
         self.automaton = ahocorasick.Automaton()
         for k, v in to.items():
-            self.automaton.add_word(k, (len(k), v))
+            if len(k) > 1:
+                self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
-        self.first = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in to}))) + "]")
-        self.ascii_safe = not any(k.isascii() for k in to)
 
     def form(self, text: str) -> str:
-        if text.isascii() and self.ascii_safe:
+        if not text.isascii():
+            text = invisible().sub("", text)
+        if self.any_single.search(text):
+            text = text.translate(self.single)
+        if not MARK.search(text):
             return text
-        text = invisible().sub("", text)
-        if STACKED.search(text):
-            text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text))
+        text = unicodedata.normalize("NFC", text).translate(self.single)  # marks in their canonical order
         out, at = [], 0
         for end, (size, to) in self.automaton.iter_long(text):
             start = end + 1 - size
