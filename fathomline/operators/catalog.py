@@ -59,9 +59,9 @@ def segment_table(segmented: DataFrame, key: str) -> DataFrame:
 
 def segment_gaps(table: DataFrame, key: str) -> DataFrame:
     """Gaps between segments in their order, where the next begins after the one before ends."""
-    w = Window.partitionBy(key).orderBy("begin_us", "segment_id")
-    out = table.withColumn("next_us", F.lead("begin_us").over(w)).filter(F.col("next_us") > F.col("end_us"))
-    return out.select(key, "segment_id", F.col("end_us").alias("gap_from_us"), F.col("next_us").alias("gap_to_us"))
+    day = F.floor(F.col("begin_us") / F.lit(DAY_US)).cast("bigint")
+    out = sharded_lag(table, [key], day, ["begin_us", "segment_id"], ["segment_id", "end_us"]).filter(F.col("begin_us") > F.col("prev.end_us"))
+    return out.select(key, F.col("prev.segment_id").alias("segment_id"), F.col("prev.end_us").alias("gap_from_us"), F.col("begin_us").alias("gap_to_us"))
 
 
 def meets(begin: Column, end: Column) -> Column:
