@@ -29,7 +29,8 @@ def counter_grid(df: DataFrame, gaps: DataFrame, key: str, series: Column, begin
     """
     rows = df.select(F.col(key).alias("k"), series.alias("f"), begin.alias("b"), rate.alias("r"), F.coalesce(first, F.lit(0)).cast("bigint").alias("c0"), count.alias("n"))
     rows = rows.filter("k is not null and b is not null and r > 0 and n > 0")
-    rows = rows.groupBy("k", "f", "c0", "b").agg(F.max(F.struct("n", "r")).alias("m")).select("k", "f", "c0", "b", "m.n", "m.r")
+    # one shuffle for both the repeats and the order within a series
+    rows = rows.repartition("k", "f").groupBy("k", "f", "c0", "b").agg(F.max(F.struct("n", "r")).alias("m")).select("k", "f", "c0", "b", "m.n", "m.r")
     cell = lambda us: F.floor(us / F.lit(step_us)).cast("bigint")
     spacing = F.lit(1e6) / F.col("r")
     rows = rows.withColumn("t1", F.col("b") + F.rint(F.col("n") * spacing).cast("bigint")).withColumn("last", F.col("b") + F.rint((F.col("n") - 1) * spacing).cast("bigint"))
