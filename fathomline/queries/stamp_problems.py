@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attrs import attr_text
-from ..functions.stamps import CANONICAL
+from ..functions.stamps import ABBREVIATIONS, CANONICAL
 from ..operators.stamps import AGAINST, paired_states, readings, settle, single_states
 from ..session import table
 
@@ -58,4 +58,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_stamps)}
-SQL: dict[str, str] = {}
+# the same by one pattern a form, and by the records' evidence alone, without a path
+ABBREVIATED = ", ".join(f"('{n}', {m})" for n, m in ABBREVIATIONS.items())
+
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH abbr(zn, mins) AS (VALUES {ABBREVIATED}),
+      ps AS (SELECT 'proc' AS src, hdr_id AS rec_id, 'startTime' AS field, array_id, coalesce(attrs ->> 'startTime', attrs ->> 'StartTime', attrs ->> 'begTime', attrs ->> 'begin_time') AS stamp FROM proc_headers),
+      es AS (SELECT 'event' AS src, ev_id AS rec_id, unnest(['begin_time', 'event_time']) AS field, array_id, unnest([begin_time, event_time]) AS stamp FROM event_headers),
+      st AS (SELECT u.*, trim(stamp) AS s, coalesce(tz, 'UTC') AS tz FROM (SELECT * FROM ps UNION ALL SELECT * FROM es) u LEFT JOIN das_arrays USING (array_id)),
+      parts AS (SELECT *, rpad(left(regexp_extract(s, ':\d\d[.,](\d+)', 1), 6), 6, '0') AS frac, regexp_extract(s, '\d([+-]\d\d:?\d\d)(\[.*\])?$', 1) AS off, regexp_extract(s, ' ?(Z|[A-Z]{{2,5}})$', 1) AS zn,
+        CASE WHEN regexp_matches(s, '^\d{{4}}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d') THEN try_strptime(replace(replace(left(s, 19), '/', '-'), 'T', ' '), '%Y-%m-%d %H:%M:%S')
+          WHEN regexp_matches(s, '^\d{{4}}-\d{{3}}T') THEN try_strptime(left(s, 4) || '-01-01 ' || substr(s, 10, 8), '%Y-%m-%d %H:%M:%S') + to_days(CAST(substr(s, 6, 3) AS INT) - 1)
+          WHEN regexp_matches(s, '^\d{{8}}T\d{{6}}') THEN try_strptime(left(s, 15), '%Y%m%dT%H%M%S')
+          WHEN regexp_matches(s, '^\d\d\.\d\d\.\d{{4}} ') THEN try_strptime(left(s, 19), '%d.%m.%Y %H:%M:%S')
+          WHEN regexp_matches(s, '^[A-Z][a-z]{{2}} \d') THEN try_strptime(s, '%b %d, %Y %I:%M:%S %p')
+          WHEN regexp_matches(s, '^\d\d [A-Z][a-z]{{2}} \d{{4}}') THEN try_strptime(left(s, 20), '%d %b %Y %H:%M:%S') END AS naive FROM st),
+      timed AS (SELECT *, epoch_us(naive) + coalesce(try_cast(nullif(frac, '000000') AS BIGINT), 0) AS wall FROM parts),
+      fixed AS (SELECT t.*, CASE WHEN regexp_full_match(s, '\d+(\.\d+)?') THEN CASE length(regexp_extract(s, '^\d+')) WHEN 10 THEN CAST(trunc(CAST(s AS DECIMAL(30, 9)) * 1000000) AS BIGINT) WHEN 13 THEN CAST(left(s, 13) AS BIGINT) * 1000 WHEN 16 THEN CAST(left(s, 16) AS BIGINT) WHEN 19 THEN CAST(left(s, 16) AS BIGINT) END
+          WHEN off <> '' THEN wall - (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END) * (CAST(off[2:3] AS BIGINT) * 60 + CAST(right(off, 2) AS BIGINT)) * 60000000
+          WHEN zn <> '' AND zn NOT IN ('AM', 'PM') THEN wall - CAST(mins AS BIGINT) * 60000000 END AS one FROM timed t LEFT JOIN abbr USING (zn)),
+      near AS (SELECT *, CASE WHEN one IS NULL AND wall IS NOT NULL AND (zn = '' OR zn IN ('AM', 'PM')) THEN epoch_us(timezone(tz, make_timestamp(wall))) END AS c FROM fixed),
+      cand AS (SELECT src, rec_id, field, stamp, tz, wall, unnest(CASE WHEN one IS NOT NULL THEN [one] ELSE [c, c - 3600000000, c + 3600000000] END) AS us, one FROM near),
+      valid AS (SELECT src, rec_id, field, stamp, us FROM cand WHERE us IS NOT NULL AND (one IS NOT NULL OR epoch_us(timezone(tz, timezone('UTC', make_timestamp(us)))) = wall)),
+      starts AS (SELECT v.src, rec_id, field, stamp, us, row_number() OVER (PARTITION BY rec_id ORDER BY CASE WHEN epoch_us(written_at) - us BETWEEN -1000000 AND 1441000000 THEN 0 ELSE 1 END, us) AS rk FROM valid v JOIN proc_headers ON hdr_id = rec_id WHERE v.src = 'proc'),
+      other AS (SELECT v.*, w.us AS o, CASE WHEN v.field = 'begin_time' THEN w.us - v.us ELSE v.us - w.us END - coalesce(time_before, event_time_index * dt_s) * 1e6 AS d FROM valid v JOIN event_headers ON ev_id = v.rec_id LEFT JOIN valid w ON w.src = 'event' AND w.rec_id = v.rec_id AND w.field <> v.field WHERE v.src = 'event'),
+      pairs AS (SELECT *, row_number() OVER (PARTITION BY rec_id, field ORDER BY CASE WHEN o IS NULL OR d IS NULL OR abs(d) <= 2000000 THEN 0 ELSE 1 END, us) AS rk FROM other)
+      SELECT src, rec_id, field AS stamp_field, us AS utc_us FROM (SELECT src, rec_id, field, stamp, us, rk FROM starts UNION ALL SELECT src, rec_id, field, stamp, us, rk FROM pairs)
+      WHERE rk = 1 AND NOT regexp_full_match(stamp, '\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{{6}}\+00:00')""",
+}
