@@ -14,7 +14,7 @@ order of columns and how a text is written are no change.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import lru_cache
 
 import pandas as pd
@@ -125,15 +125,25 @@ def version_changes(df: DataFrame, source: str, order: str, keep: list[str], pay
     return paired.select(*keep, F.inline(found))
 
 
-def column_families(changes: DataFrame) -> dict[str, str]:
-    """Name of each column to the name of its family, from all renames seen.
+def column_names(df: DataFrame, values: str) -> list[str]:
+    """Distinct names in the maps ``values``; as many as the vocabulary has."""
+    return [r[0] for r in df.select(F.explode(F.map_keys(values))).distinct().collect()]
+
+
+def column_families(changes: DataFrame, apart: Collection[str] = (), names: Collection[str] = ()) -> dict[str, str]:
+    """Name of each column to the name of its family, from all renames seen, however seldom.
 
     Only distinct pairs of names reach the driver; there are as many as a
-    vocabulary of column names has, whatever the data's size. A family is named
-    by the name that most renames touch; ``unified`` goes by its members.
+    vocabulary of column names has, whatever the data's size. The names
+    ``apart`` are columns of their own: the pairs most alike by name join first,
+    and a pair that would put two of these into one family does not. Those of
+    ``names`` that no rename ties to one of them (files that used them from the
+    first on) join the one that means the same by its name. A family is named by
+    the name that most renames touch; ``unified`` goes by its members.
     """
-    pairs = changes.filter("change_kind = 'renamed'").groupBy("old_name", "new_name").count().filter("count > 1").collect()
+    pairs = changes.filter("change_kind = 'renamed'").groupBy("old_name", "new_name").count().collect()
     root: dict[str, str] = {}
+    held = set(apart)
 
     def find(x: str) -> str:
         root.setdefault(x, x)
@@ -142,10 +152,19 @@ def column_families(changes: DataFrame) -> dict[str, str]:
         return x
 
     weight: dict[str, int] = {}
-    for p in pairs:
+    for p in sorted(pairs, key=lambda p: (-C.name_likeness(p["old_name"], p["new_name"]), -p["count"], p["old_name"], p["new_name"])):
         for n in (p["old_name"], p["new_name"]):
             weight[n] = weight.get(n, 0) + p["count"]
-        root[find(p["old_name"])] = find(p["new_name"])
+        a, b = find(p["old_name"]), find(p["new_name"])
+        if a != b and not (a in held and b in held):
+            root[a] = b
+            held |= {b} if a in held else set()
+    for n in sorted(names):
+        same = next((a for a in apart if C.name_likeness(n, a) == 1.0), None) if find(n) not in held else None
+        if same is not None:
+            weight.setdefault(n, 0)
+            weight.setdefault(same, 0)
+            root[find(n)] = find(same)
     named: dict[str, str] = {}
     for n in sorted(weight, key=lambda n: (-weight[n], n)):
         named.setdefault(find(n), n)

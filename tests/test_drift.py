@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import columns as C
 from fathomline.operators import drift as D
+from fathomline.queries import drift_problems as Q
+
+from .tables import SMALL
 
 
 def test_assignment_is_the_best_of_all():
@@ -66,3 +69,22 @@ def test_sheets(spark):
     assert families == {"lat": families["lat"], "latitude": families["lat"]}
     out = df.filter("no < 2").select("no", "row_no", *D.unified(F.col("cells"), families, ["index_raw", "lat"]))
     assert out.filter("row_no = 3").select("lat").distinct().count() == 2  # '3.5' and ' 3.5 '
+
+
+def test_a_rename_seen_once_joins_a_family(spark):
+    rows = [("renamed", "dCh", "dx"), ("renamed", "dx", "dx_m"), ("renamed", "dx", "gain"), ("renamed", "dx", "gain"), ("renamed", "gain", "gain_db"), ("added", "", "chain")]
+    changes = spark.createDataFrame(rows, "change_kind string, old_name string, new_name string")
+    families = D.column_families(changes, ["dCh", "gain"])
+    assert len({families[n] for n in ("dCh", "dx", "dx_m")}) == 1 and families["gain"] == families["gain_db"] != families["dCh"]
+    assert D.column_families(changes.limit(0), ["startTime"], ["StartTime", "chain"]) == {"StartTime": "StartTime", "startTime": "StartTime"}
+    df = spark.createDataFrame([({"dx": "1"},), ({"dx_m": "2"},), ({"dCh": "3", "gain_db": "4"},)], "v map<string,string>")
+    assert sorted(map(tuple, df.select(*D.unified(F.col("v"), families, ["dCh", "gain"])).collect())) == [("1", None), ("2", None), ("3", "4")]
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
+def test_no_filled_value_vanishes(spark):
+    filled = lambda m: F.size(F.map_filter(m, lambda _, v: F.trim(v) != ""))
+    for name, tab, values, names in (("p5_headers", "proc_headers", F.from_json("attrs", "map<string,string>"), Q.HEADER_COLUMNS), ("p5_sheets", "sheet_rows", F.col("cells"), Q.SHEET_COLUMNS)):
+        want = spark.read.parquet(str(SMALL / f"{tab}.parquet")).select(F.sum(F.when(values.isNotNull(), filled(values)))).first()[0]
+        got = Q.QUERIES[name](spark, str(SMALL)).select(F.sum(sum(F.col(n).isNotNull().cast("int") for n in names))).first()[0]
+        assert got == want, name
