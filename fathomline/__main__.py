@@ -7,14 +7,15 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window
 
 from .functions.scalars import iso_timestamp, parse_iso
 from .operators import catalog as C
-from .plans.desample import pending
+from .plans.desample import desample_windows, pending
 from .plans.events import extract_plan, extract_status, status_counts
 from .session import cut
 from .sources.segy import read_segy, segy_catalog
-from .sources.tables import read_catalog, write_catalog
+from .sources.tables import catalog_format, read_catalog, write_catalog, write_event, write_processed
 
 
 def build_catalog(spark: SparkSession, folder: str, path: str, system: str) -> int:
@@ -39,30 +40,113 @@ def load_or_build(spark: SparkSession, folder: str, path: str, system: str, over
     return read_catalog(spark, path)
 
 
-def list_windows(spark: SparkSession, path: str, length_us: int, since: str | None, until: str | None, system: str, done: str | None) -> DataFrame:
-    """Windows still to process, those of [since, until) if both are given."""
+def open_windows(spark: SparkSession, path: str, length_us: int, since: str | None, until: str | None, system: str, done: str | None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segmented catalog rows, windows still to process); those whose output ``out`` has are done too."""
     if (since is None) != (until is None):
         raise ValueError("give both --since and --until, or neither")
-    rows = read_catalog(spark, path).withColumn("key", F.lit(system))
-    windows = C.window_chain(C.segments(rows, "key"), "key", length_us)
+    rows = C.segments(read_catalog(spark, path).withColumn("key", F.lit(system)), "key")
+    windows = C.window_chain(rows, "key", length_us)
     if since is not None:
         lo, hi = parse_iso(F.lit(since)), parse_iso(F.lit(until))
         windows = windows.filter((F.col("window_begin") >= lo) & (F.col("window_begin") < hi))
-    there = read_catalog(spark, done) if done else spark.createDataFrame([], "file string")
-    return pending(windows, there, F.col("key")).select("file", iso_timestamp(F.col("window_begin")).alias("begin"), iso_timestamp(F.col("window_end")).alias("end"))
+    there = read_catalog(spark, done).select("file") if done else spark.createDataFrame([], "file string")
+    if out:
+        there = there.unionByName(written(spark, out, "file"))
+    return rows, pending(windows, there, F.col("key"))
 
 
-def event_job(spark: SparkSession, path: str, events: str, before: float, after: float) -> tuple[DataFrame, DataFrame]:
-    """(plan, counts by status) of a table of events (event_id, event_time)."""
+def window_list(windows: DataFrame) -> DataFrame:
+    return windows.select("file", iso_timestamp(F.col("window_begin")).alias("begin"), iso_timestamp(F.col("window_end")).alias("end"))
+
+
+def list_windows(spark: SparkSession, path: str, length_us: int, since: str | None, until: str | None, system: str, done: str | None) -> DataFrame:
+    """Windows still to process, those of [since, until) if both are given."""
+    return window_list(open_windows(spark, path, length_us, since, until, system, done)[1])
+
+
+def written(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Distinct values of the text column ``name`` in the output ``out``; none where it isn't there yet."""
+    try:
+        return cut(spark.read.schema(f"{name} string").parquet(out).select(name).distinct())
+    except AnalysisException:
+        return spark.createDataFrame([], f"{name} string")
+
+
+def with_samples(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """Catalog rows with the channels and samples of their SEG-Y files under ``folder``."""
+    traces = read_segy(spark, folder).select("file", "channel", F.col("samples").alias("_all"))
+    return rows.join(traces, "file").withColumn("samples", F.slice("_all", (F.col("first_sample") + 1).cast("int"), F.col("nt").cast("int"))).drop("_all")
+
+
+def desample_job(spark: SparkSession, rows: DataFrame, windows: DataFrame, folder: str, out: str, f_max: float, order: int) -> int:
+    """Downsamples the windows and appends them to ``out``; the number of windows written. A window whose files aren't all there is an error."""
+    windows, rows = cut(windows), cut(rows)
+    needed = rows.join(windows.select("key", "segment_id", "window_begin", "window_end"), ["key", "segment_id"]).filter(C.meets(F.col("window_begin"), F.col("window_end"))).select("file").distinct()
+    lost = needed.join(read_segy(spark, folder).select("file").distinct(), "file", "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"files of the catalog not under {folder}: {[r[0] for r in lost]}")
+    of_segment = rows.groupBy("key", "segment_id").agg(F.first("fs").alias("fs"))
+    named = cut(windows.join(of_segment, ["key", "segment_id"]))
+    for fs in sorted(r[0] for r in named.select("fs").distinct().collect()):
+        wanted = named.filter(F.col("fs") == fs).drop("fs")
+        there = with_samples(spark, rows.join(wanted.select("key", "segment_id").distinct(), ["key", "segment_id"], "left_semi"), folder)
+        made = desample_windows(there.select("key", "segment_id", "file", "begin_us", "end_us", "channel", "samples"), wanted.select("key", "segment_id", "window_begin", "window_end"), "key", fs, f_max, order)
+        write_processed(made.join(wanted.select("key", "segment_id", "window_begin", "window_end", "file"), ["key", "segment_id", "window_begin"]), out)
+    return named.count()
+
+
+def event_rows(spark: SparkSession, events: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(events)
     missing = {"event_id", "event_time"} - set(rows.columns)
     if missing:
         raise ValueError(f"event columns missing: {sorted(missing)}")
-    ev = rows.select("event_id", parse_iso(F.col("event_time")).alias("event_us"))
+    return rows.withColumn("event_us", parse_iso(F.col("event_time")))
+
+
+def cut_events(spark: SparkSession, path: str, events: str, before: float, after: float, folder: str, out: str, overwrite: bool = False) -> DataFrame:
+    """Cuts the events' samples from their files, writes them to ``out``, one row a channel, and returns the counts by status.
+
+    Missing samples between pieces are zeros. An event that is there is skipped
+    unless ``overwrite``; one with pieces missing or of different rates fails.
+    """
+    rows = event_rows(spark, events).dropDuplicates(["event_id"])
+    ev = rows.select("event_id", "event_us")
+    done = written(spark, out, "event_id") if not overwrite else spark.createDataFrame([], "event_id string")
+    piece = read_catalog(spark, path).withColumn("file", F.struct("file", "first_sample", "fs", F.col("begin_us").alias("row_us")))
+    plan = extract_plan(ev.join(done, "event_id", "left_anti"), piece, int(before * 1e6), int(after * 1e6)).select("event_id", "file.*", "offset", "n_samples")
+    dt = F.lit(1e6) / F.col("fs")
+    plan = plan.withColumn("at_us", F.col("row_us") + F.rint(F.col("offset") * dt).cast("bigint"))
+    w = Window.partitionBy("event_id").orderBy("at_us", "file", "first_sample")
+    gap = F.rint((F.col("at_us") - F.lag(F.col("at_us") + F.col("n_samples") * dt).over(w)) / dt).cast("int")
+    of_event = Window.partitionBy("event_id")
+    plan = plan.withColumns({"_zeros": F.when(gap > 1, gap).otherwise(0), "_n": F.count("*").over(of_event), "begin_us": F.min("at_us").over(of_event), "_even": F.min("fs").over(of_event) == F.max("fs").over(of_event)})
+    parts = plan.filter("_even").join(read_segy(spark, folder).select("file", "channel", F.col("samples").alias("_all")), "file")
+    x = F.slice("_all", (F.col("first_sample") + F.col("offset") + 1).cast("int"), F.col("n_samples").cast("int"))
+    parts = parts.withColumn("_x", F.concat(F.array_repeat(F.lit(0.0).cast("float"), F.col("_zeros")), x))
+    whole = parts.groupBy("event_id", "channel", "begin_us", "fs", "_n").agg(F.array_sort(F.collect_list(F.struct("at_us", "file", "first_sample", "_x"))).alias("_parts")).filter(F.size("_parts") == F.col("_n"))
+    made = whole.select("event_id", "channel", "begin_us", (1 / F.col("fs")).alias("dt"), F.flatten(F.col("_parts._x")).alias("samples"))
+    made = made.join(rows, "event_id").withColumn("event_time_index", F.rint((F.col("event_us") - F.col("begin_us")) / 1e6 / F.col("dt")).cast("bigint"))
+    made = cut(made)
+    write_event(made, out, overwrite=True, keep=True)
+    return status_counts(extract_status(ev, made, done))
+
+
+def event_job(spark: SparkSession, path: str, events: str, before: float, after: float) -> tuple[DataFrame, DataFrame]:
+    """(plan, counts by status) of a table of events (event_id, event_time)."""
+    ev = event_rows(spark, events).select("event_id", "event_us")
     plan = extract_plan(ev, read_catalog(spark, path), int(before * 1e6), int(after * 1e6))
     return plan, status_counts(extract_status(ev, plan, spark.createDataFrame([], "event_id string")))
 
 
+def put(rows: DataFrame, path: str | None) -> None:
+    """All rows to ``path``, where one is given; a preview and their number on the screen."""
+    if path:
+        rows.write.mode("overwrite").option("header", True).format(catalog_format(path)).save(path)
+    n = rows.count()
+    rows.show(20, False)
+    print(n, "rows", f"in {path}" if path else "(--list PATH writes all of them)")
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="fathomline")
     sub = p.add_subparsers(dest="job", required=True)
@@ -75,24 +159,36 @@ def main(args: list[str] | None = None) -> None:
     w.add_argument("--until")
     w.add_argument("--done")
     w.add_argument("--all", action="store_true")
+    w.add_argument("--fmax", type=float, default=0.4)
+    w.add_argument("--order", type=int, default=14)
     e = sub.add_parser("events")
     e.add_argument("--events", required=True)
     e.add_argument("--before", type=float, default=30)
     e.add_argument("--after", type=float, default=60)
+    e.add_argument("--overwrite", action="store_true")
+    for s in (w, e):
+        s.add_argument("--list", help="write the whole list here, parquet or csv by its extension")
+        s.add_argument("--from", dest="folder", help="folder of the recordings, with --to")
+        s.add_argument("--to", dest="out", help="do the work and write it here")
     for s in (c, w, e):
         s.add_argument("--catalog", required=True)
         s.add_argument("--system", default="Proc")
     a = p.parse_args(args)
+    if a.job != "catalog" and (a.folder is None) != (a.out is None):
+        p.error("give both --from and --to, or neither")
     spark = SparkSession.builder.getOrCreate()
     if a.job == "catalog":
         print(load_or_build(spark, a.folder, a.catalog, a.system, a.overwrite).count(), "files")
     elif a.job == "windows":
-        rows = list_windows(spark, a.catalog, int(a.seconds * 1e6), a.since, a.until, a.system, a.done).orderBy("begin")
-        (rows if a.all else rows.limit(1)).show(1000, False)
+        rows, windows = open_windows(spark, a.catalog, int(a.seconds * 1e6), a.since, a.until, a.system, a.done, a.out)
+        windows = cut(windows.orderBy("window_begin") if a.all else windows.orderBy("window_begin").limit(1))
+        put(window_list(windows).orderBy("begin"), a.list)
+        if a.out:
+            print(desample_job(spark, rows, windows, a.folder, a.out, a.fmax, a.order), "windows written")
     else:
         plan, counts = event_job(spark, a.catalog, a.events, a.before, a.after)
-        plan.show(1000, False)
-        counts.show()
+        put(plan.orderBy("event_id", "file", "offset"), a.list)
+        (cut_events(spark, a.catalog, a.events, a.before, a.after, a.folder, a.out, a.overwrite) if a.out else counts).show()
 
 
 if __name__ == "__main__":

@@ -40,12 +40,12 @@ def read_processed(spark: SparkSession, path: str, convert: bool = True, factor:
     return rows.withColumns({"samples": F.transform("samples", lambda x: x.cast("double") * scale), "units": F.when(rate, "microstrain/s").otherwise("microstrain")})
 
 
-def write_event(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Event cut-outs; an output that is there is an error unless ``overwrite``."""
+def write_event(rows: DataFrame, path: str, overwrite: bool = False, keep: bool = False) -> None:
+    """Event cut-outs; an output that is there is an error unless ``overwrite``, which with ``keep`` spares other events."""
     missing = [c for c in EVENT_REQUIRED if c not in rows.columns]
     if missing:
         raise ValueError(f"event columns missing: {missing}")
-    rows.withColumn("samples", F.transform("samples", lambda x: x.cast("float"))).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("event_id").parquet(path)
+    rows.withColumn("samples", F.transform("samples", lambda x: x.cast("float"))).write.mode("overwrite" if overwrite else "errorifexists").option("partitionOverwriteMode", "dynamic" if keep else "static").partitionBy("event_id").parquet(path)
 
 
 def read_event(spark: SparkSession, path: str, first_sample: int = 0, n_samples: int | None = None) -> DataFrame:

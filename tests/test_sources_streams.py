@@ -159,6 +159,33 @@ def test_jobs(spark, tmp_path):
     assert {r.status: r.n for r in counts.collect()} == {"extract": 1, "fail": 1} and plan.count() >= 2
 
 
+def test_jobs_write_all_they_list(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(2, 1000)).astype(np.float32)
+    for i in (0, 1, 2, 3, 4, 6):  # 10 s each, then a hole
+        (tmp_path / f"f{i}.segy").write_bytes(segy.encode_file(x + i, 10_000, (2023, 318, 22, 13 + i // 6, 10 * i % 60)))
+    cat, src, out, evs = (str(tmp_path / n) for n in ("cat.parquet", "*.segy", "proc", "events"))
+    jobs.build_catalog(spark, src, cat, "X")
+    args = ["windows", "--catalog", cat, "--system", "X", "--seconds", "20", "--all", "--list", str(tmp_path / "w.csv"), "--from", src, "--to", out, "--fmax", "4", "--order", "4"]
+    jobs.main(args)
+    listed = spark.read.option("header", True).csv(str(tmp_path / "w.csv"))
+    made = spark.read.parquet(out)
+    assert {r.file for r in listed.collect()} == {r.file for r in made.select("file").distinct().collect()} and listed.count() == 2
+    assert made.count() == 4 and {len(r.samples) for r in made.collect()} == {200}
+    jobs.main(args)  # nothing is left to do
+    assert spark.read.parquet(out).count() == 4
+    (tmp_path / "ev.csv").write_text("event_id,event_time,magnitude\n007,2023-11-14T22:13:10Z,1.5\n8,2023-11-14T22:13:55Z,2\n9,2020-01-01T00:00:00,0\n")
+    args = ["events", "--catalog", cat, "--events", str(tmp_path / "ev.csv"), "--before", "10", "--after", "6", "--list", str(tmp_path / "plan.parquet"), "--from", src, "--to", evs]
+    jobs.main(args)
+    jobs.main(args)
+    assert spark.read.parquet(str(tmp_path / "plan.parquet")).select("event_id").distinct().count() == 2
+    got = {(r.event_id, r.channel): r for r in spark.read.schema("event_id string, channel int, event_time_index long, samples array<float>, magnitude string").parquet(evs).collect()}
+    assert set(got) == {("007", 0), ("007", 1), ("8", 0), ("8", 1)}
+    r = got["007", 1]
+    assert r.event_time_index == 1000 and r.magnitude == "1.5" and np.allclose(r.samples, np.concatenate([x[1], x[1, :600] + 1]))
+    r = got["8", 0]  # 22:13:45 to 50 of one file, then a hole of ten seconds, then one second of the next
+    assert r.event_time_index == 1000 and np.allclose(r.samples, np.concatenate([x[0, 500:] + 4, np.zeros(1000), x[0, :100] + 6]))
+
+
 def test_registered_format(spark, tmp_path):
     from fathomline.sources import formats
 
