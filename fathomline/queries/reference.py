@@ -547,6 +547,16 @@ def ibm_words(spark, sf):
     return rows.filter(F.shiftright("w", 24).bitwiseAND(F.lit(127)) < 70).select("row_id", F.round(K.ibm_float(F.col("w")), 6).alias("v"))
 
 
+@query("""WITH w AS (SELECT row_id, (1092616192 + row_id * 65537) & 4294967295 AS w FROM das_catalog)
+  SELECT row_id, CAST((w >> 24) & 127 AS BIGINT) AS power, round((1 - 2 * (w >> 31)) * ((w & 16777215) / 16777216.0), 9) AS fraction FROM w""")
+def ibm_words_all(spark, sf):
+    """The words of ibm_words whatever their exponent: values as shares of 16^(power - 64)."""
+    w = F.lit(1_092_616_192) + F.col("row_id") * 65537
+    rows = table(spark, sf, "das_catalog").withColumn("w", w.bitwiseAND(F.lit(0xFFFFFFFF)))
+    power = F.floor(F.col("w") / F.lit(1 << 24)) % 128
+    return rows.select("row_id", power.cast("bigint").alias("power"), F.round(K.ibm_float(F.col("w")) / F.pow(F.lit(16.0), power - 64), 9).alias("fraction"))
+
+
 @query("""SELECT hdr_id, CASE WHEN hdr_id % 5 = 0 THEN 'Proc' WHEN hdr_id % 5 = 1 THEN 'ASN' WHEN hdr_id % 5 = 2 THEN 'OptaSense' WHEN hdr_id % 5 = 3 THEN 'APSensing' ELSE 'Event' END AS kind FROM proc_headers""")
 def data_kinds(spark, sf):
     roots = [["Data", "acqSpec"], ["acqSpec", "data"], ["Acquisition"], ["ProcessingServer"], ["data"]]

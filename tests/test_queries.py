@@ -71,6 +71,16 @@ def test_rows_equal_those_of_the_sql(spark):
         assert sorted(tuple(map(plain, r)) for r in df.collect()) == want, name
 
 
+def test_ibm_words_of_every_exponent_are_compared(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(0, 65536, 97).withColumnRenamed("id", "row_id").write.parquet(str(tmp_path / "das_catalog.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view das_catalog as select * from '{tmp_path}/das_catalog.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.queries()["ibm_words_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(queries.oracle_sql()["ibm_words_all"]).fetchall())
+    assert len(got) == 676 and {r[1] for r in got} == set(range(128))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.queries()) <= set(entry.queries())
