@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Collection
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -171,8 +172,23 @@ def column_families(changes: DataFrame, apart: Collection[str] = (), names: Coll
     return {n: named[find(n)] for n in weight}
 
 
+def aliases(families: dict[str, str], names: list[str]) -> dict[str, list[str]]:
+    """Each of ``names`` to the names its values may come under, its own first."""
+    return {n: [n, *sorted(k for k, v in families.items() if v == families.get(n, n) and k != n)] for n in names}
+
+
 def unified(values: Column, families: dict[str, str], names: list[str]) -> list[Column]:
     """One text column per family in ``names`` (or lone column), from a name-to-text map."""
-    alias = {n: [n, *sorted(k for k, v in families.items() if v == families.get(n, n) and k != n)] for n in names}
+    alias = aliases(families, names)
     blank = lambda c: F.when(F.trim(c) != "", c)
     return [F.coalesce(*[blank(F.try_element_at(values, F.lit(a))) for a in alias[n]]).alias(n) for n in names]
+
+
+def others(values: Column, families: dict[str, str], names: list[str]) -> Column:
+    """The filled values that the columns of ``unified`` beside it don't hold, under their own names."""
+    alias = aliases(families, names)
+
+    def held(k: Column, v: Column) -> Column:
+        return reduce(or_, [k.isin(alias[n]) & v.eqNullSafe(F.col(n)) for n in names])
+
+    return F.map_filter(values, lambda k, v: (F.trim(v) != "") & ~held(k, v))

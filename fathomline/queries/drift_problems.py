@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import attr_profile, cell_sketches, column_families, column_names, sketch_profile, unified, version_changes
+from ..operators.drift import attr_profile, cell_sketches, column_families, column_names, others, sketch_profile, unified, version_changes
 from ..session import table
 
 HEADER_COLUMNS = ["nCh", "nt", "fs", "dt", "dCh", "startTime", "endTime", "GaugeLength", "pulseRate", "nodeTemp", "polarity", "firmware", "chain"]
@@ -29,19 +29,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """All headers in one table, whatever their attributes were called."""
+    """All headers in one table, whatever their attributes were called; what no column holds is in others."""
     values = F.from_json("attrs", "map<string,string>")
     plain = F.transform_values(values, lambda _, v: F.regexp_replace(v, r'^\["?([^",]*)"?\]$', "$1"))
     rows = table(spark, sf, "proc_headers").withColumn("_v", plain)
     families = column_families(_proc_changes(spark, sf), HEADER_COLUMNS, column_names(rows, "_v"))
-    return rows.select("hdr_id", "run_id", "file", "file_no", *unified(F.col("_v"), families, HEADER_COLUMNS))
+    out = rows.select("hdr_id", "run_id", "file", "file_no", "_v", *unified(F.col("_v"), families, HEADER_COLUMNS))
+    return out.withColumn("others", others(F.col("_v"), families, HEADER_COLUMNS)).drop("_v")
 
 
 def p5_sheets(spark: SparkSession, sf: str) -> DataFrame:
-    """All sheets' rows in one table, whatever their columns were called."""
+    """All sheets' rows in one table, whatever their columns were called; what no column holds is in others."""
     rows = table(spark, sf, "sheet_rows")
     families = column_families(_sheet_changes(spark, sf), SHEET_COLUMNS, column_names(rows, "cells"))
-    return rows.select("sheet_row_id", "run_id", "sheet_file", "sheet_no", "row_no", *unified(F.col("cells"), families, SHEET_COLUMNS))
+    out = rows.select("sheet_row_id", "run_id", "sheet_file", "sheet_no", "row_no", "cells", *unified(F.col("cells"), families, SHEET_COLUMNS))
+    return out.withColumn("others", others(F.col("cells"), families, SHEET_COLUMNS)).drop("cells")
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_headers, p5_sheets)}

@@ -88,3 +88,14 @@ def test_no_filled_value_vanishes(spark):
         want = spark.read.parquet(str(SMALL / f"{tab}.parquet")).select(F.sum(F.when(values.isNotNull(), filled(values)))).first()[0]
         got = Q.QUERIES[name](spark, str(SMALL)).select(F.sum(sum(F.col(n).isNotNull().cast("int") for n in names))).first()[0]
         assert got == want, name
+
+
+def test_values_of_no_column_are_kept(spark, tmp_path):
+    attrs = ['{"nCh": 5, "laser": "on", "note": " "}', '{"nCh": 5, "NumChannels": 6, "fs": 100}', '{"nCh": [7], "NumChannels": 7}', None]
+    spark.createDataFrame([(i, 1, f"f{i}", i, a) for i, a in enumerate(attrs)], "hdr_id long, run_id long, file string, file_no int, attrs string").write.parquet(str(tmp_path / "proc_headers.parquet"))
+    got = {r.hdr_id: (r.nCh, r.others) for r in Q.p5_headers(spark, str(tmp_path)).collect()}
+    assert got == {0: ("5", {"laser": "on"}), 1: ("5", {"NumChannels": "6"}), 2: ("7", {}), 3: (None, None)}
+    cells = [{"lat": "1", "depth": "3"}, {"lat": "", "latitude": "2", "depth": None}]
+    spark.createDataFrame([(i, 1, "s", 0, i, c) for i, c in enumerate(cells)], "sheet_row_id long, run_id long, sheet_file string, sheet_no int, row_no int, cells map<string,string>").write.parquet(str(tmp_path / "sheet_rows.parquet"))
+    got = {r.sheet_row_id: (r.lat, r.others) for r in Q.p5_sheets(spark, str(tmp_path)).collect()}
+    assert got == {0: ("1", {"depth": "3"}), 1: ("2", {})}
