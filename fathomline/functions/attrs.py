@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
 
 class Int(str):
@@ -53,3 +53,20 @@ def attr_text(attrs: Column, pattern: str) -> Column:
         return pd.Series(out, dtype=object)
 
     return read(attrs)
+
+
+def attr_texts(attrs: Column) -> Column:
+    """All attributes as a map of name to text, numbers as they were written, lists of one element as the element; null stays null."""
+
+    def text(value) -> str | None:
+        while isinstance(value, list) and len(value) == 1:
+            value = value[0]
+        if value is None or isinstance(value, str):
+            return value
+        return json.dumps(value)
+
+    @F.pandas_udf(MapType(StringType(), StringType()))
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else {k: text(v) for k, v in read_attrs(t).items()} for t in texts], dtype=object)
+
+    return read(attrs)

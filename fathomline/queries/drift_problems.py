@@ -5,45 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import attr_profile, cell_sketches, column_families, column_names, others, sketch_profile, unified, version_changes
+from ..functions.attrs import attr_texts
+from ..operators.drift import attr_versions, cell_versions, changes_of, column_families, column_types, others, unified, version_changes
 from ..session import table
 
-HEADER_COLUMNS = ["nCh", "nt", "fs", "dt", "dCh", "startTime", "endTime", "GaugeLength", "pulseRate", "nodeTemp", "polarity", "firmware", "chain"]
-SHEET_COLUMNS = ["index_raw", "fiber", "taptest", "quality", "index_taptest", "lat", "lon", "ele", "azi", "dip", "splice", "remark", "gain"]
 
+def _headers(spark: SparkSession, sf: str) -> DataFrame:
+    return attr_versions(table(spark, sf, "proc_headers"), "run_id", "file_no", "hdr_id", "file", "attrs")
 
-def _proc_changes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "proc_headers").filter("run_id is not null and file_no is not null")
-    files = rows.groupBy("run_id", "file_no").agg(F.min_by(F.struct("file", "attrs"), "hdr_id").alias("f")).select("run_id", "file_no", "f.*")
-    return version_changes(files, "run_id", "file_no", ["file"], "attrs", attr_profile)
 
-
-def _sheet_changes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "sheet_rows").filter("run_id is not null and sheet_no is not null")
-    sheets = cell_sketches(rows.select("run_id", "sheet_no", F.coalesce("sheet_file", F.lit("")).alias("file"), "row_no", "cells"), ["run_id", "sheet_no", "file"], "row_no", "cells")
-    return version_changes(sheets, "run_id", "sheet_no", ["file"], "sheet", sketch_profile, same="columns")
+def _sheets(spark: SparkSession, sf: str) -> DataFrame:
+    return cell_versions(table(spark, sf, "sheet_rows"), "run_id", "sheet_no", "sheet_file", "row_no", "cells")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _proc_changes(spark, sf).withColumn("src", F.lit("proc")).unionByName(_sheet_changes(spark, sf).withColumn("src", F.lit("sheet"))).select("src", "file", "change_kind", "old_name", "new_name")
+    changes = version_changes(_headers(spark, sf).unionByName(_sheets(spark, sf)))
+    return changes.select(F.col("kind").alias("src"), "file", "change_kind", "old_name", "new_name")
+
+
+def _unified(rows: DataFrame, values: str, keys: list[str], versions: DataFrame) -> DataFrame:
+    """The keys, one column a family of names, typed, and what a family's column can't hold."""
+    families = column_families(*changes_of(versions))
+    types = column_types(rows.select(values), families)
+    taken, names = {"others", *(k.lower() for k in keys)}, {}
+    for f in types:  # a family may be called like a key, or differ from another by its case only
+        n = f
+        while n.lower() in taken:
+            n += "_value"
+        taken.add(n.lower())
+        names[f] = n
+    cols = unified(F.col(values), families, types)
+    return rows.select(*keys, *[c.alias(names[f]) for c, f in zip(cols, types, strict=True)], F.to_json(others(F.col(values), families)).alias("others"))
 
 
 def p5_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """All headers in one table, whatever their attributes were called; what no column holds is in others."""
-    values = F.from_json("attrs", "map<string,string>")
-    plain = F.transform_values(values, lambda _, v: F.regexp_replace(v, r'^\["?([^",]*)"?\]$', "$1"))
-    rows = table(spark, sf, "proc_headers").withColumn("_v", plain)
-    families = column_families(_proc_changes(spark, sf), HEADER_COLUMNS, column_names(rows, "_v"))
-    out = rows.select("hdr_id", "run_id", "file", "file_no", "_v", *unified(F.col("_v"), families, HEADER_COLUMNS))
-    return out.withColumn("others", others(F.col("_v"), families, HEADER_COLUMNS)).drop("_v")
+    """All headers in one table, whatever their attributes were called; lists of one element are opened."""
+    return _unified(table(spark, sf, "proc_headers").withColumn("_values", attr_texts(F.col("attrs"))), "_values", ["hdr_id", "run_id", "file", "file_no"], _headers(spark, sf))
 
 
 def p5_sheets(spark: SparkSession, sf: str) -> DataFrame:
-    """All sheets' rows in one table, whatever their columns were called; what no column holds is in others."""
-    rows = table(spark, sf, "sheet_rows")
-    families = column_families(_sheet_changes(spark, sf), SHEET_COLUMNS, column_names(rows, "cells"))
-    out = rows.select("sheet_row_id", "run_id", "sheet_file", "sheet_no", "row_no", "cells", *unified(F.col("cells"), families, SHEET_COLUMNS))
-    return out.withColumn("others", others(F.col("cells"), families, SHEET_COLUMNS)).drop("cells")
+    """All sheets' rows in one table, whatever their columns were called."""
+    return _unified(table(spark, sf, "sheet_rows"), "cells", ["sheet_row_id", "run_id", "sheet_file", "sheet_no", "row_no"], _sheets(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_headers, p5_sheets)}
@@ -54,6 +56,23 @@ FAMILIES = {
     "lat": ["lat", "latitude"], "lon": ["lon", "longitude"], "ele": ["ele", "elevation"], "azi": ["azi", "azimuth"], "dip": ["dip", "dipping angle"], "taptest": ["taptest", "status"],
 }
 KNOWN = ", ".join(f"('{n}', '{f}')" for f, ns in FAMILIES.items() for n in ns)
+LONE = {"dt": "DOUBLE", "nodeTemp": "DOUBLE", "polarity": "BIGINT", "pulseRate": "BIGINT", "firmware": "VARCHAR", "chain": "VARCHAR"}
+HEADER_TYPES = {"nCh": "DOUBLE", "nt": "BIGINT", "fs": "DOUBLE", "dCh": "DOUBLE", "startTime": "VARCHAR", "endTime": "VARCHAR", "GaugeLength": "DOUBLE"} | LONE
+SHEET_TYPES = {"index_raw": "BIGINT", "fiber": "VARCHAR", "taptest": "VARCHAR", "quality": "VARCHAR", "index_taptest": "DOUBLE", "lat": "DOUBLE", "lon": "DOUBLE", "ele": "DOUBLE", "azi": "DOUBLE", "dip": "DOUBLE", "splice": "VARCHAR", "remark": "VARCHAR", "gain": "BIGINT"}
+
+
+def _columns(types: dict[str, str], value: str) -> str:
+    """One typed column a family; ``value`` is the text under the name {n}."""
+
+    def column(family: str, kind: str) -> str:
+        names = [family, *sorted(n for n in FAMILIES.get(family, []) if n != family)]
+        found = "coalesce(" + ", ".join(f"CASE WHEN trim({v}) <> '' THEN {v} END" for n in names for v in [value.format(n=n)]) + ")"
+        return f'{found} AS "{family}"' if kind == "VARCHAR" else f"""CAST(regexp_replace(trim({found}), '^[A-Za-z]+[-_ ]?([0-9]+)$', '\\1') AS {kind}) AS "{family}\""""
+
+    return ", ".join(column(f, k) for f, k in types.items())
+
+
+OPENED = """regexp_replace(attrs ->> '$."{n}"', '^\\["?([^",]*)"?\\]$', '\\1')"""
 
 SQL: dict[str, str] = {
     "p5_found": f"""WITH known(name, fam) AS (VALUES {KNOWN}),
@@ -72,4 +91,6 @@ SQL: dict[str, str] = {
       both_sides AS (SELECT coalesce(now.src, old.src) AS src, coalesce(now.file, old.file) AS file, old.k AS o, now.k AS n, old.kind AS ok, now.kind AS nk FROM now FULL JOIN old ON now.src = old.src AND now.run_id = old.run_id AND now.no = old.no AND now.fam = old.fam)
       SELECT src, file, 'added' AS change_kind, '' AS old_name, n AS new_name FROM both_sides WHERE o IS NULL UNION ALL SELECT src, file, 'removed', o, '' FROM both_sides WHERE n IS NULL
       UNION ALL SELECT src, file, 'renamed', o, n FROM both_sides WHERE o <> n UNION ALL SELECT src, file, 'retyped', o, n FROM both_sides WHERE ok <> nk""",
+    "p5_headers": f"SELECT hdr_id, run_id, file, file_no, {_columns(HEADER_TYPES, OPENED)}, CASE WHEN attrs IS NOT NULL THEN '{{}}' END AS others FROM proc_headers",
+    "p5_sheets": f"SELECT sheet_row_id, run_id, sheet_file, sheet_no, row_no, {_columns(SHEET_TYPES, "cells['{n}']")}, CASE WHEN cells IS NOT NULL THEN '{{}}' END AS others FROM sheet_rows",
 }
