@@ -69,20 +69,22 @@ def cell_versions(df: DataFrame, source: str, order: str, file: str, row: str, c
     spelling: numbers as numbers, also behind a tag of letters (ch100).
     """
     rows = df.select(F.col(source).alias("src"), F.col(order).cast("bigint").alias("ord"), F.col(file).alias("file"), F.col(row).cast("bigint").alias("row"), F.col(cells).alias("cells")).filter("src is not null and ord is not null and cells is not null")
-    each = rows.repartition("src", "ord").select("src", "ord", "file", "row", F.explode("cells").alias("name", "text"))
+    rows = rows.repartition("src", "ord")
+    files = rows.filter(F.size("cells") > 0).groupBy("src", "ord").agg(F.min("file").alias("file"))  # apart, as a text would keep the sums below from hashing
+    each = rows.select("src", "ord", "row", F.explode("cells").alias("name", "text"))
     text = F.lower(F.trim("text"))
-    each = each.select("src", "ord", "file", "row", "name", F.when(text != "", text).alias("t"))
+    each = each.select("src", "ord", "row", "name", F.when(text != "", text).alias("t"))
     rank = F.when(F.col("t").rlike(r"^[+-]?\d+$"), 0).when(F.col("t").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), 1).otherwise(F.when(F.col("t").isNotNull(), 2))
     bare = bare_number(F.col("t"))
-    each = each.select("src", "ord", "file", "name", rank.alias("rank"), F.coalesce(bare.try_cast("double").cast("string"), bare).alias("v"), F.xxhash64("row").alias("h"))
+    each = each.select("src", "ord", "name", rank.alias("rank"), F.coalesce(bare.try_cast("double").cast("string"), bare).alias("v"), F.xxhash64("row").alias("h"))
     each = each.withColumn("hv", F.when(F.col("v").isNotNull(), F.xxhash64("h", "v")))
     own = [F.min(F.hash("h", F.lit(i))).alias(f"c{i}") for i in range(SEEDS)] + [F.min(F.when(F.col("hv").isNotNull(), F.hash("hv", F.lit(i)))).alias(f"m{i}") for i in range(MINIMA)]
-    values = each.groupBy("src", "ord", "name", "v").agg(F.min("file").alias("file"), F.max("rank").alias("rank"), F.count("v").alias("n"), *own)
+    values = each.groupBy("src", "ord", "name", "v").agg(F.max("rank").alias("rank"), F.count("v").alias("n"), *own)
     shared = F.sum(F.when(F.col("v").isNotNull(), F.xxhash64(*[f"c{i}" for i in range(SEEDS)]) / F.lit(1 << 20)))
-    per = values.groupBy("src", "ord", "name").agg(F.min("file").alias("file"), F.max("rank").alias("rank"), F.sum("n").alias("filled"), F.count("v").alias("distinct"), F.round(shared, 0).cast("bigint").alias("classes"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)])
+    per = values.groupBy("src", "ord", "name").agg(F.max("rank").alias("rank"), F.sum("n").alias("filled"), F.count("v").alias("distinct"), F.round(shared, 0).cast("bigint").alias("classes"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)])
     kind = F.when(F.col("rank") == 0, "integer").when(F.col("rank") == 1, "fractional").when(F.col("rank") == 2, "text")
     column = F.struct("name", kind.alias("type"), "filled", "distinct", "classes", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("minima"))
-    sheets = per.groupBy("src", "ord").agg(F.min("file").alias("file"), F.sort_array(F.collect_list(column)).alias("columns"))
+    sheets = per.groupBy("src", "ord").agg(F.sort_array(F.collect_list(column)).alias("columns")).join(files, ["src", "ord"])
     names = F.array_join(F.transform("columns", lambda c: c["name"]), JOINER)
     kinds = F.to_json(F.transform("columns", lambda c: F.struct(c["name"].alias("n"), c["type"].alias("t"))))
     return _versions(sheets, "sheet", "src", "ord", F.lit(0), F.coalesce("file", F.lit("")), kinds, names, F.to_json("columns"))
