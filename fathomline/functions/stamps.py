@@ -1,10 +1,13 @@
 """Every valid reading of a written time stamp.
 
-A reading is (form, microseconds since the epoch, UTC). Numeric dates begin with
-the year, or with the day if dotted; bare numbers count from the epoch in
-seconds, milli-, micro- or nanoseconds; a stamp without a zone is local time of
-the source's own zone, and a local time that occurs twice has two readings.
-Fractions are cut at the microsecond.
+A reading is (form, microseconds since the epoch in UTC, cost). Numeric dates
+begin with the year, or with the day if dotted; those with slashes and the year
+last have a reading with the day and one with the month first. Bare numbers
+count from the epoch in seconds, milli-, micro- or nanoseconds, whichever falls
+into 1990 to 2100. A stamp without a zone is local time of the source's own
+zone, and a local time that occurs twice has two readings. A zone's abbreviation
+has a reading for each offset it may mean; those that the source's own zone
+doesn't share cost more. Fractions are cut at the microsecond.
 
 Defined results: null, empty and unreadable stamps have no reading; a local time
 that a clock change skips is read with the offset before the change; an unknown
@@ -19,17 +22,19 @@ from decimal import Decimal, InvalidOperation
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
-# fixed values: month names and zone abbreviations with their offsets in minutes
+# fixed values: month names, and zone abbreviations with the offsets in minutes they may mean
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 ABBREVIATIONS = {
-    "UTC": 0, "GMT": 0, "Z": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "MET": 60, "CEST": 120, "MEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
-    "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
-    "NST": -210, "NDT": -150, "JST": 540, "KST": 540, "IST": 330, "NPT": 345, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "AWST": 480, "NZST": 720, "NZDT": 780,
-    "AZOT": -60, "AZOST": 0,
+    "UTC": (0,), "GMT": (0,), "Z": (0,), "UT": (0,), "WET": (0,), "WEST": (60,), "BST": (60, 360), "CET": (60,), "MET": (60,), "CEST": (120,), "MEST": (120,), "EET": (120,), "EEST": (180,), "MSK": (180,),
+    "AST": (-240, 180), "ADT": (-180,), "EST": (-300, 600), "EDT": (-240, 660), "CST": (-360, 480, -300), "CDT": (-300, -240), "MST": (-420, 390), "MDT": (-360,), "PST": (-480, 480), "PDT": (-420,), "AKST": (-540,), "AKDT": (-480,), "HST": (-600,),
+    "NST": (-210,), "NDT": (-150,), "JST": (540,), "KST": (540,), "IST": (330, 60, 120), "NPT": (345,), "ACST": (570,), "ACDT": (630,), "AEST": (600,), "AEDT": (660,), "AWST": (480,), "NZST": (720,), "NZDT": (780,),
+    "AZOT": (-60,), "AZOST": (0,), "GST": (240, -120), "SST": (-660, 480), "WST": (480, 780), "ECT": (-300, -240), "AMT": (-240, 240),
 }
+FOREIGN = 20.0  # cost of a meaning that the source's own zone hasn't, where another one is its own
 EARLIEST, LATEST = 631_152_000, 4_102_444_800  # 1990 and 2100, in seconds
 EPOCH = datetime(1970, 1, 1)
 MICRO = timedelta(microseconds=1)
+MINUTE = 60_000_000
 
 CLOCK = r"(?P<H>\d{1,2}):?(?P<M>\d{2})(?::?(?P<S>\d{2})(?:[.,](?P<F>\d+))?)?"
 ZONE = r"\s*(?P<z>Z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?)?\s*(?:\[(?P<zone>[A-Za-z0-9_+\-/]+)\])?"
@@ -37,6 +42,7 @@ FORMS = [
     ("ymd", re.compile(rf"(?P<Y>\d{{4}})(?P<sep>[-/])(?P<m>\d{{1,2}})(?P=sep)(?P<d>\d{{1,2}})(?P<t>[T ]){CLOCK}{ZONE}")),
     ("ordinal", re.compile(rf"(?P<Y>\d{{4}})-(?P<j>\d{{3}})[T ]{CLOCK}{ZONE}")),
     ("compact", re.compile(rf"(?P<Y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})[T ]{CLOCK}{ZONE}")),
+    ("slashed", re.compile(rf"(?P<d>\d{{1,2}})/(?P<m>\d{{1,2}})/(?P<Y>\d{{4}})[T ]{CLOCK}{ZONE}")),
     ("dotted", re.compile(rf"(?P<d>\d{{1,2}})\.(?P<m>\d{{1,2}})\.(?P<Y>\d{{4}})[T ]{CLOCK}{ZONE}")),
     ("name_first", re.compile(rf"(?P<b>[A-Za-z]{{3,9}})\.? (?P<d>\d{{1,2}}),? (?P<Y>\d{{4}}),? {CLOCK}\s*(?P<p>[AaPp]\.?[Mm]\.?)?{ZONE}")),
     ("day_first", re.compile(rf"(?:[A-Za-z]{{3}}, )?(?P<d>\d{{1,2}})[ -](?P<b>[A-Za-z]{{3,9}})\.?[ -](?P<Y>\d{{4}}),? {CLOCK}\s*(?P<p>[AaPp]\.?[Mm]\.?)?{ZONE}")),
@@ -64,16 +70,16 @@ def _local(at: datetime, zone: ZoneInfo) -> list[tuple[int, str, int]]:
     return out or [(0, "", int(at.replace(tzinfo=zone, fold=0).utcoffset().total_seconds() // 60))]
 
 
-def _epoch(text: str) -> list[tuple[str, int]]:
+def _epoch(text: str) -> list[tuple[str, int, float]]:
     try:
         v = Decimal(text)
     except InvalidOperation:
         return []
-    return [(f"epoch_{u}", int(v * 1_000_000 / k)) for u, k in (("s", 1), ("ms", 10**3), ("us", 10**6), ("ns", 10**9)) if EARLIEST <= v / k < LATEST]
+    return [(f"epoch_{u}", int(v * 1_000_000 / k), 0.0) for u, k in (("s", 1), ("ms", 10**3), ("us", 10**6), ("ns", 10**9)) if EARLIEST <= v / k < LATEST]
 
 
-def readings(text: str | None, tz: str | None) -> list[tuple[str, int]]:
-    """All valid (form, utc microseconds) of a stamp."""
+def readings(text: str | None, tz: str | None) -> list[tuple[str, int, float]]:
+    """All valid (form, utc microseconds, cost) of a stamp, each instant once, the first the likeliest."""
     if text is None:
         return []
     s = text.strip()
@@ -81,13 +87,17 @@ def readings(text: str | None, tz: str | None) -> list[tuple[str, int]]:
         return []
     if NUMBER.fullmatch(s):
         return _epoch(s)
+    found: dict[int, tuple[str, int, float]] = {}
     for form, pattern in FORMS:
         if m := pattern.fullmatch(s):
-            return _dated(form, m.groupdict(), tz)
-    return []
+            g = m.groupdict()
+            for tag, parts in ((form, g), (form + "_us", g | {"d": g["m"], "m": g["d"]})) if form == "slashed" else ((form, g),):
+                for r in _dated(tag, parts, tz):
+                    found.setdefault(r[1], r)
+    return list(found.values())
 
 
-def _dated(form: str, g: dict, tz: str | None) -> list[tuple[str, int]]:
+def _dated(form: str, g: dict, tz: str | None) -> list[tuple[str, int, float]]:
     hour = int(g["H"])
     if half := g.get("p"):
         if not 1 <= hour <= 12:
@@ -114,16 +124,14 @@ def _dated(form: str, g: dict, tz: str | None) -> list[tuple[str, int]]:
     if z and re.search(r"\d", z):
         digits = re.sub(r"\D", "", z)
         minutes = (int(digits[:2]) * 60 + int(digits[2:] or 0)) * (-1 if "-" in z else 1)
-        return [(tag + "+", micros - minutes * 60_000_000)]
+        return [(tag + "+", micros - minutes * MINUTE, 0.0)]
+    own = _zone(tz)
     if z:
-        own = _zone(tz)
-        named = [(f, o) for f, name, o in _local(at, own) if name == z.upper()] if own and z.upper() not in ("UTC", "GMT", "Z") else []
-        if named:
-            return [(tag + "abbr", micros - o * 60_000_000) for _, o in named]
-        if z.upper() in ABBREVIATIONS:
-            return [(tag + "abbr", micros - ABBREVIATIONS[z.upper()] * 60_000_000)]
-        return []
-    own = _zone(zone) if zone else _zone(tz) or ZoneInfo("UTC")
+        name = z.upper()
+        mine = [o for _, n, o in _local(at, own) if n == name] if own and name not in ("UTC", "GMT", "Z") else []
+        theirs = [o for o in ABBREVIATIONS.get(name, ()) if o not in mine]
+        return [(tag + "abbr", micros - o * MINUTE, 0.0) for o in mine] + [(f"{tag}abbr{o}", micros - o * MINUTE, FOREIGN if mine else 0.0) for o in theirs]
+    own = _zone(zone) if zone else own or ZoneInfo("UTC")
     if own is None:
         return []
-    return [(tag + "local", micros - o * 60_000_000) for _, _, o in _local(at, own)]
+    return [(tag + "local", micros - o * MINUTE, 0.0) for _, _, o in _local(at, own)]

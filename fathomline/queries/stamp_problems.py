@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attrs import attr_text
-from ..functions.stamps import ABBREVIATIONS, CANONICAL
+from ..functions.stamps import CANONICAL
 from ..operators.stamps import AGAINST, paired_states, readings, settle, single_states
 from ..session import table
 
@@ -14,6 +14,7 @@ START_NAME = r"(start|begin|beg)(time|timestamp|stamp)?|t0|firstsampletime"
 CHUNK = 4096
 WRITTEN_WITHIN_US = 24 * 60_000_000  # a file of 20 minutes at most, written 4 minutes later at most
 SECOND_US = 1_000_000
+MONTH_US = 30 * 86_400_000_000
 
 
 def _zoned(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
@@ -27,24 +28,25 @@ def _proc(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("found", readings(F.col("stamp"), F.col("tz")))
     late = lambda us: F.col("written") - us
     states = single_states(F.col("found"), lambda us: F.when((late(us) < -SECOND_US) | (late(us) > WRITTEN_WITHIN_US + SECOND_US), F.lit(AGAINST)))
-    chosen = settle(rows, "hdr_id", F.col("run_id"), F.floor(F.col("file_no") / CHUNK), F.col("file_no"), states, F.array("stamp"))
-    return chosen.select(F.lit("proc").alias("src"), F.col("hdr_id").alias("rec_id"), F.lit("startTime").alias("stamp_field"), F.col("keep")[0].alias("stamp"), F.col("us")[0].alias("utc_us"))
+    return rows.select(F.col("hdr_id").alias("rec_id"), F.concat(F.lit("proc "), F.col("run_id")).alias("source"), F.floor(F.col("file_no") / CHUNK).alias("chunk"), F.col("file_no").cast("bigint").alias("at"), states.alias("states"), F.array(F.lit("proc"), "stamp").alias("keep"))
 
 
 def _event(spark: SparkSession, sf: str) -> DataFrame:
-    """begin_time and event_time of every event."""
-    rows = _zoned(spark, sf, table(spark, sf, "event_headers").select("ev_id", "array_id", "begin_time", "event_time", "time_before", "event_time_index", "dt_s"))
+    """begin_time and event_time of every event, in the order of extraction."""
+    rows = _zoned(spark, sf, table(spark, sf, "event_headers").select("ev_id", "array_id", "begin_time", "event_time", "time_before", "event_time_index", "dt_s", F.unix_micros("extracted_at").alias("at")))
     rows = rows.withColumns({"b": readings(F.col("begin_time"), F.col("tz")), "e": readings(F.col("event_time"), F.col("tz"))})
     lead = F.coalesce("time_before", F.col("event_time_index") * F.col("dt_s")) * 1e6
     states = paired_states(F.col("b"), F.col("e"), lambda b, e: F.when(F.abs(e - b - lead) > 2 * SECOND_US, F.lit(AGAINST)))
-    chosen = settle(rows, "ev_id", F.col("array_id"), F.floor(F.col("ev_id") / CHUNK), F.col("ev_id"), states, F.array("begin_time", "event_time"))
-    fields = [F.struct(F.lit(c).alias("stamp_field"), F.col("keep")[i].alias("stamp"), F.col("us")[i].alias("utc_us")) for i, c in enumerate(("begin_time", "event_time"))]
-    return chosen.select(F.lit("event").alias("src"), F.col("ev_id").alias("rec_id"), F.inline(F.array(*fields)))
+    return rows.select(F.col("ev_id").alias("rec_id"), F.concat(F.lit("event "), F.col("array_id")).alias("source"), F.floor(F.col("at") / MONTH_US).alias("chunk"), "at", states.alias("states"), F.array(F.lit("event"), "begin_time", "event_time").alias("keep"))
 
 
 def _stamps(spark: SparkSession, sf: str) -> DataFrame:
     """(src, rec_id, stamp_field, stamp, utc_us) of every stamp."""
-    return _proc(spark, sf).unionByName(_event(spark, sf))
+    rows = _proc(spark, sf).unionByName(_event(spark, sf))
+    chosen = settle(rows, "rec_id", F.col("source"), F.col("chunk"), F.col("at"), F.col("states"), F.col("keep"))
+    field = lambda name, i: F.struct(F.lit(name).alias("stamp_field"), F.get("keep", F.lit(i + 1)).alias("stamp"), F.get("us", F.lit(i)).alias("utc_us"))
+    fields = F.when(F.col("keep")[0] == "proc", F.array(field("startTime", 0))).otherwise(F.array(field("begin_time", 0), field("event_time", 1)))
+    return chosen.select(F.col("keep")[0].alias("src"), "rec_id", F.inline(fields))
 
 
 def p3_stamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +61,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_stamps)}
 # the same by one pattern a form, and by the records' evidence alone, without a path
-ABBREVIATED = ", ".join(f"('{n}', {m})" for n, m in ABBREVIATIONS.items())
+# fixed values: abbreviations of the clocks in these tables, in minutes
+ABBREVIATED = "('UTC', 0), ('GMT', 0), ('Z', 0), ('CET', 60), ('CEST', 120), ('EET', 120), ('EEST', 180), ('EST', -300), ('EDT', -240), ('PST', -480), ('PDT', -420), ('NST', -210), ('NDT', -150), ('JST', 540), ('ACST', 570), ('ACDT', 630)"
 
 SQL: dict[str, str] = {
     "p3_found": rf"""WITH abbr(zn, mins) AS (VALUES {ABBREVIATED}),
