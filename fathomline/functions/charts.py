@@ -17,7 +17,7 @@ STUCK_RUN = 10
 JUMP = 10.0
 LONGEST = 3
 LIMIT = 6.0
-PIECE, OVERLAP = 8192, 512
+PIECE, RUN_UP = 8192, 512
 WEIGHT_MEAN, WEIGHT_SCALE = 0.6, 0.08
 
 
@@ -48,17 +48,25 @@ def scatter(x: np.ndarray) -> np.ndarray:
     return 1.4826 * _median_rows(np.abs(d - _median_rows(d)[:, None]))
 
 
-def chart(x: np.ndarray, s0: np.ndarray) -> np.ndarray:
-    """Suspected values of each row; NaNs are passed over."""
+State = tuple[np.ndarray, np.ndarray, np.ndarray]  # mean, variance, suspected values on end
+
+
+def _begin(x: np.ndarray, s0: np.ndarray) -> State:
+    """The state before the first value: the level is the value nearest to the median of the first ones."""
     k, n = x.shape
     head = x[:, : min(n, 9)]
     mean = _median_rows(head)
     mean = np.where(np.isnan(mean), _median_rows(x), mean)
-    # the median of the first values may lie on neither side of an early step: begin at the value nearest to it
+    # the median may lie on neither side of an early step
     near = np.nanargmin(np.where(np.isnan(head), np.inf, np.abs(head - mean[:, None])), axis=1)
-    mean = np.where(np.isnan(head[np.arange(k), near]), mean, head[np.arange(k), near])
-    var, floor = s0**2, s0**2
-    on = np.zeros(k, np.int64)
+    at = head[np.arange(k), near]
+    return np.where(np.isnan(at), mean, at), s0**2, np.zeros(k, np.int64)
+
+
+def _walk(x: np.ndarray, s0: np.ndarray, state: State) -> tuple[np.ndarray, State]:
+    """Suspected values of each row from a state on, and the state after the last value; NaNs are passed over."""
+    k, n = x.shape
+    (mean, var, on), floor = state, s0**2
     out = np.zeros((k, n), bool)
     for t in range(n):
         v = x[:, t]
@@ -75,7 +83,37 @@ def chart(x: np.ndarray, s0: np.ndarray) -> np.ndarray:
         on = np.where(moved, 0, on)
         w = WEIGHT_SCALE * np.where(bad, 0.25, 1.0)
         var = np.where(there, np.maximum(floor, (1 - w) * var + w * clipped**2), var)
-    return out
+    return out, (mean, var, on)
+
+
+def chart(x: np.ndarray, s0: np.ndarray) -> np.ndarray:
+    """Suspected values of each row.
+
+    Long rows are walked in pieces at once. A piece begins with the state that a
+    run-up over the values before it gives; where that isn't exactly the state
+    the piece before ends with, the piece is walked again from there. So the
+    chart is that of the whole row, whatever its length.
+    """
+    k, n = x.shape
+    if n <= PIECE:
+        return _walk(x, s0, _begin(x, s0))[0]
+    pieces = -(-n // PIECE)
+    cut = np.full((k, pieces * PIECE), np.nan)
+    cut[:, :n] = x
+    cut = cut.reshape(k, pieces, PIECE)
+    rows = lambda a: a.reshape(k * pieces, *a.shape[2:])
+    runup = cut[:, :-1, -RUN_UP:].reshape(k * (pieces - 1), RUN_UP)
+    late = np.repeat(s0, pieces - 1)
+    begun = [np.concatenate([a[:, None], b.reshape(k, -1)], axis=1) for a, b in zip(_begin(x, s0), _walk(runup, late, _begin(runup, late))[1], strict=True)]
+    out, ended = _walk(rows(cut), np.repeat(s0, pieces), tuple(b.ravel() for b in begun))
+    out, ended = out.reshape(k, pieces, PIECE), [e.reshape(k, pieces) for e in ended]
+    for p in range(1, pieces):
+        again = np.nonzero(np.any([b[:, p] != e[:, p - 1] for b, e in zip(begun, ended, strict=True)], axis=0))[0]
+        if len(again):
+            out[again, p], end = _walk(cut[again, p], s0[again], tuple(e[again, p - 1] for e in ended))
+            for e, v in zip(ended, end, strict=True):
+                e[again, p] = v
+    return out.reshape(k, -1)[:, :n]
 
 
 def _beside(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,22 +140,10 @@ def implausible(x: np.ndarray) -> np.ndarray:
         s = scatter(z)
         usable = np.isfinite(s) & (s > 0)
         if usable.any():
-            flags[usable] |= _spikes_in_pieces(z[usable], s[usable])
+            flags[usable] |= _spikes(z[usable], s[usable])
         return flags
 
 
-def _spikes_in_pieces(z: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Long series are cut into overlapping pieces, so that the walk stays short; each piece answers for its middle."""
-    k, n = z.shape
-    if n <= PIECE:
-        return _spikes(z, s)
-    pieces = -(-n // PIECE)
-    padded = np.full((k, pieces * PIECE + 2 * OVERLAP), np.nan)
-    padded[:, OVERLAP : OVERLAP + n] = z
-    cut = np.lib.stride_tricks.sliding_window_view(padded, PIECE + 2 * OVERLAP, axis=1)[:, ::PIECE].reshape(k * pieces, -1)
-    return _spikes(cut, np.repeat(s, pieces))[:, OVERLAP : OVERLAP + PIECE].reshape(k, -1)[:, :n]
-
-
 def _spikes(z: np.ndarray, s: np.ndarray) -> np.ndarray:
     k, n = z.shape
     there = ~np.isnan(z)

@@ -52,6 +52,26 @@ def test_long_series_are_cut_without_a_seam():
     assert found(x) == at
 
 
+def test_pieces_give_the_chart_of_the_whole_row(monkeypatch):
+    rng = np.random.default_rng(4)
+    for kind in range(6):
+        x = rng.normal(0, 1, (3, 3000)) + (kind == 1) * np.cumsum(rng.normal(0, 1, (3, 3000)), axis=1) + (kind == 2) * 40 * np.sin(np.arange(3000) / 50)
+        if kind > 2:
+            x[:, rng.integers(0, 3000, 60)] += rng.choice([-1, 1], 60) * 60
+        if kind > 3:
+            x[:, 900:1400] = np.nan
+            x[1, rng.integers(0, 3000, 900)] = np.nan
+        if kind == 5:
+            x[:, 1000:] *= np.exp(np.arange(2000) / 300)  # the scale grows, so that a run-up does not tell it
+        s = C.scatter(x)
+        whole = C.chart(x, s)
+        for piece, up in ((256, 64), (256, 4), (1000, 512)):
+            monkeypatch.setattr(C, "PIECE", piece)
+            monkeypatch.setattr(C, "RUN_UP", up)
+            assert (C.chart(x, s) == whole).all(), (kind, piece)
+        monkeypatch.undo()
+
+
 def test_column_of_arrays(spark):
     x = noise(50, 1)
     x[10] = 99
