@@ -1,14 +1,17 @@
 """Units: a grammar for written units, exponent vectors, conversion to canonical units.
 
     unit    := factor { ("·" | "*" | "." | blank)? factor | ("/" | "per") factor }
-    factor  := number | symbol [ "^"? exponent ]
-    number  := decimal [ ("e" | "x10^" | "^") exponent ]
+    factor  := number | symbol [ exponent ] | "(" unit ")" [ exponent ]
+    number  := decimal [ ("e" | "x10^" | "^") digits ]
+    exponent := "^"? digits, or superscripts
 
 A unit is (scale, offset, exponents) over the dimensions metre, second, radian,
 count and kelvin; strain is metre per metre, so it has no exponent at all. A
 value is scale times the written one plus the offset, which only a temperature
-by itself has. Text around a unit is searched clause by clause for the one the
-text states.
+by itself has. In a free text every phrase is parsed; of the phrases that are
+units of the quantity sought the best stands for the text: one that is a clause
+by itself, or whose clause speaks of what is recorded and not of other things or
+of former times.
 
 Defined results: null, blank and placeholder units ('-', 'n/a', 'unknown', ...)
 count as not stated; a text that states no unit gives null; text of any length
@@ -29,7 +32,7 @@ class Unit(NamedTuple):
 
 
 # fixed values: prefixes, symbols and words of units
-PREFIXES = {"nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "kilo": 1e3, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "k": 1e3}
+PREFIXES = {"pico": 1e-12, "nano": 1e-9, "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "kilo": 1e3, "p": 1e-12, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "k": 1e3}
 BASES = {
     "strain": (1.0, (0, 0, 0, 0, 0)), "ε": (1.0, (0, 0, 0, 0, 0)),
     "m": (1.0, (1, 0, 0, 0, 0)), "metre": (1.0, (1, 0, 0, 0, 0)), "meter": (1.0, (1, 0, 0, 0, 0)),
@@ -37,10 +40,11 @@ BASES = {
     "rad": (1.0, (0, 0, 1, 0, 0)), "radian": (1.0, (0, 0, 1, 0, 0)),
     "count": (1.0, (0, 0, 0, 1, 0)), "cts": (1.0, (0, 0, 0, 1, 0)), "ct": (1.0, (0, 0, 0, 1, 0)),
     "ft": (0.3048, (1, 0, 0, 0, 0)), "foot": (0.3048, (1, 0, 0, 0, 0)), "feet": (0.3048, (1, 0, 0, 0, 0)),
-    "in": (0.0254, (1, 0, 0, 0, 0)), "inch": (0.0254, (1, 0, 0, 0, 0)),
+    "yd": (0.9144, (1, 0, 0, 0, 0)), "yard": (0.9144, (1, 0, 0, 0, 0)), "in": (0.0254, (1, 0, 0, 0, 0)), "inch": (0.0254, (1, 0, 0, 0, 0)),
 }
 TEMPERATURES = {"kelvin": (1.0, 0.0), "°c": (1.0, 273.15), "degc": (1.0, 273.15), "celsius": (1.0, 273.15), "°f": (5 / 9, 273.15 - 32 * 5 / 9), "degf": (5 / 9, 273.15 - 32 * 5 / 9), "fahrenheit": (5 / 9, 273.15 - 32 * 5 / 9)}
 LENGTH, TEMPERATURE = (1, 0, 0, 0, 0), (0, 0, 0, 0, 1)
+SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-")
 PREFIXED = {"strain", "ε", "m", "metre", "meter", "s", "sec", "second", "rad", "radian"}
 PLACEHOLDERS = {"", "-", "--", "n/a", "na", "none", "null", "nan", "unknown", "unk", "?", "unit", "units"}
 LABELS = {"raw", "phase", "unit", "units", "amplitude", "gl", "gauge", "length"}
@@ -60,7 +64,7 @@ def symbol(word: str) -> Unit | None:
         if w.startswith(p):
             rest = w[len(p) :].lstrip("-")
             for s in (rest, rest[:-1] if len(rest) > 3 and rest.endswith("s") else rest):
-                if s in PREFIXED:
+                if s in PREFIXED and (k > 1e-12 or s in ("strain", "ε")):  # pm is no length
                     return Unit(k * BASES[s][0], 0.0, BASES[s][1])
     return None
 
@@ -73,8 +77,8 @@ def _times(a: Unit, b: Unit) -> Unit:
     return Unit(a.scale * b.scale, 0.0, tuple(x + y for x, y in zip(a.dims, b.dims, strict=True)))
 
 
-def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
-    """The longest unit that starts at ``at``, and where it ends; (None, at) if none does."""
+def parse(text: str, at: int = 0, inside: bool = False) -> tuple[Unit | None, int]:
+    """The longest unit that starts at ``at``, and where it ends; (None, at) if none does. Inside brackets a blank multiplies, too."""
     total, end, sign, named, prefix = Unit(1.0, 0.0, (0, 0, 0, 0, 0)), at, 1, False, None
     pos = at
     while m := TOKEN.match(text, pos):
@@ -96,7 +100,7 @@ def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
                 prefix, pos = PREFIXES[w.rstrip("-")], m.end()
                 continue
             u = symbol(t)
-            if u is None or (named and sign == 1 and text[m.start() : m.start() + 1].isspace() and not _exponent(text, m.end())):
+            if u is None or (named and sign == 1 and not inside and text[m.start() : m.start() + 1].isspace() and not _exponent(text, m.end())):
                 break
             if prefix:
                 u, prefix = Unit(u.scale * prefix, 0.0, u.dims), None
@@ -105,6 +109,16 @@ def parse(text: str, at: int = 0) -> tuple[Unit | None, int]:
                 u, pos = _power(u, e[0]), e[1]
             total, sign, named, end = _times(total, _power(u, sign)), 1, True, pos
             continue
+        if kind == "op" and t == "(" and (not named or sign == -1 or text[: m.start()].rstrip().endswith(("*", "·"))):
+            u, until = parse(text, m.end(), True)
+            close = re.compile(r"\s*\)").match(text, until)
+            if u is None or not close:
+                break
+            pos = close.end()
+            if e := _exponent(text, pos):
+                u, pos = _power(u, e[0]), e[1]
+            total, sign, named, end = _times(total, _power(u, sign)), 1, True, pos
+            continue
         if kind == "op" and t == "/" and named:
             sign, pos = -1, m.end()
             continue
@@ -122,6 +136,11 @@ def _exponent(text: str, at: int) -> tuple[int, int] | None:
     return (int(m[1] or m[2]), m.end()) if m else None
 
 
+def plain(text: str) -> str:
+    """The text with superscripts as ^ and digits."""
+    return re.sub(r"[⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻]+", lambda m: "^" + m.group().translate(SUPERSCRIPTS), text)
+
+
 def stated(text: str | None) -> bool:
     return text is not None and text.strip().lower() not in PLACEHOLDERS
 
@@ -131,7 +150,10 @@ def unit_of(text: str | None) -> Unit | None:
     """The unit a unit field holds, such as ``micro-strain s^-1``, ``phase [rad]``, ``count (int32)``."""
     if not stated(text):
         return None
-    s = text.strip()
+    s = plain(text.strip())
+    u, end = parse(s)
+    if u and end == len(s):
+        return u
     if m := re.search(r"\[([^\]]+)\]", s):
         u, end = parse(m[1].strip())
         if u and not m[1][end:].strip():
@@ -148,24 +170,66 @@ def _after_labels(text: str, at: int) -> int:
     return at
 
 
-ABOUT_SIGNAL = re.compile(r"(stored as|values are|payload in|units?\s*[:=]|samples? (?:are )?(?:in|as)|amplitudes? (?:in|as|are)|recorded (?:in|as)|data (?:in|are)|\[)\s*", re.I)
-WORTHLESS = re.compile(r"plotted|displayed|shown|spacing|gauge|loop|splice|was |before|formerly", re.I)
+class Phrase(NamedTuple):
+    """A unit within a text, the clause it stands in, and the clause's words beside it."""
+
+    unit: Unit
+    clause: int
+    beside: tuple[str, ...]
+
+
+START = re.compile(r"(?<![A-Za-z0-9µμε°.])(?=[A-Za-z0-9µμε°(])")
+VALUE = re.compile(r"\d+(?:\.\d+)?\s*(?![\d.^x])(?=[A-Za-zµμε°(])")
+WORD = re.compile(r"[A-Za-z]+")
+PREPOSITION = re.compile(r"in\s+[A-Za-zµμε°(\d]", re.I)  # and no inches
+
+
+def phrases(text: str) -> list[Phrase]:
+    """Every phrase that is a unit, the longest from each beginning on; asides in brackets are clauses of their own.
+
+    A number before a unit is its value, unless it is a power of ten.
+    """
+    found = []
+    clauses = [c for part in re.split(r"[;,]", plain(text)) for c in (part, *re.findall(r"\(([^()]*)\)", part))]
+    for at, clause in enumerate(clauses):
+        pos = 0
+        while m := START.search(clause, pos):
+            begin = m.end()
+            value = VALUE.match(clause, begin)
+            if value and re.fullmatch(r"\d+(\.\d+)?e", clause[begin : value.end() + 1].strip(), re.I) and re.match(r"e[+-]?\d", clause[value.end() :], re.I):
+                value = None
+            u, end = parse(clause, value.end() if value else begin)
+            preposition = PREPOSITION.match(clause, value.end() if value else begin) and not (value and u and u.dims == LENGTH and re.match(r"\s+of\b", clause[end:]))
+            if u is None or preposition or re.match(r"[A-Za-z0-9µμε°]", clause[end:]):
+                pos = (w.end() if (w := re.compile(r"[A-Za-z0-9µμε°.]+|.").match(clause, begin)) else begin + 1)
+                continue
+            beside = re.sub(r"\([^()]*\)", " ", clause[:begin]) + " " + re.sub(r"\([^()]*\)", " ", clause[end:])
+            found.append(Phrase(u, at, tuple(w.lower() for w in WORD.findall(beside))))
+            pos = end
+    return found
+
+
+# fixed values: words of a clause that speak of what is recorded, of other things and of former times, of what holds now
+RECORDED = {"unit", "units", "stored", "recorded", "values", "samples", "sample", "payload", "amplitude", "amplitudes", "data", "gauge", "gl", "length"}
+ELSEWHERE = {"plotted", "displayed", "shown", "spacing", "loop", "splice", "jacket", "slack", "was", "before", "formerly", "previously"}
+NOW = {"now", "since"}
+
+
+def best(found: list[Phrase]) -> Unit | None:
+    """The unit of the phrase that its clause speaks most for, the first of those that tie; none if it speaks against all."""
+
+    def score(p: Phrase) -> int:
+        words = set(p.beside)
+        return 2 * (not words) + bool(words & RECORDED) + bool(words & NOW) - 3 * len(words & ELSEWHERE)
+
+    good = [p for p in found if score(p) >= 0]
+    return max(good, key=lambda p: (score(p), -p.clause)).unit if good else None
 
 
 @lru_cache(maxsize=65536)
 def signal_unit_in(text: str | None) -> Unit | None:
     """The unit that a free text states for the recorded values (strain, phase or counts, or their rates)."""
-    if not text:
-        return None
-    for clause in re.split(r"[;,]", text):
-        for m in ABOUT_SIGNAL.finditer(clause):
-            lead = clause[: m.start()]
-            if WORTHLESS.search(lead):
-                continue
-            u, _ = parse(clause, _after_labels(clause, m.end()))
-            if u and is_signal(u):
-                return u
-    return None
+    return best([p for p in phrases(text) if is_signal(p.unit)]) if text else None
 
 
 def is_signal(u: Unit) -> bool:
@@ -173,43 +237,13 @@ def is_signal(u: Unit) -> bool:
     return m == 0 and kelvin == 0 and s in (0, -1) and (rad, count) in ((0, 0), (1, 0), (0, 1))
 
 
-CUE = re.compile(r"gauge|\bgl\b|\bunits?\b", re.I)
-LENGTH_WORDS = re.compile(r"[A-Za-z]+")
-
-
 @lru_cache(maxsize=65536)
 def length_unit_in(note: str | None) -> Unit | None:
-    """The unit of length that a note states for the gauge, leaving out lengths of other things.
-
-    Of a note's clauses (parentheses are asides) the first counts that is a unit,
-    begins with one, is a number with a unit, or speaks of the gauge or the unit.
-    """
-    if not stated(note):
-        return None
-    for clause in re.split(r"[;,]", re.sub(r"\([^)]*\)", " ", note)):
-        c = clause.strip()
-        if not c:
-            continue
-        if m := re.match(r"\d+(?:\.\d+)?(?:e[+-]?\d+)?\s*", c, re.I):
-            u, end = parse(c, m.end())
-            if u and u.dims == LENGTH and not c[end:].strip(" ."):
-                return u
-            continue
-        u, end = parse(c)
-        if u and u.dims == LENGTH and re.match(r"\W|$", c[end:]) and (c[:end].lower() != "in" or not c[end:].strip()):
-            return u
-        if CUE.search(c):
-            for m in re.finditer(r"(?<![A-Za-z])(?:\d+(?:\.\d+)?\s*)?([A-Za-z]+)(?![A-Za-z])", c):
-                w = m[1].lower()
-                if w == "in" and not re.match(r"\s*$", c[m.end() :]):
-                    continue  # the preposition
-                u = symbol(m[1])
-                if u and u.dims == LENGTH:
-                    return u
-    return None
+    """The unit of length that a note states for the gauge."""
+    return best([p for p in phrases(note) if p.unit.dims == LENGTH]) if stated(note) else None
 
 
-NAMES = {1.0: "", 1e-6: "micro", 1e-9: "nano", 1e-3: "milli"}
+NAMES = {1.0: "", 1e-6: "micro", 1e-9: "nano", 1e-12: "pico", 1e-3: "milli"}
 
 
 def name_of(u: Unit) -> str | None:
@@ -218,7 +252,7 @@ def name_of(u: Unit) -> str | None:
     if u.dims == TEMPERATURE:
         return next((n for n in ("K", "°C", "°F") if (t := symbol(n)) and abs(t.scale - u.scale) < 1e-9 and abs(t.offset - u.offset) < 1e-9), None)
     if u.dims == LENGTH:
-        for name, k in (("m", 1.0), ("mm", 1e-3), ("cm", 1e-2), ("ft", 0.3048), ("in", 0.0254)):
+        for name, k in (("m", 1.0), ("mm", 1e-3), ("cm", 1e-2), ("ft", 0.3048), ("in", 0.0254), ("yd", 0.9144)):
             if abs(u.scale / k - 1) < 1e-9:
                 return name
         return None

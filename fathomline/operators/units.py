@@ -27,6 +27,11 @@ def _frame(found: list) -> pd.DataFrame:
     return pd.DataFrame({"name": [u and U.name_of(u) for u in found], "scale": [u.scale if u else None for u in found], "offset": [u.offset if u else None for u in found], "dims": [list(u.dims) if u else None for u in found]})
 
 
+def _once(read):
+    """The function as one that Spark must not repeat: else a filter on what it gives is pushed below it, with a second call."""
+    return read.asNondeterministic()
+
+
 def signal_unit(field: Column, texts: Column) -> Column:
     """The unit struct of a signal's unit field, or else of the first text (of an array) that states one."""
 
@@ -41,7 +46,7 @@ def signal_unit(field: Column, texts: Column) -> Column:
                 found.append(next((x for t in (ts if ts is not None else ()) if (x := U.signal_unit_in(t))), None))
         return _frame(found)
 
-    return read(field, texts)
+    return _once(read)(field, texts)
 
 
 def length_unit(note: Column) -> Column:
@@ -51,7 +56,7 @@ def length_unit(note: Column) -> Column:
     def read(notes: pd.Series) -> pd.DataFrame:
         return _frame([U.length_unit_in(n) or U.symbol("m") for n in notes])
 
-    return read(note)
+    return _once(read)(note)
 
 
 def canonical_unit(unit: Column) -> Column:
@@ -75,7 +80,7 @@ def quantities(text: Column) -> Column:
         found = [U.quantity_of(t) for t in texts]
         return pd.concat([pd.DataFrame({"value": [q and q[0] for q in found]}, dtype=float), _frame([q and q[1] for q in found])], axis=1)
 
-    return read(text)
+    return _once(read)(text)
 
 
 def with_units(df: DataFrame, unit: Column, to_strain: Column) -> DataFrame:

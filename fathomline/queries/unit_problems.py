@@ -33,13 +33,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_traces(spark: SparkSession, sf: str) -> DataFrame:
     """Every trace with its samples in microstrain or microstrain/s."""
-    return _traces(spark, sf).select("trace_id", "unit_name", "canonical_unit", F.transform("samples", lambda x: x.cast("double") * F.col("factor")).alias("samples"))
+    return _traces(spark, sf).select("trace_id", "unit_name", "canonical_unit", F.transform("samples", lambda x: x.cast("double") * F.col("factor") + F.col("offset")).alias("samples"))
 
 
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every event amplitude and gauge length in its canonical unit."""
-    events = _events(spark, sf).select(F.lit("event").alias("src"), F.col("ev_id").alias("rec_id"), "unit_name", "canonical_unit", F.round(F.col("peak_amp") * F.col("factor"), 9).alias("value"))
-    gauges = _gauges(spark, sf).select(F.lit("gauge").alias("src"), F.col("row_id").alias("rec_id"), "unit_name", "canonical_unit", F.round(F.col("gauge_length_m") * F.col("factor"), 9).alias("value"))
+    events = _events(spark, sf).select(F.lit("event").alias("src"), F.col("ev_id").alias("rec_id"), "unit_name", "canonical_unit", F.round(F.col("peak_amp") * F.col("factor") + F.col("offset"), 9).alias("value"))
+    gauges = _gauges(spark, sf).select(F.lit("gauge").alias("src"), F.col("row_id").alias("rec_id"), "unit_name", "canonical_unit", F.round(F.col("gauge_length_m") * F.col("factor") + F.col("offset"), 9).alias("value"))
     return events.unionByName(gauges)
 
 

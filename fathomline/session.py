@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per Spark context, so that their Python workers can import it."""
+    """Sends this package's sources to the executors, once per Spark context, so that their Python workers can import it."""
     sc = spark.sparkContext
     if getattr(sc, "_fathomline_shipped", False):
         return
-    path = Path(tempfile.mkdtemp(prefix="fathomline-code-")) / "fathomline.zip"
-    with zipfile.PyZipFile(str(path), "w") as z:
-        z.writepy(str(Path(__file__).resolve().parent))
+    package, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="fathomline-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file from there as long as this runs
+    path = Path(folder) / "fathomline.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(path))
     sc._fathomline_shipped = True
 

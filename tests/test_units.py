@@ -13,6 +13,7 @@ from fathomline.operators.units import length_unit, quantities, signal_unit, wit
     ("µε/s", "microstrain/s"), ("με", "microstrain"), ("micro-strain s^-1", "microstrain/s"), ("1e-9 strain/s", "nanostrain/s"), ("10^-9 strain", "nanostrain"), ("nm/m/s", "nanostrain/s"),
     ("m/m", "strain"), ("strain (m/m)", "strain"), ("STRAIN/S", "strain/s"), ("raw counts", "count"), ("count (int32)", "count"), ("phase [rad]", "radian"), ("rad s^-1", "radian/s"), ("radian per second", "radian/s"),
     ("nano strain", "nanostrain"), ("ft", "ft"), ("inches", "in"), ("Centimeter", "cm"), ("millimetres", "mm"), ("metre", "m"), ("um/m", "microstrain"), ("x10 strange", None), ("", None), (None, None), ("n/a", None), ("unknown", None),
+    ("pε", "picostrain"), ("picostrain", "picostrain"), ("µε s⁻¹", "microstrain/s"), ("10⁻⁹ strain", "nanostrain"), ("(m/s)/m", "strain/s"), ("m/(m s)", "strain/s"), ("(m/m)^2 s^-1", "strain/s"), ("yd", "yd"), ("(m", None), ("m)", None),
 ])
 def test_written_units(text, name):
     u = U.unit_of(text)
@@ -21,7 +22,7 @@ def test_written_units(text, name):
 
 @pytest.mark.parametrize(("text", "name"), [
     ("plotted in strain, stored as raw counts", "count"), ("values are nε/s, spacing in m", "nanostrain/s"), ("unit=strain s^-1; gauge in m", "strain/s"), ("[radians/sec] v2 export", "radian/s"), ("payload in m/m/s after export", "strain/s"),
-    ("amplitude unit: phase [rad]", "radian"), ("second export of the day", None), ("plotted in counts", None), (None, None), ("x" * 100_000, None),
+    ("amplitude unit: phase [rad]", "radian"), ("second export of the day", None), ("plotted in counts", None), ("Amplitude given as nanostrain", "nanostrain"), ("samples in counts before conversion, now strain", "strain"), ("formerly radian; 10⁻⁹ strain per second", "nanostrain/s"), (None, None), ("x" * 100_000, None),
 ])
 def test_units_in_texts(text, name):
     u = U.signal_unit_in(text)
@@ -30,7 +31,7 @@ def test_units_in_texts(text, name):
 
 @pytest.mark.parametrize(("note", "name"), [
     ("gauge in m, slack loop 40 ft", "m"), ("m (was ft before refit)", "m"), ("cm; loop of 30 ft not counted", "cm"), ("gauge logged in ft; splice at 12 m", "ft"), ("GL=1020cm", "cm"), ("52.5ft", "ft"), ("GL unit: inch", "in"), ("gauge 315 in", "in"), ("in", "in"),
-    ("inch, see panel", "in"), ("mm units since refit", "mm"), ("splice box 3 cm off", None), ("re-terminated, 2 in of jacket removed", None), ("10 m", "m"), (None, None), ("in duct", None),
+    ("inch, see panel", "in"), ("mm units since refit", "mm"), ("splice box 3 cm off", None), ("re-terminated, 2 in of jacket removed", None), ("10 m", "m"), ("averages over 33 feet", "ft"), ("GL (ft)", "ft"), ("3 pm", None), ("12 yd gauge", "yd"), (None, None), ("in duct", None),
 ])
 def test_lengths_in_notes(note, name):
     u = U.length_unit_in(note)
