@@ -31,20 +31,27 @@ from pyspark.sql import functions as F
 # fixed values: letters that look the same in Latin, Greek and Cyrillic
 SAME_LETTERS = [
     "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІӀ", "JЈͿ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ", "GԌ", "QԚ", "WԜ", "VѴ",
-    "aа", "cсϲ", "dԁ", "eе", "hһ", "iі", "jјϳ", "oοо", "pрρ", "qԛ", "sѕ", "wԝ", "vνѵ", "xх", "yуү",
+    "aа", "cсϲ", "dԁ", "eе", "hһ", "iі", "jјϳ", "lӏ", "oοо", "pрρ", "qԛ", "sѕ", "wԝ", "vνѵ", "xх", "yуү",
     "ΓГ", "ΠП", "ΦФ", "ΘѲ",
 ]
-# fixed values: spaces and hyphens that look like the plain ones
-SAME_MARKS = [" \u00a0\u2007\u202f", "-\u2010\u2011\ufe63"]
+OTHER_HYPHENS = ("DOUBLE", "OBLIQUE", "DIAERESIS", "SOFT")  # hyphens of another look, or of none
 LETTER_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000))
-LIGATURES = (*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x0132, 0x0133, *range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4))
+LIGATURES = (*(c for c in range(0x2160, 0x2180) if len(unicodedata.normalize("NFKC", chr(c))) > 1), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x0132, 0x0133, *range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4))
 VISIBLE_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 OTHER_INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xE0100, 0xE01F0)}
 MARKED = re.compile(r"[^\u0300-\u036f][\u0300-\u036f]+")
-MARK = re.compile(r"[\u0300-\u036f]")
 AT_ONCE = 1000
 
 
+@lru_cache(maxsize=1)
+def same_marks() -> tuple[str, ...]:
+    """Spaces that don't break, and hyphens, each with the plain one, by the Unicode tables."""
+    spaces = [chr(c) for c in range(0x30000) if unicodedata.decomposition(chr(c)) == "<noBreak> 0020"]
+    named = ((chr(c), unicodedata.name(chr(c), "")) for c in range(0x80, 0x30000))
+    hyphens = [c for c, n in named if re.search(r"\bHYPHEN\b", n) and unicodedata.category(c) in ("Pd", "Po") and not any(w in n for w in OTHER_HYPHENS)]
+    return " " + "".join(spaces), "-" + "".join(hyphens)
+
+
 @lru_cache(maxsize=1)
 def invisible() -> re.Pattern:
     """All characters that show nothing."""
@@ -85,14 +92,14 @@ class Classes:
 def look_classes() -> tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]:
     """The transitive classes, and the ligatures, whose forms are made of their letters' classes."""
     uf = Classes()
-    for group in (*SAME_LETTERS, *SAME_MARKS):
+    for group in (*SAME_LETTERS, *same_marks()):
         for c in group[1:]:
             uf.union(group[0], c)
     for c in (*range(0xFF01, 0xFFEF), 0x3000):
         d = unicodedata.decomposition(chr(c)).split()
         if len(d) == 2 and d[0] in ("<wide>", "<narrow>"):
             uf.union(chr(int(d[1], 16)), chr(c))
-    for c in (0x00B5, 0x2126, 0x212A, 0x212B):  # signs that are letters
+    for c in (0x00B5, 0x2126, 0x212A, 0x212B, *(c for c in range(0x2160, 0x2180) if len(unicodedata.normalize("NFKC", chr(c))) == 1)):  # signs and numerals that are letters
         uf.union(unicodedata.normalize("NFKC", chr(c)), chr(c))
     alike: dict[str, list[str]] = {m: ms for ms in uf.members() for m in ms}
     for lo, hi in LETTER_BLOCKS:
@@ -133,33 +140,35 @@ def count_members(texts: list[str]) -> Counter:
 
 
 class Rewriter:
-    """Greedy rewriting of all strings that have a representative, the longest first.
+    """Greedy rewriting, by one automaton, of all strings that have a representative, the longest first.
 
-    The automaton holds the strings of several code points, all of which have a
-    combining mark. Classes are closed under their letters' look-alikes, so single
-    code points can go before, by a translation table; texts without a mark, or
-    without anything to rewrite, never see the slower part.
+    The automaton holds single code points and strings with combining marks. Marks
+    are put in their canonical order before and after; where that makes a text
+    new, it is rewritten once more. Texts in which nothing has a representative
+    come out as they are.
     """
 
     def __init__(self, to: dict[str, str]):
         import ahocorasick
 
-        self.single = {ord(k): v for k, v in to.items() if len(k) == 1}
-        self.any_single = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(self.single)) + "]")
+        self.plain = not any(k.isascii() for k in to)  # no ASCII text has anything to rewrite
         self.automaton = ahocorasick.Automaton()
         for k, v in to.items():
-            if len(k) > 1:
-                self.automaton.add_word(k, (len(k), v))
+            self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
 
     def form(self, text: str) -> str:
-        if not text.isascii():
-            text = invisible().sub("", text)
-        if self.any_single.search(text):
-            text = text.translate(self.single)
-        if not MARK.search(text):
+        if self.plain and text.isascii():
             return text
-        text = unicodedata.normalize("NFC", text).translate(self.single)  # marks in their canonical order
+        text = invisible().sub("", text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = self._rewrite(text)
+        if unicodedata.is_normalized("NFC", text):
+            return text
+        return self._rewrite(unicodedata.normalize("NFC", text))
+
+    def _rewrite(self, text: str) -> str:
         out, at = [], 0
         for end, (size, to) in self.automaton.iter_long(text):
             start = end + 1 - size
@@ -167,6 +176,8 @@ class Rewriter:
                 out.append(text[at:start])
             out.append(to)
             at = end + 1
+        if not at:
+            return text
         out.append(text[at:])
         return "".join(out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .encoding import corpus_tokens, token_counts, token_ids
-from .lookalike import SAME_LETTERS, SAME_MARKS, look_members, look_pairs, text_forms, text_looks
+from .lookalike import look_members, look_pairs, text_forms, text_looks
 from .packing import packed
 
 
@@ -55,9 +55,16 @@ def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens, p9_packs, p9_fill, p10_found, p10_forms, p10_classes)}
 
 
+# fixed values: letters and marks, and what they look like, one under the other
+ALIKE = (
+    "ΑАΒВСϹΕЕΗНΙІӀЈͿΚКΜМΝΟОΡРЅΤТΧХΥҮΖԌԚԜѴаϲсԁеһіϳјοоρрԛѕԝνѵхуүГПФѲӏ\u00a0\u2007\u202f\u2010\u2011\u2043\ufe63",
+    "AABBCCEEHHIIIJJKKMMNOOPPSTTXXYYZGQWVaccdehijjooppqswvvxyyΓΠΦΘl   ----",
+)
+
+
 def _look_sql() -> str:
     """The look by the database's own composition: invisible characters out, letters and marks to one of each kind, ligatures spelled out."""
-    alike = {c: g[0] for g in (*SAME_LETTERS, *SAME_MARKS) for c in g[1:]} | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"\u3000": " "}
+    alike = dict(zip(*ALIKE, strict=True)) | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {"\u3000": " "}
     alike = {c: alike.get(t, t) for c, t in alike.items()}
     text = "regexp_replace(text, '[\\p{Cf}]', '', 'g')"
     spelled = [("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")]

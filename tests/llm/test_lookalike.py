@@ -29,6 +29,19 @@ def test_different_look(form, a, b):
     assert form(a) != form(b)
 
 
+def test_the_automaton_decides(monkeypatch):
+    """Without the automaton, with the canonical forms alone, most of the same looks are told apart."""
+    without = L.Rewriter(TO)
+    monkeypatch.setattr(without, "_rewrite", lambda text: text)
+    assert sum(without.form(a) == without.form(b) for a, b in SAME) < len(SAME) / 2
+    assert without.form("е̂") != without.form("ê") and L.Rewriter(TO).form("е̂") == L.Rewriter(TO).form("ê")
+
+
+def test_classes_from_the_tables(form):
+    assert form("a⁃b֊c᐀d‐e") == "a-b-c-d-e" and form("Ⅷ ⅸ") == "VIII ix" and form("ӏ") == form("l") and form("が각") == form("\u304b\u3099\u1100\u1161\u11a8")
+    assert form("a⸗b") != form("a-b") and form("a᠆b") != form("a-b")
+
+
 def test_no_two_ascii_characters_share_a_class():
     for members in L.look_classes()[0]:
         assert sum(m.isascii() for m in members) <= 1
