@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import canonical_path
-from ..operators.compact import compaction_plan, file_chunks, file_sizes, row_digest
+from ..operators.compact import coded, compaction_plan, file_chunks, file_sizes, time_range, write_compacted
 from ..operators.grid import counter_grid
 from ..operators.intervals import coverage_gaps, coverage_periods
 from ..operators.times import break_tolerance, resolve_times
-from ..session import table
+from ..session import cut, ensure_checkpoint_dir, table
 
 SMALL_SAMPLES = 2000
 TARGET_SAMPLES = 1_000_000
+ROWS_A_FILE = 100_000
 
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,28 +49,38 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return file_chunks(_catalog(spark, sf), "row_id", canonical_path(F.col("file")), F.col("first_sample"), F.col("n"), F.col("array_id"), F.col("b_us"))
 
 
+def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    return coded(file_sizes(_chunks(spark, sf)), time_range(_catalog(spark, sf).filter("file is not null"), F.col("b_us")))
+
+
 def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return compaction_plan(file_sizes(_chunks(spark, sf)), TARGET_SAMPLES)
+    return compaction_plan(_coded(spark, sf), TARGET_SAMPLES)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_plan(spark, sf).filter(F.col("samples") < SMALL_SAMPLES).select("first_row_id")
+    return p7_plan(spark, sf).filter((F.col("samples") < SMALL_SAMPLES) & (F.col("piece_from") == 0)).select("first_row_id")
+
+
+def p7_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file as the plan holds it, put together from its pieces."""
+    return p7_plan(spark, sf).groupBy("file").agg(F.min("first_row_id").alias("first_row_id"), F.sum("piece_samples").cast("bigint").alias("samples"), F.max("chunks").alias("chunks"))
 
 
 def p7_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """Planned output files: samples and source files of each."""
-    return p7_plan(spark, sf).groupBy("out_file").agg(F.sum("samples").alias("samples"), F.count("*").alias("source_files"))
+    """Planned output files: samples and pieces of each."""
+    return p7_plan(spark, sf).groupBy("out_file").agg(F.sum("piece_samples").alias("samples"), F.count("*").alias("pieces"))
 
 
 def p7_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """Row digests of the source's chunks and of the chunks as the plan places them: equal if none is lost or doubled."""
-    chunks = _chunks(spark, sf)
-    placed = chunks.join(compaction_plan(file_sizes(chunks), TARGET_SAMPLES).select("file", "out_file"), "file")
-    sides = [row_digest(d, "file", "first", "n").withColumn("side", F.lit(side)) for side, d in (("source", chunks), ("planned", placed))]
-    return sides[0].unionByName(sides[1]).select("side", "rows", F.col("digest").cast("string").alias("digest"))
+    """Rows and digests of the chunks as they are and as read again from the consolidated files, written in the order of the curve to the shared folder."""
+    chunks = cut(_chunks(spark, sf).select("file", "first", "n"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/consolidated-{uuid.uuid4().hex}"
+    done = write_compacted(chunks, compaction_plan(_coded(spark, sf), ROWS_A_FILE, "chunks"), path)
+    rows = [(side, done["rows"], done[side]) for side in ("source", "written")]
+    return spark.createDataFrame(rows, "side string, rows bigint, digest string")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p4_found, p4_grid, p7_found, p7_plan, p7_balance, p7_digest)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p4_found, p4_grid, p7_found, p7_plan, p7_files, p7_balance, p7_digest)}
 
 RESOLVED = """
 base AS (
@@ -107,6 +120,9 @@ SQL = {
       spans AS (SELECT run_id, gap_from_us // 60000000 + 1 AS lo, gap_to_us // 60000000 - 1 AS hi FROM gaps)
       SELECT run_id, unnest(range(lo, hi + 1)) AS minute_no FROM spans
       UNION ALL SELECT run_id, gap_from_us // 60000000 FROM gaps WHERE FALSE""",
+    "p7_files": f"WITH {P7} SELECT file, first_row_id, samples, chunks FROM files",
+    "p7_digest": f"""WITH {P7}, d AS (SELECT count(*) AS rows, CAST(coalesce(sum(CAST(('0x' || substr(md5(file || '|' || first || '|' || n), 1, 15)) AS BIGINT)), 0) AS VARCHAR) AS digest FROM chunk)
+      SELECT 'source' AS side, rows, digest FROM d UNION ALL SELECT 'written', rows, digest FROM d""",
     "p7_found": f"WITH {P7} SELECT first_row_id FROM files WHERE samples < 2000",
     "p4_grid": f"""WITH {GAPS}, {PATHS},
       ch AS (SELECT run_id, file, coalesce(first_sample, 0) AS c0, b_us AS b, max({{'n': n, 'r': rate}}) AS m FROM (SELECT * FROM named UNION ALL BY NAME SELECT * FROM resolved WHERE file IS NULL) WHERE run_id IS NOT NULL AND b_us IS NOT NULL AND rate > 0 AND n > 0 GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.hilbert import hilbert_codes
 from fathomline.functions.paths import canonical_path
-from fathomline.operators.compact import compaction_plan, file_chunks, file_sizes, row_digest, write_compacted
+from fathomline.operators.compact import coded, compaction_plan, file_chunks, file_sizes, place_coordinate, row_digest, time_range, write_compacted
 
 
 @pytest.mark.parametrize(("bits", "dims"), [(3, 2), (2, 3), (4, 2), (2, 4)])
@@ -35,11 +35,15 @@ def chunks(spark, rows):
     return file_chunks(df, "row_id", F.col("p"), F.col("fs0"), F.col("n"), F.col("a"), F.col("b"))
 
 
+def plan_of(c, target, **options):
+    return compaction_plan(coded(file_sizes(c), time_range(c, F.col("b"))), target, **options)
+
+
 def test_plan_holds_every_chunk_once_in_balanced_files(spark):
     rows = [(i, f"/f{i // 2}", (i % 2) * 100, 100 + i % 7, "hot" if i % 3 else "cold", i * 1_000_000) for i in range(600)]
     rows += rows[:40] + [(1000, None, 0, 5, None, None), (1001, "/f0", 0, 7, None, None), (1002, "/nulls", None, None, None, None)]
     c = chunks(spark, rows)
-    plan = compaction_plan(file_sizes(c), 2000, prefix_bits=12)
+    plan = plan_of(c, 2000, prefix_bits=12)
     got = {r["file"]: r for r in plan.collect()}
     assert len(got) == 301 and got["/nulls"].samples == 0
     total = sum(100 + i % 7 for i in range(600))
@@ -53,14 +57,33 @@ def test_plan_holds_every_chunk_once_in_balanced_files(spark):
     assert got["/f0"].first_row_id == 0
 
 
+def test_files_above_the_target_are_cut(spark):
+    rows = [(i, f"/f{i}", 0, n, "a", i) for i, n in enumerate([5, 2500, 0, 700, 1000, 1001, None])]
+    got = plan_of(chunks(spark, rows), 1000).collect()
+    per = {}
+    for r in sorted(got, key=lambda r: r.out_offset):
+        assert r.out_offset // 1000 == r.out_file or r.samples <= 1000
+        assert r.piece_from == per.get(r.file, 0)
+        per[r.file] = per.get(r.file, 0) + r.piece_samples
+    assert per == {"/f0": 5, "/f1": 2500, "/f2": 0, "/f3": 700, "/f4": 1000, "/f5": 1001, "/f6": 0}
+    assert len([r for r in got if r.file == "/f1"]) >= 3
+
+
+def test_like_names_lie_side_by_side(spark):
+    names = ["OSLO01", "OSLO02", "OSNE07", "OTTA01", "PARI01", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "p string").select(place_coordinate(F.col("p"))).collect()]
+    assert all(0 <= g < 1 << 16 for g in got) and got[5] == got[6]
+    assert abs(got[0] - got[2]) < 64 and got[3] > max(got[:2]) - 64 and got[4] - got[3] > 64
+
+
 def test_empty_catalog(spark):
-    assert compaction_plan(file_sizes(chunks(spark, [])), 10).collect() == []
+    assert plan_of(chunks(spark, []), 10).collect() == []
 
 
 def test_written_files_have_the_source_rows(spark, tmp_path):
     rows = [(i, f"/f{i // 2}", (i % 2) * 100, 100, "a", i * 1_000_000) for i in range(100)]
     c = chunks(spark, rows)
-    plan = compaction_plan(file_sizes(c), 1500)
+    plan = plan_of(c, 10, weight="chunks")
     done = write_compacted(c, plan, str(tmp_path / "out"))
     assert done["rows"] == 100
     back = spark.read.parquet(str(tmp_path / "out"))
