@@ -39,7 +39,13 @@ class ByteBPE:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model = spec["model"]
+        steps = spec.get("pre_tokenizer") or {}
+        steps = steps.get("pretokenizers", [steps])
+        odd = [s.get("type") for s in steps if s.get("type") != "ByteLevel" or s.get("add_prefix_space") or not s.get("use_regex", True)]
+        if model.get("type", "BPE") != "BPE" or odd or not steps[0] or spec.get("normalizer") or model.get("byte_fallback"):
+            raise ValueError(f"{path} is no byte-level BPE with the plain pre-tokenizer: {odd or model.get('type')}")
         vocab = model["vocab"]
         symbols = byte_symbols()
         self.byte_ids = np.array([vocab[symbols[b]] for b in range(256)], np.int64)

@@ -11,8 +11,8 @@ rows as the capacity has tokens, and the placements follow it, whatever the
 data's size; so the sweep itself runs on the driver.
 
 What grows with the data stays distributed: token counts, the histogram, the
-rank of each item within its size (by hash shards of each size, so a size held
-by a third of all items is many tasks), and the lookup of a rank's pack.
+rank of each item within its size (by hash shards of each size, as many as the
+items need, so a size held by a third of all items is many tasks), and the lookup of a rank's pack.
 
 Defined results: without pack sizes there are no packs; null and empty texts are pages of 0 tokens and ride in the
 pack that their key's hash names; a page above the capacity is cut into full pieces
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-SHARDS = 64
+PER_SHARD = 1_000_000  # items of one size in one window task, about
 
 
 def best_fit(histogram: dict[int, int], capacity: int, first_pack: int = 0) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -39,6 +39,15 @@ def best_fit(histogram: dict[int, int], capacity: int, first_pack: int = 0) -> t
 
     Items of a size are ranks 0, 1, ...; rank r of a placement goes into pack
     ``pack of the first + r - rank from``.
+
+    Bound, whatever the histogram's counts: open packs lie in ranges. A size that
+    meets ranges takes whole ones, which stay single ranges of a smaller gap, and
+    of one at most a part, which makes one range more; its new packs make two
+    more. So there are 3 S ranges at most, S being the number of sizes, and S is at
+    most the capacity C. A range is met by a size at most as often as its gap
+    holds it, which adds up to C(1 + ln C) over all sizes, and new packs make 2 C / size placements of a
+    size. So there are at most 3 S C (1 + ln C) + 2 C (1 + ln C) placements: they
+    grow with the capacity, never with the items.
     """
     gaps: dict[int, list[list[int]]] = {}  # gap -> ranges of packs
     order: list[int] = []  # gaps that have packs, sorted
@@ -104,7 +113,8 @@ def packed(counts: DataFrame, key: str, packs: list[tuple[str, int]]) -> DataFra
     if any(c < 1 for _, c in packs) or len(dict(packs)) < len(packs):
         raise ValueError("pack sizes have a name each and a capacity of at least one token")
     counts = counts.withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint"))
-    items = pieces(counts, key, packs).withColumn("shard", F.pmod(F.xxhash64("key", "piece_no"), F.lit(SHARDS)))
+    shards = max(1, -(-counts.count() // PER_SHARD)) * 8
+    items = pieces(counts, key, packs).withColumn("shard", F.pmod(F.xxhash64("key", "piece_no"), F.lit(shards)))
 
     shards = items.groupBy("pack_name", "size", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pack_name", "size").orderBy("shard")

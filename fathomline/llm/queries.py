@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut, table
 from .encoding import corpus_tokens, token_counts, token_ids
@@ -36,6 +37,18 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(sizes, "pack_name").select("pack_name", "packs", "tokens", "fullest", F.round(F.col("tokens") / (F.col("packs") * F.col("capacity_tokens")), 4).alias("used_share"))
 
 
+def p9_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each pack size: pages packed, pieces that come twice, pages whose pieces don't follow each other, packs above the capacity."""
+    sizes = table(spark, sf, "pack_sizes").groupBy("pack_name").agg(F.min("capacity_tokens").alias("capacity"))
+    packs = cut(p9_packs(spark, sf))
+    after = F.lead("token_from").over(Window.partitionBy("pack_name", "doc_id").orderBy("piece_no"))
+    pieces = packs.withColumn("torn", after.isNotNull() & (after != F.col("token_from") + F.col("size")) | (F.col("piece_no") == 0) & (F.col("token_from") != 0))
+    pages = pieces.groupBy("pack_name", "doc_id").agg((F.count("*") - F.countDistinct("piece_no")).alias("twice"), F.max("torn").alias("torn"))
+    pages = pages.groupBy("pack_name").agg(F.count("*").alias("pages"), F.sum("twice").alias("twice"), F.count_if("torn").alias("torn"))
+    loads = packs.groupBy("pack_name", "pack_no").agg(F.sum("size").alias("load")).join(sizes, "pack_name").groupBy("pack_name").agg(F.count_if(F.col("load") > F.col("capacity")).alias("too_full"))
+    return pages.join(loads, "pack_name").select("pack_name", "pages", "twice", "torn", "too_full")
+
+
 def _looks(spark: SparkSession, sf: str) -> DataFrame:
     return cut(text_looks(table(spark, sf, "documents"), "doc_id", "text"))
 
@@ -52,7 +65,7 @@ def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
     return look_members(_looks(spark, sf), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens, p9_packs, p9_fill, p10_found, p10_forms, p10_classes)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_tokens, p9_packs, p9_fill, p9_pages, p10_found, p10_forms, p10_classes)}
 
 
 # fixed values: letters and marks, and what they look like, one under the other
@@ -83,6 +96,7 @@ def _look_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "p9_pages": "SELECT pack_name, count(DISTINCT doc_id) AS pages, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS too_full FROM documents CROSS JOIN (SELECT DISTINCT pack_name FROM pack_sizes) GROUP BY pack_name",
     "p10_found": f"""WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL)
       SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p10_classes": f"""WITH looks AS (SELECT doc_id, text, {_look_sql()} AS look FROM documents WHERE text IS NOT NULL),

@@ -79,3 +79,11 @@ def test_table(spark, reference):
     assert counts == sorted((i or -1, len(reference(t or ""))) for i, t in rows)
     assert token_ids(df.limit(0), "doc_id", "text").count() == 0
     assert corpus_tokens(token_ids(df, "doc_id", "text")).agg(F.sum("n")).first()[0] == sum(len(x) for _, x in got)
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    from fathomline.llm.bpe import ByteBPE
+
+    other = TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    with pytest.raises(ValueError, match="plain pre-tokenizer"):
+        ByteBPE(other)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -28,6 +29,15 @@ def test_every_item_is_placed_once_and_packs_hold():
                 assert ranks == list(range(count))
 
 
+def test_placements_are_bounded_by_the_capacity():
+    rng = random.Random(6)
+    for capacity in (8, 50, 300):
+        for _ in range(15):
+            histogram = {s: rng.choice([1, 3, 1000, 10**9]) + rng.randint(0, 50) for s in range(1, capacity + 1) if rng.random() < 0.8}
+            placed, _ = best_fit(histogram, capacity)
+            assert len(placed) <= (3 * len(histogram) + 2) * capacity * (1 + math.log(capacity))
+
+
 def plain_best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
