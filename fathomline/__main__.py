@@ -3,41 +3,43 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
-from pyspark.sql.window import Window
 
 from .functions.scalars import iso_timestamp, parse_iso
 from .operators import catalog as C
 from .plans.desample import desample_windows, pending
-from .plans.events import extract_plan, extract_status, status_counts
+from .plans.events import cut_samples, extract_plan, extract_status, status_counts
+from .plans.recordings import SEGY, file_reader, scan_folder
 from .session import cut
-from .sources.segy import read_segy, segy_catalog
+from .sources.hdf5 import list_recordings, open_hdf5
+from .sources.segy import list_segy
 from .sources.tables import catalog_format, read_catalog, write_catalog, write_event, write_processed
 
 
-def build_catalog(spark: SparkSession, folder: str, path: str, system: str) -> int:
-    """Catalog of a folder's SEG-Y files written to ``path``; the number of files."""
-    rows = segy_catalog(read_segy(spark, folder))
-    write_catalog(C.with_columns(rows.withColumn("system", F.lit(system))), path)
-    return read_catalog(spark, path).count()
+def described(spark: SparkSession, folder: str, system: str, known: DataFrame | None, opener: Callable) -> DataFrame:
+    """Catalog rows of a folder's files; those that can't be described are told on the screen and left out."""
+    rows = cut(scan_folder(spark, folder, system, known, opener))
+    for r in rows.filter("error is not null").limit(20).collect():
+        print("skipped", r["file"], r["error"])
+    return C.with_columns(rows.filter("error is null").withColumn("system", F.lit(system)), "system")
 
 
-def load_or_build(spark: SparkSession, folder: str, path: str, system: str, overwrite: bool = False) -> DataFrame:
-    """The catalog at ``path``, brought up to date with the folder's files; built where it can't be read."""
+def load_or_build(spark: SparkSession, folder: str, path: str, system: str, overwrite: bool = False, opener: Callable = open_hdf5) -> DataFrame:
+    """The catalog at ``path``, brought up to date with the folder's files; built where it can't be read. Known files aren't opened."""
     try:
-        known = read_catalog(spark, path) if not overwrite else None
+        known = read_catalog(spark, path, system=system) if not overwrite else None
     except AnalysisException:
         known = None
     if known is None or known.isEmpty():
-        build_catalog(spark, folder, path, system)
-        return read_catalog(spark, path)
-    fresh = C.with_columns(segy_catalog(C.unknown_files(read_segy(spark, folder), known)))
-    rows = C.append(known, fresh, ["file", "first_sample"], ["begin_us"])
+        write_catalog(described(spark, folder, system, None, opener), path)
+        return read_catalog(spark, path, system=system)
+    rows = C.append(C.with_columns(known, "system"), described(spark, folder, system, known, opener), ["file", "first_sample"], ["begin_us"])
     write_catalog(cut(rows), path)  # cut first: the rows are read from what is overwritten
-    return read_catalog(spark, path)
+    return read_catalog(spark, path, system=system)
 
 
 def open_windows(spark: SparkSession, path: str, length_us: int, since: str | None, until: str | None, system: str, done: str | None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -72,29 +74,51 @@ def written(spark: SparkSession, out: str, name: str) -> DataFrame:
         return spark.createDataFrame([], f"{name} string")
 
 
-def with_samples(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """Catalog rows with the channels and samples of their SEG-Y files under ``folder``."""
-    traces = read_segy(spark, folder).select("file", "channel", F.col("samples").alias("_all"))
-    return rows.join(traces, "file").withColumn("samples", F.slice("_all", (F.col("first_sample") + 1).cast("int"), F.col("nt").cast("int"))).drop("_all")
+def with_samples(rows: DataFrame, reader: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Catalog rows with the channels and samples of their files."""
+    rows = rows.withColumn("slice", F.concat_ws(":", "first_sample", "nt"))
+    traces = reader(rows.select("file", "first_sample", "nt").distinct()).select("file", "slice", "channel", "samples")
+    return rows.join(traces, ["file", "slice"]).drop("slice")
 
 
-def desample_job(spark: SparkSession, rows: DataFrame, windows: DataFrame, folder: str, out: str, f_max: float, order: int) -> int:
-    """Downsamples the windows and appends them to ``out``; the number of windows written. A window whose files aren't all there is an error."""
-    windows, rows = cut(windows), cut(rows)
-    needed = rows.join(windows.select("key", "segment_id", "window_begin", "window_end"), ["key", "segment_id"]).filter(C.meets(F.col("window_begin"), F.col("window_end"))).select("file").distinct()
-    lost = needed.join(read_segy(spark, folder).select("file").distinct(), "file", "left_anti").limit(5).collect()
+def lost_files(rows: DataFrame, there: DataFrame, folder: str) -> None:
+    lost = rows.select("file").distinct().join(there.select("file"), "file", "left_anti").limit(5).collect()
     if lost:
         raise ValueError(f"files of the catalog not under {folder}: {[r[0] for r in lost]}")
+
+
+def there(spark: SparkSession, folder: str, system: str) -> DataFrame:
+    return list_segy(spark, folder) if system == SEGY else list_recordings(spark, folder).select("file")
+
+
+def desample_job(spark: SparkSession, rows: DataFrame, windows: DataFrame, folder: str, out: str, f_max: float, order: int, system: str = SEGY, opener: Callable = open_hdf5) -> int:
+    """Downsamples the windows and appends them to ``out``, with their catalog beside it; the number of windows written.
+
+    Counts of OptaSense recordings are unwrapped over the ends of files. A window whose files aren't all there is an error.
+    """
+    windows, rows = cut(windows), cut(rows)
+    spans = rows.join(windows.groupBy("key", "segment_id").agg(F.min("window_begin").alias("_from"), F.max("window_end").alias("_until")), ["key", "segment_id"])
+    lost_files(spans.filter(C.meets(F.col("_from"), F.col("_until"))), there(spark, folder, system), folder)
     of_segment = rows.groupBy("key", "segment_id").agg(F.first("fs").alias("fs"))
     named = cut(windows.join(of_segment, ["key", "segment_id"]))
     for fs in sorted(r[0] for r in named.select("fs").distinct().collect()):
         wanted = named.filter(F.col("fs") == fs).drop("fs")
-        there = with_samples(spark, rows.join(wanted.select("key", "segment_id").distinct(), ["key", "segment_id"], "left_semi"), folder)
-        made = desample_windows(there.select("key", "segment_id", "file", "begin_us", "end_us", "channel", "samples"), wanted.select("key", "segment_id", "window_begin", "window_end"), "key", fs, f_max, order)
+        source = with_samples(rows.join(wanted.select("key", "segment_id").distinct(), ["key", "segment_id"], "left_semi"), file_reader(system, False, opener))
+        made = desample_windows(source.select("key", "segment_id", "file", "begin_us", "end_us", "channel", "samples"), wanted.select("key", "segment_id", "window_begin", "window_end"), "key", fs, f_max, order, system == "OptaSense")
         write_processed(made.join(wanted.select("key", "segment_id", "window_begin", "window_end", "file"), ["key", "segment_id", "window_begin"]), out)
     return named.count()
 
 
+def processed_catalog(spark: SparkSession, out: str, path: str) -> DataFrame:
+    """Catalog of the processed windows in ``out``, written to ``path``, as the next step's raw catalog."""
+    rows = spark.read.parquet(out)
+    nt = F.max(F.size("samples")).cast("bigint")
+    found = rows.groupBy("file").agg(F.min("begin_us").alias("begin_us"), F.first("fs_out").alias("fs"), nt.alias("nt"), F.countDistinct("channel").cast("int").alias("nx"))
+    found = found.withColumns({"end_us": F.col("begin_us") + F.rint((F.col("nt") - 1) * 1e6 / F.col("fs")).cast("bigint"), "system": F.lit("Proc")})
+    write_catalog(C.with_columns(found, "system"), path)
+    return read_catalog(spark, path)
+
+
 def event_rows(spark: SparkSession, events: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(events)
     missing = {"event_id", "event_time"} - set(rows.columns)
@@ -103,7 +127,7 @@ def event_rows(spark: SparkSession, events: str) -> DataFrame:
     return rows.withColumn("event_us", parse_iso(F.col("event_time")))
 
 
-def cut_events(spark: SparkSession, path: str, events: str, before: float, after: float, folder: str, out: str, overwrite: bool = False) -> DataFrame:
+def cut_events(spark: SparkSession, path: str, events: str, before: float, after: float, folder: str, out: str, overwrite: bool = False, system: str = SEGY, opener: Callable = open_hdf5) -> DataFrame:
     """Cuts the events' samples from their files, writes them to ``out``, one row a channel, and returns the counts by status.
 
     Missing samples between pieces are zeros. An event that is there is skipped
@@ -114,28 +138,20 @@ def cut_events(spark: SparkSession, path: str, events: str, before: float, after
     done = written(spark, out, "event_id") if not overwrite else spark.createDataFrame([], "event_id string")
     piece = read_catalog(spark, path).withColumn("file", F.struct("file", "first_sample", "fs", F.col("begin_us").alias("row_us")))
     plan = extract_plan(ev.join(done, "event_id", "left_anti"), piece, int(before * 1e6), int(after * 1e6)).select("event_id", "file.*", "offset", "n_samples")
-    dt = F.lit(1e6) / F.col("fs")
-    plan = plan.withColumn("at_us", F.col("row_us") + F.rint(F.col("offset") * dt).cast("bigint"))
-    w = Window.partitionBy("event_id").orderBy("at_us", "file", "first_sample")
-    gap = F.rint((F.col("at_us") - F.lag(F.col("at_us") + F.col("n_samples") * dt).over(w)) / dt).cast("int")
-    of_event = Window.partitionBy("event_id")
-    plan = plan.withColumns({"_zeros": F.when(gap > 1, gap).otherwise(0), "_n": F.count("*").over(of_event), "begin_us": F.min("at_us").over(of_event), "_even": F.min("fs").over(of_event) == F.max("fs").over(of_event)})
-    parts = plan.filter("_even").join(read_segy(spark, folder).select("file", "channel", F.col("samples").alias("_all")), "file")
-    x = F.slice("_all", (F.col("first_sample") + F.col("offset") + 1).cast("int"), F.col("n_samples").cast("int"))
-    parts = parts.withColumn("_x", F.concat(F.array_repeat(F.lit(0.0).cast("float"), F.col("_zeros")), x))
-    whole = parts.groupBy("event_id", "channel", "begin_us", "fs", "_n").agg(F.array_sort(F.collect_list(F.struct("at_us", "file", "first_sample", "_x"))).alias("_parts")).filter(F.size("_parts") == F.col("_n"))
-    made = whole.select("event_id", "channel", "begin_us", (1 / F.col("fs")).alias("dt"), F.flatten(F.col("_parts._x")).alias("samples"))
-    made = made.join(rows, "event_id").withColumn("event_time_index", F.rint((F.col("event_us") - F.col("begin_us")) / 1e6 / F.col("dt")).cast("bigint"))
-    made = cut(made)
+    plan = plan.withColumns({"at_us": F.col("row_us") + F.rint(F.col("offset") * 1e6 / F.col("fs")).cast("bigint"), "first_sample": F.col("first_sample") + F.col("offset"), "first": F.lit(0)})
+    plan = cut(plan.withColumn("slice", F.concat_ws(":", "first_sample", "n_samples")).drop("row_us", "offset"))
+    slices = plan.select("file", "first_sample", F.col("n_samples").alias("nt")).distinct().join(there(spark, folder, system), "file", "left_semi")
+    made = cut_samples(plan.drop("first_sample"), file_reader(system, True, opener)(slices), ["file", "slice"]).withColumn("dt", 1 / F.col("fs")).drop("fs")
+    made = cut(made.join(rows, "event_id").withColumn("event_time_index", F.rint((F.col("event_us") - F.col("begin_us")) / 1e6 / F.col("dt")).cast("bigint")))
     write_event(made, out, overwrite=True, keep=True)
     return status_counts(extract_status(ev, made, done))
 
 
-def event_job(spark: SparkSession, path: str, events: str, before: float, after: float) -> tuple[DataFrame, DataFrame]:
-    """(plan, counts by status) of a table of events (event_id, event_time)."""
+def event_job(spark: SparkSession, path: str, events: str, before: float, after: float, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan, counts by status) of a table of events (event_id, event_time); those that ``out`` has are done."""
     ev = event_rows(spark, events).select("event_id", "event_us")
     plan = extract_plan(ev, read_catalog(spark, path), int(before * 1e6), int(after * 1e6))
-    return plan, status_counts(extract_status(ev, plan, spark.createDataFrame([], "event_id string")))
+    return plan, status_counts(extract_status(ev, plan, written(spark, out, "event_id") if out else spark.createDataFrame([], "event_id string")))
 
 
 def put(rows: DataFrame, path: str | None) -> None:
@@ -161,6 +177,8 @@ def main(args: list[str] | None = None) -> None:
     w.add_argument("--all", action="store_true")
     w.add_argument("--fmax", type=float, default=0.4)
     w.add_argument("--order", type=int, default=14)
+    w.add_argument("--proc-catalog", help="write the catalog of the processed windows here, with --to")
+    w.add_argument("--dry-run", action="store_true", help="list only")
     e = sub.add_parser("events")
     e.add_argument("--events", required=True)
     e.add_argument("--before", type=float, default=30)
@@ -172,7 +190,7 @@ def main(args: list[str] | None = None) -> None:
         s.add_argument("--to", dest="out", help="do the work and write it here")
     for s in (c, w, e):
         s.add_argument("--catalog", required=True)
-        s.add_argument("--system", default="Proc")
+        s.add_argument("--system", default=SEGY, choices=[SEGY, "ASN", "OptaSense", "APSensing", "Proc"])
     a = p.parse_args(args)
     if a.job != "catalog" and (a.folder is None) != (a.out is None):
         p.error("give both --from and --to, or neither")
@@ -183,12 +201,14 @@ def main(args: list[str] | None = None) -> None:
         rows, windows = open_windows(spark, a.catalog, int(a.seconds * 1e6), a.since, a.until, a.system, a.done, a.out)
         windows = cut(windows.orderBy("window_begin") if a.all else windows.orderBy("window_begin").limit(1))
         put(window_list(windows).orderBy("begin"), a.list)
-        if a.out:
-            print(desample_job(spark, rows, windows, a.folder, a.out, a.fmax, a.order), "windows written")
+        if a.out and not a.dry_run:
+            print(desample_job(spark, rows, windows, a.folder, a.out, a.fmax, a.order, a.system), "windows written")
+            if a.proc_catalog:
+                print(processed_catalog(spark, a.out, a.proc_catalog).count(), "windows in", a.proc_catalog)
     else:
-        plan, counts = event_job(spark, a.catalog, a.events, a.before, a.after)
+        plan, counts = event_job(spark, a.catalog, a.events, a.before, a.after, a.out if not a.overwrite else None)
         put(plan.orderBy("event_id", "file", "offset"), a.list)
-        (cut_events(spark, a.catalog, a.events, a.before, a.after, a.folder, a.out, a.overwrite) if a.out else counts).show()
+        (cut_events(spark, a.catalog, a.events, a.before, a.after, a.folder, a.out, a.overwrite, a.system) if a.out else counts).show()
 
 
 if __name__ == "__main__":

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .ordered import sharded_lag, sharded_sum
+from .ordered import sharded_lag, sharded_runs
 
 DAY_US = 86_400_000_000
 RELATIVE = 1e-5  # relative part of the tolerance when spacings are compared
@@ -21,17 +21,17 @@ ORDER = ["begin_us", "file", "first_sample"]  # add a row id where rows may tie
 COLUMNS = ["file", "begin_us", "end_us", "fs", "nt", "nx", "dx", "gauge_length_m", "first_sample"]
 
 
-def with_columns(df: DataFrame) -> DataFrame:
-    """The catalog's columns, missing ones as null and first_sample as 0 by default."""
+def with_columns(df: DataFrame, *others: str) -> DataFrame:
+    """The catalog's columns, missing ones as null and first_sample as 0 by default, and those named."""
     have = set(df.columns)
-    blank = {"first_sample": F.lit(0)}
-    return df.select(*[F.col(c) if c in have else blank.get(c, F.lit(None)).alias(c) for c in COLUMNS])
+    blank = {"file": "string", "begin_us": "bigint", "end_us": "bigint", "nt": "bigint", "nx": "int", "first_sample": "bigint"}
+    return df.select(*[F.col(c) if c in have else F.lit(0 if c == "first_sample" else None).cast(blank.get(c, "double")).alias(c) for c in COLUMNS], *others)
 
 
-def _differs(c: str) -> Column:
-    """Whether a number differs from the row before; a null or NaN differs from everything."""
-    now, was = F.col(c).cast("double"), F.col(f"prev.{c}").cast("double")
-    return F.coalesce((now != was) | F.isnan(now) | F.isnan(was), F.lit(True))
+def _differs(now: Column, was: Column) -> Column:
+    """Whether a number differs from another; a null or NaN differs from everything."""
+    a, b = now.cast("double"), was.cast("double")
+    return F.coalesce((a != b) | F.isnan(a) | F.isnan(b), F.lit(True))
 
 
 def segments(df: DataFrame, key: str, gap_factor: float = 1.5, order: list[str] = ORDER) -> DataFrame:
@@ -41,15 +41,16 @@ def segments(df: DataFrame, key: str, gap_factor: float = 1.5, order: list[str]
     or where the step from the last sample to the next differs from one spacing
     by more than ``gap_factor`` spacings (1e-5 of a spacing more).
     """
+
+    def breaks(now: Column, was: Column) -> Column:
+        spacing = F.when(was["fs"] > 0, 1 / was["fs"]).otherwise(F.lit(0.0))
+        step = (now["begin_us"] - was["end_us"]) / 1e6
+        contiguous = F.abs(step - spacing) <= gap_factor * spacing + RELATIVE * F.abs(spacing)
+        same_file = F.coalesce(now["file"] == was["file"], F.lit(False))
+        return _differs(now["fs"], was["fs"]) | _differs(now["nx"], was["nx"]) | same_file | ~F.coalesce(contiguous, F.lit(False))
+
     day = F.floor(F.col("begin_us") / F.lit(DAY_US)).cast("bigint")
-    rows = sharded_lag(df, [key], day, order, ["begin_us", "end_us", "fs", "nx", "file"])
-    spacing = F.when(F.col("prev.fs") > 0, 1 / F.col("prev.fs")).otherwise(F.lit(0.0))
-    step = (F.col("begin_us") - F.col("prev.end_us")) / 1e6
-    contiguous = F.abs(step - spacing) <= gap_factor * spacing + RELATIVE * F.abs(spacing)
-    same_file = F.coalesce(F.col("file") == F.col("prev.file"), F.lit(False))
-    broken = _differs("fs") | _differs("nx") | same_file | ~F.coalesce(contiguous, F.lit(False))
-    rows = rows.withColumn("_break", F.when(F.col("prev").isNull(), 0).otherwise(broken.cast("int")))
-    return sharded_sum(rows, [key], day, order, "_break", "segment_id").drop("_break", "prev")
+    return sharded_runs(df, [key], day, order, ["begin_us", "end_us", "fs", "nx", "file"], breaks, "segment_id")
 
 
 def segment_table(segmented: DataFrame, key: str) -> DataFrame:
@@ -131,11 +132,14 @@ def stamp_runs(df: DataFrame, keys: list[str], stamp_us: str, fs: str, position:
 
     (keys, run_no, first_position, n_stamps, begin_us, end_us).
     """
-    w = Window.partitionBy(*keys).orderBy(stamp_us, position)
-    step = (F.col(stamp_us) - F.lag(stamp_us).over(w)) / 1e6
-    spacing = 1 / F.col(fs)
-    broken = F.when(F.row_number().over(w) == 1, 0).otherwise(F.when(F.abs(step - spacing) <= 1e-8 + 1e-4 * F.abs(spacing), 0).otherwise(1))
-    rows = df.withColumn("_b", broken).withColumn("run_no", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+    def breaks(now: Column, was: Column) -> Column:
+        step, spacing = (now[stamp_us] - was[stamp_us]) / 1e6, 1 / now[fs]
+        return F.coalesce(F.abs(step - spacing) > 1e-8 + 1e-4 * F.abs(spacing), F.lit(True))
+
+    day = F.floor(F.col(stamp_us) / F.lit(DAY_US)).cast("bigint")
+    rows = sharded_runs(df, keys, day, [stamp_us, position], [stamp_us, fs], breaks, "run_no")
     return rows.groupBy(*keys, "run_no").agg(F.min(position).alias("first_position"), F.count("*").alias("n_stamps"), F.min(stamp_us).alias("begin_us"), F.max(stamp_us).alias("end_us"))
 
 

@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# fixed values: other names of the columns
+# fixed values: other names of the columns; of two names for one column the first here holds
 ALIASES = {
-    "index": "index_raw", "ichan_before_taptest": "index_raw", "ichan_after_taptest": "index_taptest", "taptest_channel_index": "index_taptest",
-    "latitude": "lat", "longitude": "lon", "elevation": "ele", "azimuth": "azi", "dipping angle": "dip", "status": "taptest",
+    "status": "taptest", "index": "index_raw", "ichan_before_taptest": "index_raw", "ichan_after_taptest": "index_taptest", "taptest_channel_index": "index_taptest",
+    "longitude": "lon", "latitude": "lat", "elevation": "ele", "azimuth": "azi", "dipping angle": "dip",
 }
 LEADING, TRAILING = ["index_raw", "fiber", "taptest", "quality", "index_taptest"], ["lat", "lon", "ele", "azi", "dip"]
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
-    """Columns by their own names; a column that is there wins over its aliases, then the first alias; losers go."""
-    taken = set(df.columns)
-    renames, losers = {}, []
-    for c in df.columns:
-        target = ALIASES.get(c)
-        if target is None:
-            continue
-        if target in taken or target in renames.values():
-            losers.append(c)
-        else:
-            renames[c] = target
-    return df.drop(*losers).withColumnsRenamed(renames)
+    """Columns by their own names; a column that is there wins over its aliases, then the first alias of the list; losers go."""
+    have, renames = set(df.columns), {}
+    for alias, name in ALIASES.items():
+        if alias in have and name not in have and name not in renames.values():
+            renames[alias] = name
+    return df.drop(*[a for a in ALIASES if a in have and a not in renames]).withColumnsRenamed(renames)
+
+
+def read_channels(spark: SparkSession, path: str) -> DataFrame:
+    """A channel sheet kept as text with a header, normalised; rows count in the order of the file."""
+    rows = spark.read.option("header", True).csv(path).withColumn("_row", F.monotonically_increasing_id())
+    missing = {"lat", "lon"} - set(rename_aliases(rows).columns)
+    if missing:
+        raise ValueError(f"channel columns missing: {sorted(missing)}")
+    out = normalise_channels(rows, "_row").drop("_row")
+    return out.withColumns({c: F.col(c).cast("double") for c in TRAILING})
+
+
+def select_traces(traces: DataFrame, channels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Traces of the given rows of a channel catalog, by index_raw."""
+    wanted = channels.select(*(keys or []), F.col("index_raw").alias("channel")).distinct()
+    return traces.join(wanted, [*(keys or []), "channel"], "left_semi")
 
 
 def _flag(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double"), F.when(F.lower(F.trim(text)) == "good", F.lit(1.0)).otherwise(F.lit(0.0)))
+    return F.coalesce(text.try_cast("double"), F.when(text == "good", F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def normalise_channels(df: DataFrame, order: str, group: list[str] | None = None) -> DataFrame:
@@ -53,7 +63,7 @@ def normalise_channels(df: DataFrame, order: str, group: list[str] | None = None
         quality = F.when(F.col("spiky").cast("string").try_cast("double") == 0, 1.0).otherwise(0.0)
     else:
         quality = F.lit(1.0)
-    out = out.withColumn("quality", F.when(F.col("taptest") == 0, 0.0).otherwise(quality).cast("tinyint"))
+    out = out.withColumn("quality", F.when(F.col("taptest") == 0, 0.0).otherwise(quality).cast("tinyint")).drop("spiky")
     located = F.col("taptest") == 1
     if "index_taptest" in have:
         out = out.withColumn("index_taptest", F.when(located, F.col("index_taptest").cast("string").try_cast("double").cast("bigint")))
@@ -85,8 +95,10 @@ def active(df: DataFrame) -> DataFrame:
 
 
 def origin(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Mean position of the located channels."""
-    return located(df).groupBy(*(keys or [])).agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    """Mean position of the located channels; without keys, none located is an error."""
+    mean = located(df).groupBy(*(keys or [])).agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    none = F.raise_error(F.lit("no channel is located")).cast("double")
+    return mean if keys else mean.select(F.coalesce("lat0", none).alias("lat0"), "lon0")
 
 
 def summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

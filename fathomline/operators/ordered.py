@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def _edges(rows: DataFrame, keys: list[str], last: str, *cols: Column) -> DataFrame:
+    """The last row of each (keys, shard) with ``cols``, under names that clash with nothing; one row a shard, without an aggregation."""
+    return rows.filter(last).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_s2"), *cols)
+
+
+def _joined(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    cond = rows["_shard"].eqNullSafe(edges["_s2"])
+    for i, k in enumerate(keys):
+        cond = cond & rows[k].eqNullSafe(edges[f"_k{i}"])
+    return rows.join(edges, cond, "left")
+
+
 def sharded_lag(df: DataFrame, keys: list[str], shard: Column, order: list[str], values: list[str], into: str = "prev") -> DataFrame:
     """Previous row's ``values`` as a struct column ``into`` (null on a group's first row).
 
@@ -22,29 +36,30 @@ def sharded_lag(df: DataFrame, keys: list[str], shard: Column, order: list[str],
     inside (keys, shard); only one summary row per shard crosses shards, so a
     key that owns a third of all rows is still spread over its shards.
     """
+    inside = Window.partitionBy(*keys, "_shard").orderBy(*order)
     rows = df.withColumn("_shard", shard).withColumn("_val", F.struct(*values))
+    rows = rows.withColumns({"_lag": F.lag("_val").over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    ks = [f"_k{i}" for i in range(len(keys))]
+    ends = _edges(rows, keys, "_end", F.col("_val").alias("_last")).withColumn("_carry", F.lag("_last").over(Window.partitionBy(*ks).orderBy("_s2"))).drop("_last")
+    out = _joined(rows, ends, keys).withColumn(into, F.coalesce("_lag", "_carry"))
+    return out.drop("_shard", "_val", "_lag", "_end", "_s2", "_carry", *ks)
+
+
+def sharded_runs(df: DataFrame, keys: list[str], shard: Column, order: list[str], values: list[str], breaks: Callable[[Column, Column], Column], into: str) -> DataFrame:
+    """Number of the run a row lies in (0, 1, ... within ``keys``); ``breaks(value, value of the row before)`` tells where one begins.
+
+    One pass: rows are numbered inside (keys, shard), one row a shard tells the
+    others how many runs began before it and whether one begins with its first row.
+    """
     inside = Window.partitionBy(*keys, "_shard").orderBy(*order)
-    rows = rows.withColumn("_lag", F.lag("_val").over(inside))
-    ends = rows.groupBy(*keys, "_shard").agg(F.max_by("_val", F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_shard")
-    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_s2"), F.lag("_last").over(across).alias("_carry"))
-    cond = F.col("_shard").eqNullSafe(F.col("_s2"))
-    for i, k in enumerate(keys):
-        cond = cond & rows[k].eqNullSafe(F.col(f"_k{i}"))
-    out = rows.join(ends, cond, "left").withColumn(into, F.coalesce("_lag", "_carry"))
-    return out.drop("_shard", "_val", "_lag", "_s2", "_carry", *[f"_k{i}" for i in range(len(keys))])
-
-
-def sharded_sum(df: DataFrame, keys: list[str], shard: Column, order: list[str], value: str, into: str) -> DataFrame:
-    """Running sum of ``value`` along ``order`` within ``keys``, spread over shards as in ``sharded_lag``."""
-    rows = df.withColumn("_shard", shard)
-    inside = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(value).over(inside))
-    across = Window.partitionBy(*keys).orderBy("_shard")
-    parts = rows.groupBy(*keys, "_shard").agg(F.sum(value).alias("_part"))
-    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_shard").alias("_s2"), (F.sum("_part").over(across) - F.col("_part")).alias("_before"))
-    cond = F.col("_shard").eqNullSafe(F.col("_s2"))
-    for i, k in enumerate(keys):
-        cond = cond & rows[k].eqNullSafe(F.col(f"_k{i}"))
-    out = rows.join(parts, cond, "left").withColumn(into, F.col("_sum") + F.coalesce("_before", F.lit(0)))
-    return out.drop("_shard", "_sum", "_s2", "_before", *[f"_k{i}" for i in range(len(keys))])
+    rows = df.withColumn("_shard", shard).withColumn("_val", F.struct(*values))
+    rows = rows.withColumns({"_lag": F.lag("_val").over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull(), "_head": F.first("_val").over(inside)})
+    begins = F.when(F.col("_lag").isNull(), 0).otherwise(breaks(F.col("_val"), F.col("_lag")).cast("int"))
+    rows = rows.withColumn("_begins", begins).withColumn("_inner", F.sum("_begins").over(inside))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    across = Window.partitionBy(*ks).orderBy("_s2")
+    ends = _edges(rows, keys, "_end", "_head", F.col("_val").alias("_last"), F.col("_inner").alias("_within")).withColumn("_carry", F.lag("_last").over(across))
+    ends = ends.withColumn("_first", F.when(F.col("_carry").isNull(), 0).otherwise(breaks(F.col("_head"), F.col("_carry")).cast("int")))
+    ends = ends.withColumn("_before", F.sum(F.col("_within") + F.col("_first")).over(across) - F.col("_within")).select(*ks, "_s2", "_before")
+    rows = rows.drop("_val", "_lag", "_end", "_head", "_begins")
+    return _joined(rows, ends, keys).withColumn(into, F.col("_inner") + F.col("_before")).drop("_shard", "_inner", "_s2", "_before", *ks)

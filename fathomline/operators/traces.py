@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.series import stride, window_slice
 
@@ -88,13 +89,11 @@ def subtract_common_mode(samples: DataFrame, chunk: str, ch_min: int | None = No
     return samples.join(mode, [chunk, "it"], "left").withColumn("x", F.col("x") - F.col("_m")).drop("_m")
 
 
-def stitched(traces: DataFrame, keys: list[str], begin_us: str, rate: str, fill: bool = True) -> DataFrame:
-    """Blocks of a channel in time order as one series: (keys, it, x); missing samples between blocks are zeros if ``fill``.
+ZEROS_AT_ONCE = 65_536
 
-    A block that overlaps the one before follows it as it is. Repeated blocks must be gone before.
-    """
-    from pyspark.sql.window import Window
 
+def layout(traces: DataFrame, keys: list[str], begin_us: str, rate: str, fill: bool = True) -> DataFrame:
+    """Blocks of a channel with their length _n, the missing samples before them _gap (0 without ``fill``), and their place _at in the channel's one series."""
     w = Window.partitionBy(*keys).orderBy(begin_us)
     rows = traces.withColumn("_n", F.size("samples")).filter("_n > 0")
     step = F.lit(1e6) / F.col(rate)
@@ -102,6 +101,26 @@ def stitched(traces: DataFrame, keys: list[str], begin_us: str, rate: str, fill:
     gap = F.coalesce(F.greatest(F.rint((F.col(begin_us) - F.lag(stop).over(w)) / step), F.lit(0)), F.lit(0)).cast("bigint")
     rows = rows.withColumn("_gap", gap if fill else F.lit(0).cast("bigint"))
     total = F.sum(F.col("_gap") + F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_at", total - F.col("_n") - F.col("_gap"))
-    filled = F.concat(F.array_repeat(F.lit(0.0), F.col("_gap").cast("int")), F.transform("samples", lambda x: x.cast("double")))
-    return rows.select(*keys, "_at", F.posexplode(filled).alias("_i", "x")).select(*keys, (F.col("_at") + F.col("_i")).alias("it"), "x")
+    return rows.withColumn("_at", total - F.col("_n"))
+
+
+def stitched(traces: DataFrame, keys: list[str], begin_us: str, rate: str, fill: bool = True) -> DataFrame:
+    """Blocks of a channel in time order as one series: (keys, it, x); missing samples between blocks are zeros if ``fill``.
+
+    A block that overlaps the one before follows it as it is. Repeated blocks must be gone before.
+    """
+    return placed(layout(traces, keys, begin_us, rate, fill), keys, "_at", "_gap")
+
+
+def placed(blocks: DataFrame, keys: list[str], at: str, zeros: str | None) -> DataFrame:
+    """(keys, it, x) of blocks of samples that begin at index ``at``, with ``zeros`` zeros before each (none where the column isn't named).
+
+    Zeros are made a stretch at a time, never as one array.
+    """
+    held = blocks.select(*keys, F.col(at).alias("_at"), F.posexplode("samples").alias("_i", "x")).select(*keys, (F.col("_at") + F.col("_i")).alias("it"), F.col("x").cast("double").alias("x"))
+    if zeros is None:
+        return held
+    gaps = blocks.filter(F.col(zeros) > 0).select(*keys, (F.col(at) - F.col(zeros)).alias("_from"), F.col(at).alias("_to"))
+    gaps = gaps.withColumn("_lo", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(ZEROS_AT_ONCE).cast("bigint"))))
+    gaps = gaps.select(*keys, F.explode(F.sequence("_lo", F.least(F.col("_lo") + ZEROS_AT_ONCE, F.col("_to")) - 1)).alias("it"), F.lit(0.0).alias("x"))
+    return held.unionByName(gaps)

@@ -10,6 +10,7 @@ from ..functions.arrays import row_kernel
 from ..functions.filters import filtered
 from ..functions.scalars import processed_name
 from ..functions.series import unwrap
+from ..operators.joins import interval_join
 
 
 def ratio_for(fs: float, f_max: float) -> int:
@@ -51,11 +52,16 @@ def desample_windows(rows: DataFrame, windows: DataFrame, key: str, fs: float, f
     segment_id, file, begin_us, end_us, channel, samples). A window takes the
     rows that meet it and one more of the segment on each side, so that the
     filter's edges fall on padding; a channel's rows are put together, filtered,
-    decimated and cut to the target rows. One shuffle, over (window, channel).
+    decimated and cut to the target rows. Rows meet their windows by time
+    buckets, never all windows of a segment.
     """
     ratio = ratio_for(fs, f_max)
     dt_out = F.lit(ratio * 1e6 / fs)
-    parts = rows.join(windows, [key, "segment_id"])
+    # a row beside the window's own ones ends or begins within one row's length of it
+    longest = rows.agg(F.max(F.col("end_us") - F.col("begin_us"))).first()[0] or 0
+    margin = longest + int(5e6 / fs)
+    near = windows.select(key, "segment_id", "window_begin", "window_end", (F.col("window_begin") - margin).alias("_from"), (F.col("window_end") + margin).alias("_until"))
+    parts = interval_join(rows, near, ("begin_us", "end_us"), ("_from", "_until"), max(longest, 1_000_000), [key, "segment_id"], closed=True).drop("_from", "_until")
     w = Window.partitionBy(key, "segment_id", "window_begin", "channel").orderBy("begin_us")
     hit = (F.col("begin_us") < F.col("window_end")) & (F.col("end_us") > F.col("window_begin"))
     parts = parts.withColumn("_hit", hit).withColumns({"_next": F.lead("_hit").over(w), "_prev": F.lag("_hit").over(w)})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.joins import interval_join
 
@@ -23,6 +24,26 @@ def extract_plan(events: DataFrame, catalog: DataFrame, before_us: int, after_us
     return rows.filter("n_samples > 0").select(*(on or []), "event_id", "file", "offset", "n_samples", "event_index")
 
 
+def cut_samples(plan: DataFrame, traces: DataFrame, keys: list[str] = ["file"]) -> DataFrame:  # noqa: B006 - never changed
+    """(event_id, channel, begin_us, fs, samples): the pieces of each event put together, one row a channel.
+
+    ``plan`` has a row a piece (event_id, keys, fs, at_us its first sample's time,
+    first and n_samples in its trace), ``traces`` (keys, channel, samples). Missing
+    samples between pieces are zeros; their number is bounded by the event's
+    window. Events whose pieces differ in rate, or are not all there, are left out.
+    """
+    dt = F.lit(1e6) / F.col("fs")
+    w = Window.partitionBy("event_id").orderBy("at_us", *keys, "first")
+    gap = F.rint((F.col("at_us") - F.lag(F.col("at_us") + F.col("n_samples") * dt).over(w)) / dt).cast("int")
+    of_event = Window.partitionBy("event_id")
+    plan = plan.withColumns({"_zeros": F.when(gap > 1, gap).otherwise(0), "_n": F.count("*").over(of_event), "begin_us": F.min("at_us").over(of_event), "_even": F.min("fs").over(of_event) == F.max("fs").over(of_event)})
+    parts = plan.filter("_even").join(traces.select(*keys, "channel", F.col("samples").alias("_all")), keys)
+    x = F.slice("_all", (F.col("first") + 1).cast("int"), F.col("n_samples").cast("int"))
+    parts = parts.withColumn("_x", F.concat(F.array_repeat(F.lit(0.0).cast("float"), F.col("_zeros")), x))
+    whole = parts.groupBy("event_id", "channel", "begin_us", "fs", "_n").agg(F.array_sort(F.collect_list(F.struct("at_us", *keys, "first", "_x"))).alias("_parts")).filter(F.size("_parts") == F.col("_n"))
+    return whole.select("event_id", "channel", "begin_us", "fs", F.flatten(F.col("_parts._x")).alias("samples"))
+
+
 def extract_status(events: DataFrame, plan: DataFrame, done: DataFrame) -> DataFrame:
     """(event_id, status): 'skip' if its output is there, 'extract' if there is something to read, else 'fail'."""
     ids = plan.select("event_id").distinct().withColumn("_plan", F.lit(True))

@@ -23,6 +23,7 @@ from ..operators.times import resolve_times
 from ..plans import events as E
 from ..plans import noise as N
 from ..plans.desample import desample
+from ..plans.desample import desample_windows as desampled
 from ..session import table
 from .catalog_problems import RESOLVED
 
@@ -292,18 +293,68 @@ DEDUP = """first AS (SELECT run_id, channel, begin_time, min(trace_id) AS trace_
 blk AS (SELECT t.run_id, t.channel, epoch_us(t.begin_time) AS b, t.fs, len(t.samples) AS n, t.samples FROM das_traces t JOIN first USING (trace_id))"""
 
 
+def _first_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of each channel of a run, those sent twice once."""
+    t = table(spark, sf, "das_traces").filter("samples is not null and size(samples) > 0 and begin_time is not null and fs > 0").withColumn("b", F.unix_micros("begin_time"))
+    return t.groupBy("run_id", "channel", "b").agg(F.min_by(F.struct("fs", "samples"), "trace_id").alias("r")).select("run_id", "channel", "b", "r.*")
+
+
 @query(f"""WITH {DEDUP},
   gap AS (SELECT *, coalesce(greatest(CAST(round_even((b - lag(b + n * (1e6 / fs)) OVER w) / (1e6 / fs), 0) AS BIGINT), 0), 0) AS gap FROM blk WINDOW w AS (PARTITION BY run_id, channel ORDER BY b)),
   placed AS (SELECT *, sum(gap + n) OVER (PARTITION BY run_id, channel ORDER BY b) AS upto FROM gap)
   SELECT run_id, channel, CAST(max(upto) AS BIGINT) AS n_samples, CAST(sum(gap) AS BIGINT) AS n_zeros FROM placed GROUP BY ALL""")
 def read_fill_gap(spark, sf):
     """Every channel of a run as one series, zeros between its blocks; shown by its lengths."""
-    t = table(spark, sf, "das_traces").filter("samples is not null and size(samples) > 0 and begin_time is not null and fs > 0").withColumn("b", F.unix_micros("begin_time"))
-    first = t.groupBy("run_id", "channel", "b").agg(F.min_by(F.struct("fs", "samples"), "trace_id").alias("r")).select("run_id", "channel", "b", "r.*")
-    series = T.stitched(first, ["run_id", "channel"], "b", "fs")
-    whole = series.groupBy("run_id", "channel").agg(F.count("*").alias("n_samples"))
-    held = first.groupBy("run_id", "channel").agg(F.sum(F.size("samples")).alias("held"))
-    return whole.join(held, ["run_id", "channel"]).select("run_id", "channel", "n_samples", (F.col("n_samples") - F.col("held")).alias("n_zeros"))
+    first = _first_blocks(spark, sf)
+    rows = T.layout(first, ["run_id", "channel"], "b", "fs")
+    return rows.groupBy("run_id", "channel").agg(F.max(F.col("_at") + F.col("_n")).alias("n_samples"), F.sum("_gap").alias("n_zeros"))
+
+
+@query(f"""WITH {DEDUP},
+  gap AS (SELECT *, coalesce(greatest(CAST(round_even((b - lag(b + n * (1e6 / fs)) OVER w) / (1e6 / fs), 0) AS BIGINT), 0), 0) AS gap FROM blk WINDOW w AS (PARTITION BY run_id, channel ORDER BY b)),
+  placed AS (SELECT *, sum(gap + n) OVER (PARTITION BY run_id, channel ORDER BY b) - n AS pos FROM gap),
+  held AS (SELECT run_id, channel, CAST(pos + unnest(range(n)) AS BIGINT) AS it, CAST(unnest(samples) AS DOUBLE) AS x FROM placed)
+  SELECT run_id, channel, it, x FROM held WHERE x <> 0 AND NOT isnan(x) AND NOT isinf(x)""")
+def read_fill_values(spark, sf):
+    """Every channel of a run as one series; the samples that are no zeros, at their places."""
+    series = T.placed(T.layout(_first_blocks(spark, sf), ["run_id", "channel"], "b", "fs"), ["run_id", "channel"], "_at", None)
+    return series.filter((F.col("x") != 0) & ~F.isnan("x") & (F.abs("x") != float("inf")))
+
+
+# every trace of 64 samples in four files of 16, as a recorder would write them
+BLOCK = 16
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _traces(spark, sf).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / BLOCK).cast("int"))))
+    begin = F.col("begin_us") + F.col("block") * F.lit(BLOCK * 10_000)
+    samples = F.slice("samples", F.col("block") * BLOCK + 1, BLOCK)
+    return rows.select("chunk", "channel", F.lit(0).cast("bigint").alias("segment_id"), F.concat_ws("/", "chunk", "block").alias("file"), begin.alias("begin_us"), (begin + (F.size(samples) - 1) * 10_000).alias("end_us"), F.lit(FS).alias("fs"), samples.alias("samples"))
+
+
+@query(f"""WITH {S_SQL}, w AS (SELECT unnest([0, 1, 2]) AS k), r AS (SELECT DISTINCT chunk, channel, it // 16 AS blk FROM s),
+  hit AS (SELECT chunk, channel, k, blk FROM r, w WHERE blk * 160000 < (k + 1) * 210000 AND (blk * 16 + 15) * 10000 > k * 210000)
+  SELECT s.channel, CAST(k AS INT) AS place, CAST(it - min(it) OVER (PARTITION BY s.channel, k) AS INT) AS it, round(x, 6) + 0.0 AS y FROM hit JOIN s ON s.channel = hit.channel AND s.it // 16 = blk""")
+def desample_windows(spark, sf):
+    """Three windows of 210 ms over files of 160 ms, each read with padding and cut to its own files; without a corner, so that samples stay."""
+    rows = _blocks(spark, sf)
+    windows = rows.select("chunk", "segment_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    windows = windows.select("chunk", "segment_id", (F.lit(BEGIN_US) + F.col("place") * 210_000).alias("window_begin"), (F.lit(BEGIN_US) + F.col("place") * 210_000 + 210_000).alias("window_end"))
+    out = desampled(rows, windows, "chunk", FS, 0.0)
+    place = ((F.col("window_begin") - BEGIN_US) / 210_000).cast("int")
+    return out.select("channel", place.alias("place"), F.posexplode("samples").alias("it", "x")).select("channel", "place", "it", (F.round("x", 6) + 0.0).alias("y"))
+
+
+@query(f"WITH {S_SQL} SELECT chunk AS event_id, channel, CAST(it - 10 AS INT) AS it, round(x, 6) + 0.0 AS y FROM s WHERE it >= 10 AND it < 50")
+def event_cutouts(spark, sf):
+    """One event a chunk, 300 ms after its begin, cut out of the files from 200 ms before it to 200 ms after."""
+    rows = _blocks(spark, sf)
+    events = rows.select("chunk").distinct().select("chunk", F.col("chunk").alias("event_id"), F.lit(BEGIN_US + 300_000).alias("event_us"))
+    files = rows.select("chunk", "file", "begin_us", "end_us", "fs", F.size("samples").cast("bigint").alias("nt")).distinct()
+    plan = E.extract_plan(events, files.withColumn("file", F.struct("file", "begin_us", "fs")), 200_000, 200_000, on=["chunk"])
+    plan = plan.select("event_id", "file.file", "file.fs", F.col("offset").alias("first"), "n_samples", (F.col("file.begin_us") + F.col("offset") * 10_000).alias("at_us"))
+    out = E.cut_samples(plan, rows)
+    return out.select("event_id", "channel", F.posexplode("samples").alias("it", "x")).select("event_id", "channel", "it", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("y"))
 
 
 @query("""WITH d AS (SELECT row_id, row_number() OVER (PARTITION BY file, coalesce(first_sample, 0) ORDER BY scanned_at DESC NULLS LAST, row_id DESC) AS rn FROM das_catalog) SELECT row_id FROM d WHERE rn = 1""")

@@ -2,7 +2,7 @@
 
 Register once per session with ``register(spark)``. Options: ``channels`` as
 "a:b" (end exclusive), ``first_sample``, ``n_samples``; for SEG-Y also the
-options of ``segy.decode_file``. Filters on ``channel`` narrow the slice;
+options of ``segy.decode_file``, for HDF5 ``convert``. Filters on ``channel`` narrow the slice;
 ``register`` turns filter pushdown to Python sources on for the session.
 """
 
@@ -91,12 +91,10 @@ class Hdf5Reader(FileReader):
     endings = (".h5", ".hdf5")
 
     def read(self, partition: OneFile) -> Iterator[tuple]:
-        import h5py
-
-        with h5py.File(partition.path, "r") as f:
-            d = hdf5.decode_any(f, (self.low, self.high), *self.bounds())
+        with hdf5.open_hdf5(partition.path) as f:
+            d = hdf5.decode_any(f, (self.low, self.high), *self.bounds(), self.options.get("convert", "false").lower() == "true")
         for i, x in enumerate(d["data"]):
-            yield partition.path, self.low + i, x.tolist(), d["fs"], len(x), len(d["data"]), d["begin_us"], d["units"], d["dx"], d["gauge_length_m"]
+            yield partition.path, self.low + i, x.tolist(), d["fs"], len(x), len(d["data"]), d["begin_us"], d["units"], d["dx"], d["gauge_length_m"], d["kind"], d["origin"], d["t0_sec"], d["raw_meta"]
 
 
 class SegySource(DataSource):
@@ -116,6 +114,9 @@ class Hdf5Source(SegySource):
     def name(cls) -> str:
         return "das-hdf5"
 
+    def schema(self) -> StructType:
+        return hdf5.TRACES
+
     def reader(self, schema: StructType) -> Hdf5Reader:
         return Hdf5Reader(self.options)
 

@@ -131,3 +131,73 @@ def segy_catalog(traces: DataFrame) -> DataFrame:
 
     one = traces.groupBy("file").agg(F.first("begin_us").alias("begin_us"), F.first("fs").alias("fs"), F.first("nt").cast("bigint").alias("nt"), F.first("nx").alias("nx"), F.first("dx").alias("dx"), F.first("gauge_length_m").alias("gauge_length_m"))
     return one.withColumns({"end_us": F.col("begin_us") + F.rint((F.col("nt") - 1) * 1e6 / F.col("fs")).cast("bigint"), "first_sample": F.lit(0).cast("bigint")})
+
+
+def head_of(path: str) -> tuple[bytes, int]:
+    """The headers of a file and its first trace, and its size; a packed file is unpacked for the size alone."""
+    if not path.lower().endswith(".gz"):
+        with open(path, "rb") as f:
+            head = f.read(FILE_HEADER + TRACE_HEADER)
+            return head, f.seek(0, 2)
+    with gzip.open(path, "rb") as f:
+        head = f.read(FILE_HEADER + TRACE_HEADER)
+        size = len(head)
+        while part := f.read(1 << 20):
+            size += len(part)
+        return head, size
+
+
+def describe_file(head: bytes, size: int, *, n_traces: int | None = None, n_samples: int | None = None, sample_interval: float | None = None, sample_format: int | None = None, begin_us: int | None = None) -> dict:
+    """The catalog row of a file from its headers, without decoding a sample."""
+    interval, count, code = (int(np.frombuffer(head[a : a + 2], ">i2")[0]) for a in (INTERVAL_AT, COUNT_AT, FORMAT_AT))
+    fmt, seconds = sample_format or (code if code in WIDTHS else 5), sample_interval or interval / 1e6
+    if fmt not in WIDTHS or seconds <= 0:
+        raise ValueError("the headers have no sample format or interval")
+    nx, nt = geometry(size, count, WIDTHS[fmt], n_traces, n_samples)
+    begin = begin_us if begin_us is not None else header_time_us(head[FILE_HEADER:])
+    return {"begin_us": begin, "end_us": None if begin is None else begin + round((nt - 1) * seconds * 1e6), "fs": 1 / seconds, "nt": nt, "nx": nx, "first_sample": 0}
+
+
+def list_segy(spark: SparkSession, folder: str) -> DataFrame:
+    """(file) of the SEG-Y files under a folder; nothing is read."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("file"))
+    return files.filter(F.lower("file").rlike(r"\.(segy|sgy)(\.gz)?$"))
+
+
+def scan_segy(spark: SparkSession, folder: str, known: DataFrame | None = None, **options) -> DataFrame:
+    """Catalog rows of SEG-Y files, as ``hdf5.scan`` gives them; files in ``known`` aren't opened."""
+    from .hdf5 import CATALOG
+
+    files = list_segy(spark, folder)
+    if known is not None:
+        files = files.join(known.select("file").distinct(), "file", "left_anti")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for name in batch["file"]:
+                try:
+                    found.append({"file": name} | describe_file(*head_of(name), **options))
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is that file's
+                    found.append({"file": name, "error": f"{type(e).__name__}: {e}"[:500]})
+            yield pd.DataFrame(found, columns=CATALOG.names, dtype=object)
+
+    return files.repartition("file").mapInPandas(rows, CATALOG)
+
+
+def read_pieces(files: DataFrame, **options) -> DataFrame:
+    """Traces of slices of files (file, first_sample, nt), as ``hdf5.read_files`` gives them."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, first, count in zip(batch["file"], batch["first_sample"], batch["nt"], strict=True):
+                with (gzip.open if name.lower().endswith(".gz") else open)(name, "rb") as src:
+                    f = decode_file(src.read(), **options)
+                lo = 0 if pd.isna(first) else int(first)
+                x = f["data"][:, lo : None if pd.isna(count) else lo + int(count)]
+                n, begin = f["nx"], None if f["begin_us"] is None else f["begin_us"] + round(lo * 1e6 / f["fs"])
+                yield pd.DataFrame({"file": [name] * n, "channel": np.arange(n, dtype=np.int32), "samples": list(x), "fs": f["fs"], "nt": x.shape[1], "nx": n, "begin_us": pd.array([begin] * n, dtype="Int64"), "units": "unknown", "dx": None, "gauge_length_m": None, "slice": f"{'' if pd.isna(first) else int(first)}:{'' if pd.isna(count) else int(count)}"})
+
+    return files.select("file", "first_sample", "nt").repartition("file", "first_sample").mapInPandas(unpack, StructType([*SCHEMA.fields, StructField("slice", StringType())]))

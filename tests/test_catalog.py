@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import catalog as C
 from fathomline.operators import joins as J
-from fathomline.operators.ordered import sharded_lag, sharded_sum
+from fathomline.operators.ordered import sharded_lag, sharded_runs
 from fathomline.plans import desample as D
 from fathomline.plans import events as E
 
@@ -92,17 +92,19 @@ def test_runs_of_stamps(spark):
     assert got == [(0, 0, 3), (1, 3, 2)]
 
 
-def test_sharded_lag_and_sum(spark):
+def test_sharded_lag_and_runs(spark):
     rng = random.Random(4)
-    rows = [(rng.choice(["a", None, "b"]), t, rng.randint(0, 9)) for t in rng.sample(range(1000), 120)]
+    rows = [(rng.choice(["a", None, "b"]), t, rng.randint(0, 2)) for t in rng.sample(range(1000), 120)]
     df = spark.createDataFrame(rows, "k string, t int, v int")
-    got = {(r.k, r.t): (r.prev.v if r.prev else None, r.total) for r in sharded_sum(sharded_lag(df, ["k"], F.floor(F.col("t") / 7), ["t"], ["v"]), ["k"], F.floor(F.col("t") / 50), ["t"], "v", "total").collect()}
-    for k in ("a", "b", None):
-        before, total = None, 0
-        for _, t, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
-            total += v
-            assert got[k, t] == (before, total)
-            before = v
+    lagged = sharded_lag(df, ["k"], F.floor(F.col("t") / 7), ["t"], ["v"])
+    for size in (3, 50, 5000):
+        got = {(r.k, r.t): (r.prev.v if r.prev else None, r.run) for r in sharded_runs(lagged, ["k"], F.floor(F.col("t") / size), ["t"], ["v"], lambda now, was: now["v"] != was["v"], "run").collect()}
+        for k in ("a", "b", None):
+            before, run = None, 0
+            for _, t, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+                run += before is not None and v != before
+                assert got[k, t] == (before, run)
+                before = v
 
 
 def test_interval_join_gives_each_pair_once(spark):

@@ -14,12 +14,29 @@ def test_channels_are_normalised(spark):
     rows = [(0, "100", "n", "good", "0", "x"), (1, "101", None, "bad", "1", "y"), (2, "102", "n", "GOOD", "zap", "z"), (3, "103", "n", "1", None, "w")]
     df = spark.createDataFrame(rows, "pos int, index string, fiber string, status string, spiky string, note string")
     out = H.normalise_channels(df, "pos").orderBy("index_raw")
-    assert out.columns == ["index_raw", "fiber", "taptest", "quality", "index_taptest", "pos", "spiky", "note", "lat", "lon", "ele", "azi", "dip"]
+    assert out.columns == ["index_raw", "fiber", "taptest", "quality", "index_taptest", "pos", "note", "lat", "lon", "ele", "azi", "dip"]
     got = [(r.index_raw, r.fiber, r.taptest, r.quality, r.index_taptest) for r in out.collect()]
-    assert got == [(100, "n", 1, 1, 0), (101, "u", 0, 0, None), (102, "n", 1, 0, 1), (103, "n", 1, 0, 2)]
-    assert H.active(out).count() == 1 and H.located(out).count() == 3 and H.by_fiber(out, "u").count() == 1 and H.every_nth(out, 2).count() == 2
+    assert got == [(100, "n", 1, 1, 0), (101, "u", 0, 0, None), (102, "n", 0, 0, None), (103, "n", 1, 0, 1)]
+    assert H.active(out).count() == 1 and H.located(out).count() == 2 and H.by_fiber(out, "u").count() == 1 and H.every_nth(out, 2).count() == 1
     s = H.summary(out).first()
-    assert (s.n, s.n_located, s.n_active, s.fibers) == (4, 3, 1, "n,u")
+    assert (s.n, s.n_located, s.n_active, s.fibers) == (4, 2, 1, "n,u")
+
+
+def test_a_sheet_from_a_file(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("ichan_before_taptest,taptest_channel_index,ichan_after_taptest,status,latitude,longitude,index\n7,1,5,good,1.5,2.5,70\n8,2,6,lost,2.5,3.5,80\n9,3,,good,3.5,4.5,90\n")
+    out = H.read_channels(spark, str(tmp_path / "c.csv"))
+    got = [(r.index_raw, r.index_taptest, r.taptest, r.lat) for r in out.orderBy("index_raw").collect()]
+    assert got == [(70, 5, 1, 1.5), (80, None, 0, 2.5), (90, None, 1, 3.5)]  # index and ichan_after_taptest come first in the list of names
+    (tmp_path / "d.csv").write_text("name,lat,lon\na,1,2\nb,2,3\n")
+    assert [(r.name, r.index_raw, r.index_taptest, r.quality) for r in H.read_channels(spark, str(tmp_path / "d.csv")).orderBy("index_raw").collect()] == [("a", 0, 0, 1), ("b", 1, 1, 1)]
+    (tmp_path / "e.csv").write_text("name,lat\na,1\n")
+    with pytest.raises(ValueError, match="lon"):
+        H.read_channels(spark, str(tmp_path / "e.csv"))
+    traces = spark.createDataFrame([(70, "x"), (80, "y"), (99, "z")], "channel long, t string")
+    assert [r.t for r in H.select_traces(traces, H.active(out)).collect()] == ["x"]
+    assert H.origin(out).first().lat0 == 2.5
+    with pytest.raises(Exception, match="no channel is located"):
+        H.origin(out.filter("taptest = 0")).collect()
 
 
 def test_aliases_give_way_to_real_columns(spark):

@@ -4,12 +4,19 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from fathomline import __main__ as jobs
+from fathomline.operators import catalog as C
+from fathomline.plans import recordings as R
 from fathomline.sources import hdf5, segy, tables
 from fathomline.streaming import incremental as I
 
+from . import stubs as H
+
+cloudpickle.register_pickle_by_value(H)
+
 DATA = np.random.default_rng(1).normal(size=(4, 80)).astype(np.float32)
 
 
@@ -70,46 +77,98 @@ def test_catalog_files(spark, tmp_path):
     assert got == {"/a b/x.h5": (5, 100.0, None, 10.0), "b": (1, None, 3, None)}
     assert tables.read_catalog(spark, str(tmp_path / "c.csv"), undo_missing=False).filter("fs = -1").count() == 1
     assert tables.catalog_format("x/y") == "csv"
+    (tmp_path / "old.csv").write_text('file   startTime endTime fs nChannels  dCh GaugeLen system\n"/a b/x.h5" 2023-11-14T22:13:20+00:00   2023-11-14T22:13:21.500000+00:00 100.0 4 -1 10.0 ASN\nb 2023-11-14T22:13:20 2023-11-14T22:13:21 50.0 4 2 10.0 Proc\n')
+    got = tables.read_catalog(spark, str(tmp_path / "old.csv"), system="ASN").collect()
+    assert [(r.file, r.begin_us, r.end_us, r.fs, r.nx, r.dx, r.gauge_length_m, r.first_sample, r.nt, r.system) for r in got] == [("/a b/x.h5", 1_700_000_000_000_000, 1_700_000_001_500_000, 100.0, 4, None, 10.0, 0, None, "ASN")]
+    assert (tmp_path / "c.csv").is_dir() and "begTime" in spark.read.text(str(tmp_path / "c.csv")).first()[0] and spark.read.text(str(tmp_path / "c.csv")).filter("value like '%1970-01-01T00:00:00.000005+00:00%'").count() == 1
     with pytest.raises(ValueError):
         tables.catalog_format("a.json")
 
 
-class Stub(dict):
-    """As much of an HDF5 file as the decoders touch."""
-
-    def __init__(self, items, attrs=None):
-        super().__init__(items)
-        self.attrs = attrs or {}
-
-    def __contains__(self, key):
-        return any(k == key or k.startswith(key + "/") for k in self.keys())
-
-    def __getitem__(self, key):
-        if dict.__contains__(self, key):
-            return dict.__getitem__(self, key)
-        return Stub({k[len(key) + 1 :]: v for k, v in self.items() if k.startswith(key + "/")}, self.attrs.get("." + key, {}))
-
-
-class Value(np.ndarray):
-    def __new__(cls, v):
-        return np.asarray(v).view(cls)
-
-
 def test_layouts_of_recordings():
-    asn = Stub({"data": Value(np.ones((256, 4), np.float32)), "acqSpec/x": Value(1), "header/sensitivities": Value([1e8]), "header/dataScale": Value(1.0), "header/dt": Value(0.01), "header/dx": Value(2.0), "header/channels": Value([0, 1, 2, 3]), "header/gaugeLength": Value(10.0), "header/time": Value(1.7e9)})
-    d = hdf5.decode_any(asn, (1, 3), 10, 5)
-    assert d["kind"] == "ASN" and d["data"].shape == (2, 5) and d["data"][0, 0] == pytest.approx(-1e-8) and d["dx"] == 2 and d["begin_us"] == 1_700_000_000_100_000 and d["units"] == "strain/s"
-    opt = Stub({"Acquisition/Raw[0]/RawData": Value(np.arange(1024).reshape(4, 256)), "Acquisition/Raw[0]/RawDataTime": Value(np.arange(256) * 10_000)}, {".Acquisition": {"SpatialSamplingInterval": 1.0, "GaugeLength": 10.0}, ".Acquisition/Raw[0]": {"OutputDataRate": 100.0}})
-    d = hdf5.decode_any(opt, first=3)
-    assert d["data"].shape == (4, 253) and d["data"][1, 0] == 259 and d["begin_us"] == 30_000 and d["units"] == "count"
-    aps = Stub({"DAS": Value(np.ones((256, 4))), "DataTimestamps": Value(np.arange(256)[:, None] * 4000), "ProcessingServer/DataRate": Value([250.0]), "ProcessingServer/SpatialSampling": Value([2.0]), "ProcessingServer/GaugeLength": Value([10.0])})
-    assert hdf5.decode_any(aps)["data"].shape == (4, 256)
-    proc = Stub({"Data": Value(np.arange(8.0).reshape(4, 2))}, {"nt": 4, "dt": 0.01, "startTime": "2023-11-14T22:13:20+00:00", "dCh": 2.0, "GaugeLength": 10.0})
-    d = hdf5.decode_any(proc, first=1, count=2)
-    assert d["data"].tolist() == [[2, 4], [3, 5]] and d["begin_us"] == 1_700_000_000_010_000
-    assert hdf5.kind_of(Stub({"data": 1}, {"event_id": "x"})) == "Event"
+    d = hdf5.decode_any(H.asn(), (1, 3), 10, 5)
+    assert d["kind"] == d["origin"] == "ASN" and d["data"].shape == (2, 5) and d["data"][0, 0] == pytest.approx(-41e-8) and d["data"][1, 0] == pytest.approx(-21e-8)
+    assert d["fs"] == pytest.approx(100) and d["dx"] == 4 and d["begin_us"] == 1_700_000_000_100_002 and d["units"] == "strain/s"
+    assert d["raw_meta"]["acqSpec.YvsXDelay"] == "1" and d["raw_meta"]["header.name"] == "cable" and "data" not in d["raw_meta"]
+    d = hdf5.decode_any(H.optasense(), first=3)
+    assert d["data"].shape == (4, 253) and d["data"][1, 0] == 259 and d["begin_us"] == 1_700_000_000_030_000 and d["units"] == "count" and d["raw_meta"]["FPGA Version"] == "1.9" and d["raw_meta"]["AcquisitionId"] == "a"
+    for timed in (True, False):
+        d = hdf5.decode_any(H.apsensing(timed=timed), (1, None), 2, 4)
+        assert d["data"].shape == (3, 4) and d["data"][0, 0] == 9 and d["begin_us"] == 1_700_000_000_008_000 and d["raw_meta"]["ProcessingServer.DataRate"] == "250.0" and d["raw_meta"]["Distances.Start"] == "5"
+        d = hdf5.decode_any(H.processed(timed=timed), first=1, count=2)
+        assert d["data"].tolist() == [[2, 4], [3, 5]] and d["begin_us"] == 1_700_000_000_010_000 and d["units"] == "strain/s"
+    d = hdf5.decode_any(H.event(), first=1)
+    assert d["data"].tolist() == [[1, 2, 3], [5, 6, 7]] and d["t0_sec"] == pytest.approx(-0.01) and d["units"] == "microstrain/s" and d["raw_meta"] == {"event_id": "e1", "magnitude": "1.5"}
+    with pytest.raises(ValueError):
+        hdf5.decode_any(H.Group())
+
+
+def test_factors_by_origin():
+    counts = -(np.pi / 2**15) * 1550e-9 / (4 * np.pi * 0.78 * 1.468 * 10)
+    assert hdf5.to_strain(H.optasense()) == pytest.approx(counts) and hdf5.to_strain(H.apsensing()) == pytest.approx(1e-7) and hdf5.to_strain(H.asn()) == 1.0
+    kept = dict(H.optasense()["Acquisition"].attrs) | dict(H.optasense()["Acquisition/Custom"].attrs)
+    d = hdf5.decode_any(H.processed(kept), convert=True)
+    assert d["origin"] == "OptaSense" and d["units"] == "microstrain" and d["data"][1, 1] == pytest.approx(3 * counts * 1e6)
+    d = hdf5.decode_any(H.processed({"ProcessingServer.ClassifierVersion": 1, "ProcessingServer.RadiansToNanoStrain": 50.0}), convert=True)
+    assert d["origin"] == "APSensing" and d["units"] == "microstrain/s" and d["data"][1, 1] == pytest.approx(3 * 50e-3)
+    assert hdf5.decode_any(H.processed({"acqSpec.YvsXDelay": 1}))["origin"] == "ASN" and hdf5.origin_of(H.processed({"acquisition.num_channels": 1})) == "Sintela" and hdf5.origin_of(H.processed()) == "Unknown"
+    assert hdf5.to_strain(H.processed({"AcquisitionId": "x"})) == 1.0  # attributes are missing
+    assert hdf5.flattened({"a": {"b": 1, "c": {"d": [2]}}, "e": 3}) == {"a.b": 1, "a.c.d": [2], "e": 3}
+
+
+def test_catalogs_from_headers(spark, tmp_path):
+    folder = tmp_path / "rec ordings"
+    H.save(folder / "20231114" / "221320.hdf5", H.asn())
+    H.save(folder / "20231114" / "ch1" / "221330.hdf5", H.asn(1.7e9 + 10))
+    H.save(folder / "other" / "221330.hdf5", H.asn())
+    H.save(folder / "a.h5", H.optasense(hole=100))
+    H.save(folder / "b.h5", H.apsensing())
+    H.save(folder / "20231115" / "p.h5", H.processed())
+    (folder / "broken.h5").write_bytes(b"no pickle")
+
+    def rows(system):
+        return {r.file.removeprefix(str(folder)).replace("%20", " ").rsplit("/", 1)[-1] + f":{r.first_sample}": r for r in hdf5.scan(spark, str(folder), system, None, H.opener).collect()}
+
+    got = rows("ASN")
+    assert set(got) == {"221320.hdf5:0", "221330.hdf5:0"}
+    r = got["221320.hdf5:0"]
+    assert (r.begin_us, r.end_us, r.nt, r.nx, r.dx, r.gauge_length_m) == (1_700_000_000_000_002, 1_700_000_002_550_002, 256, 4, 4.0, 10.0) and r.fs == pytest.approx(100)
+    got = rows("OptaSense")
+    assert [(got[k].nt, got[k].end_us - got[k].begin_us) for k in ("a.h5:0", "a.h5:100")] == [(100, 990_000), (156, 1_550_000)] and got["a.h5:100"].begin_us == 1_700_000_006_000_000
+    assert "UnpicklingError" in got["broken.h5:None"].error and len(got) == 3
+    r = rows("APSensing")["b.h5:0"]
+    assert (r.nt, r.nx, r.fs, r.end_us - r.begin_us) == (256, 4, 250.0, 255 * 4000)
+    r = rows("Proc")["p.h5:0"]
+    assert (r.nt, r.nx, r.dx, r.end_us - r.begin_us) == (4, 2, 2.0, 30_000)
+    assert hdf5.describe(H.event())[0]["dx"] == 2.0 and hdf5.describe(H.asn(), "Proc") == []
     with pytest.raises(ValueError):
-        hdf5.decode_any(Stub({}))
+        hdf5.scan(spark, str(folder), "Other")
+
+
+def test_known_files_are_not_opened(spark, tmp_path):
+    for i in range(3):
+        H.save(tmp_path / "in" / f"f{i}.h5", H.optasense(1_700_000_000_000_000 + i * 2_560_000))
+    cat = str(tmp_path / "cat.csv")
+    assert jobs.load_or_build(spark, str(tmp_path / "in"), cat, "OptaSense", opener=H.opener).count() == 3
+    H.save(tmp_path / "in" / "f3.h5", H.optasense(1_700_000_007_680_000))
+    rows = jobs.load_or_build(spark, str(tmp_path / "in"), cat, "OptaSense", opener=H.opener)
+    assert rows.count() == 4 and rows.filter("system = 'OptaSense'").count() == 4
+    assert {p.name: p.read_text() for p in (tmp_path / "in").glob("*.opened")} == {f"f{i}.h5.opened": "x" for i in range(4)}
+
+
+def test_time_range_from_catalog_to_samples(spark, tmp_path):
+    """Three files in a row, a hole of two seconds, one more file: a window over all of them."""
+    for i in (0, 1, 2):
+        H.save(tmp_path / f"f{i}.h5", H.optasense(1_700_000_000_000_000 + i * 2_560_000))
+    H.save(tmp_path / "f9.h5", H.optasense(1_700_000_009_680_000))
+    rows = jobs.described(spark, str(tmp_path), "OptaSense", None, H.opener).withColumn("key", F.lit("k"))
+    seg = C.segments(rows, "key")
+    lo, hi = 1_700_000_000_500_000, 1_700_000_010_000_000
+    windows = spark.createDataFrame([("k", lo, hi)], "key string, window_begin long, window_end long")
+    got = R.read_range(seg, windows, "key", R.file_reader("OptaSense", opener=H.opener)).filter("channel = 2").orderBy("it").collect()
+    assert [r.it for r in got] == list(range(950))
+    whole = np.concatenate([np.arange(512, 768)] * 3 + [np.zeros(200), np.arange(512, 768)])
+    assert [r.x for r in got] == whole[50:1000].tolist()
 
 
 CAT = "file string, first_sample long, begin_us long, nt long, key string"
@@ -145,15 +204,15 @@ def test_jobs(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"f{i}.segy").write_bytes(segy.encode_file(DATA, 12_500, (2023, 318, 22, 13, 20 + i)))
     cat = str(tmp_path / "cat.parquet")
-    assert jobs.build_catalog(spark, str(tmp_path / "*.segy"), cat, "X") == 5
+    assert jobs.load_or_build(spark, str(tmp_path / "*.segy"), cat, "SEGY").count() == 5
     (tmp_path / "f9.segy").write_bytes(segy.encode_file(DATA, 12_500, (2023, 318, 22, 13, 25)))
-    assert jobs.load_or_build(spark, str(tmp_path / "*.segy"), cat, "X").count() == 6
-    assert jobs.load_or_build(spark, str(tmp_path / "*.segy"), str(tmp_path / "new.parquet"), "X").count() == 6
-    rows = jobs.list_windows(spark, cat, 2_000_000, None, None, "X", None).collect()
+    assert jobs.load_or_build(spark, str(tmp_path / "*.segy"), cat, "SEGY").count() == 6
+    assert jobs.load_or_build(spark, str(tmp_path / "*.segy"), str(tmp_path / "new.parquet"), "SEGY").count() == 6
+    rows = jobs.list_windows(spark, cat, 2_000_000, None, None, "SEGY", None).collect()
     assert [r.begin for r in sorted(rows)] == ["2023-11-14T22:13:20.000000+00:00", "2023-11-14T22:13:22.000000+00:00"]  # the next would have to end by the last file's begin
-    assert jobs.list_windows(spark, cat, 2_000_000, "2023-11-14T22:13:21", "2023-11-14T22:14:00", "X", None).count() == 1
+    assert jobs.list_windows(spark, cat, 2_000_000, "2023-11-14T22:13:21", "2023-11-14T22:14:00", "SEGY", None).count() == 1
     with pytest.raises(ValueError):
-        jobs.list_windows(spark, cat, 1, "2023", None, "X", None)
+        jobs.list_windows(spark, cat, 1, "2023", None, "SEGY", None)
     (tmp_path / "ev.csv").write_text("event_id,event_time\ne1,2023-11-14T22:13:21Z\ne2,2020-01-01T00:00:00\n")
     plan, counts = jobs.event_job(spark, cat, str(tmp_path / "ev.csv"), 1, 1)
     assert {r.status: r.n for r in counts.collect()} == {"extract": 1, "fail": 1} and plan.count() >= 2
@@ -164,14 +223,16 @@ def test_jobs_write_all_they_list(spark, tmp_path):
     for i in (0, 1, 2, 3, 4, 6):  # 10 s each, then a hole
         (tmp_path / f"f{i}.segy").write_bytes(segy.encode_file(x + i, 10_000, (2023, 318, 22, 13 + i // 6, 10 * i % 60)))
     cat, src, out, evs = (str(tmp_path / n) for n in ("cat.parquet", "*.segy", "proc", "events"))
-    jobs.build_catalog(spark, src, cat, "X")
-    args = ["windows", "--catalog", cat, "--system", "X", "--seconds", "20", "--all", "--list", str(tmp_path / "w.csv"), "--from", src, "--to", out, "--fmax", "4", "--order", "4"]
+    jobs.load_or_build(spark, src, cat, "SEGY")
+    args = ["windows", "--catalog", cat, "--system", "SEGY", "--seconds", "20", "--all", "--list", str(tmp_path / "w.csv"), "--from", src, "--to", out, "--fmax", "4", "--order", "4"]
     jobs.main(args)
     listed = spark.read.option("header", True).csv(str(tmp_path / "w.csv"))
     made = spark.read.parquet(out)
     assert {r.file for r in listed.collect()} == {r.file for r in made.select("file").distinct().collect()} and listed.count() == 2
     assert made.count() == 4 and {len(r.samples) for r in made.collect()} == {200}
-    jobs.main(args)  # nothing is left to do
+    jobs.main([*args, "--proc-catalog", str(tmp_path / "made.csv")])  # nothing is left to do
+    r = tables.read_catalog(spark, str(tmp_path / "made.csv")).orderBy("begin_us").first()
+    assert (r.nt, r.nx, r.fs, r.system) == (200, 2, 10.0, "Proc")
     assert spark.read.parquet(out).count() == 4
     (tmp_path / "ev.csv").write_text("event_id,event_time,magnitude\n007,2023-11-14T22:13:10Z,1.5\n8,2023-11-14T22:13:55Z,2\n9,2020-01-01T00:00:00,0\n")
     args = ["events", "--catalog", cat, "--events", str(tmp_path / "ev.csv"), "--before", "10", "--after", "6", "--list", str(tmp_path / "plan.parquet"), "--from", src, "--to", evs]
