@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,19 +78,49 @@ def skip_samples(traces: DataFrame, step: int) -> DataFrame:
     return out.withColumn("nt", F.size("samples"))
 
 
-def subtract_common_mode(samples: DataFrame, chunk: str, ch_min: int | None = None, ch_max: int | None = None) -> DataFrame:
-    """Less the median over channels [ch_min, ch_max) at each sample of a chunk, from every channel.
+TIME_BLOCK = 2048
+
+
+def subtract_common_mode(traces: DataFrame, chunk: str, ch_min: int | None = None, ch_max: int | None = None, keys: list[str] = ["channel"], block: int = TIME_BLOCK) -> DataFrame:  # noqa: B006 - never changed
+    """Less the median over channels [ch_min, ch_max) at each sample of a chunk, from every channel: (chunk, keys, block, samples).
 
-    Medians are computed per (chunk, sample); a chunk's channels are bounded by
-    the instrument. The long form is joined back on (chunk, sample).
+    One shuffle, of arrays: a block of time of a chunk's channels is one matrix, so a
+    task holds ``block`` samples of as many channels as the instrument has.
+    Where no channel of the band has a value, the result is null.
     """
-    band = samples
-    if ch_min is not None:
-        band = band.filter(F.col("channel") >= ch_min)
-    if ch_max is not None:
-        band = band.filter(F.col("channel") < ch_max)
-    mode = band.groupBy(chunk, "it").agg(F.median("x").alias("_m"))
-    return samples.join(mode, [chunk, "it"], "left").withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+    n = F.size("samples")
+    rows = traces.select(chunk, *keys, "samples", F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")))).alias("block"))
+    rows = rows.select(chunk, *keys, "block", F.transform(F.slice("samples", F.col("block") * block + 1, block), lambda x: x.cast("double")).alias("samples"))
+
+    def less_median(part: pd.DataFrame) -> pd.DataFrame:
+        width = max(map(len, part["samples"]))
+        m = np.full((len(part), width), np.nan)
+        for i, x in enumerate(part["samples"]):
+            m[i, : len(x)] = np.asarray(x, float)
+        ch = part["channel"].to_numpy()
+        band = np.ones(len(part), bool)
+        if ch_min is not None:
+            band &= ch >= ch_min
+        if ch_max is not None:
+            band &= ch < ch_max
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # columns without a value
+            out = m - np.nanmedian(m[band], axis=0) if band.any() else np.full_like(m, np.nan)
+        return part.assign(samples=[[None if np.isnan(v) else v for v in y[: len(x)]] if np.isnan(y[: len(x)]).any() else y[: len(x)] for x, y in zip(part["samples"], out, strict=True)])
+
+    return rows.groupBy(chunk, "block").applyInPandas(less_median, rows.schema)
+
+
+def block_samples(blocks: DataFrame, keys: list[str], block: int = TIME_BLOCK) -> DataFrame:
+    """Long form (keys, it, x) of blocks of time."""
+    out = blocks.select(*keys, "block", F.posexplode("samples").alias("_i", "x"))
+    return out.select(*keys, (F.col("block") * block + F.col("_i")).cast("int").alias("it"), "x")
+
+
+def joined_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Array form (keys, samples) of blocks of time."""
+    whole = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "samples"))).alias("_s"))
+    return whole.select(*keys, F.flatten(F.col("_s.samples")).alias("samples"))
 
 
 ZEROS_AT_ONCE = 65_536

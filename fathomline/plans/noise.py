@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import series as S
 from ..functions.filters import bandpass
 from ..functions.spectral import xcorr
-from ..operators.traces import subtract_common_mode, to_samples, to_traces
+from ..operators.traces import joined_blocks, subtract_common_mode
 
 
 def prepare(traces: DataFrame, keys: list[str], chunk: str, dt: float, band: tuple[float, float] | None = None, order: int = 4, alpha: float = 0.1, step: int = 1, common_mode: bool = True, detrended: bool = True, window_sec: float | None = None, normalise: bool = True) -> DataFrame:
     """Derivative, detrend, taper and band-pass if a band is given, stride, common mode, amplitude normalisation.
 
-    Everything but the common mode stays in a channel's array; the common mode
-    is the one shuffle, over (chunk, sample).
+    Everything but the common mode stays in a channel's array. The common mode
+    shuffles blocks of the arrays by (chunk, time), and once more to put a
+    channel's blocks together.
     """
     x = S.gradient(F.col("samples"), F.lit(dt))
     out = traces.select(*keys, x.alias("samples"))
@@ -26,7 +27,7 @@ def prepare(traces: DataFrame, keys: list[str], chunk: str, dt: float, band: tup
     else:
         out = out.withColumn("samples", S.stride(F.col("samples"), step))
     if common_mode:
-        out = to_traces(subtract_common_mode(to_samples(out, keys), chunk), keys)
+        out = joined_blocks(subtract_common_mode(out, chunk, keys=[k for k in keys if k != chunk]), keys)
     if not normalise:
         return out
     if not window_sec:

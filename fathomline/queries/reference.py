@@ -168,7 +168,7 @@ def _samples(traces: DataFrame) -> DataFrame:
 
 @query(f"WITH {S_SQL}, m AS (SELECT chunk, it, median(x) AS m FROM s GROUP BY chunk, it) SELECT channel, s.it, round(x - m, 6) + 0.0 AS y FROM s JOIN m ON s.chunk = m.chunk AND s.it = m.it")
 def common_mode(spark, sf):
-    rows = T.subtract_common_mode(_samples(_traces(spark, sf)), "chunk")
+    rows = T.block_samples(T.subtract_common_mode(_traces(spark, sf), "chunk"), ["channel"])
     return rows.select("channel", "it", (F.round("x", 6) + 0.0).alias("y"))
 
 
@@ -177,7 +177,7 @@ def common_mode(spark, sf):
   SELECT d.channel, round(sqrt(avg((y - m) * (y - m))), 6) AS rms FROM d JOIN m ON d.chunk = m.chunk AND d.it = m.it GROUP BY d.channel""")
 def detrend_cm_rms(spark, sf):
     flat = _traces(spark, sf).withColumn("samples", S.detrend(F.col("samples")))
-    rows = T.subtract_common_mode(_samples(flat), "chunk")
+    rows = T.block_samples(T.subtract_common_mode(flat, "chunk"), ["channel"])
     return rows.groupBy("channel").agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"))
 
 

@@ -73,8 +73,10 @@ def test_containers(traces):
     assert T.skip_channels(traces, 3).count() == 2
     back = T.to_traces(T.to_samples(traces, ["chunk", "channel"]), ["chunk", "channel"])
     assert np.allclose(arrays(back, F.col("samples")), DATA)
-    mode = T.subtract_common_mode(T.to_samples(traces, ["chunk", "channel"]), "chunk", 1, 4)
-    assert np.allclose(arrays(T.to_traces(mode, ["chunk", "channel"]), F.col("samples")), DATA - np.median(DATA[1:4], axis=0))
+    for block in (7, 64, 2048):
+        mode = T.subtract_common_mode(traces, "chunk", 1, 4, block=block)
+        assert np.allclose(arrays(T.joined_blocks(mode, ["chunk", "channel"]), F.col("samples")), DATA - np.median(DATA[1:4], axis=0))
+        assert T.block_samples(mode, ["channel"], block).filter("channel = 2").agg(F.max("it")).first()[0] == 199
     head = T.header(traces, ["chunk", "fs"]).first()
     assert (head.nx, head.n_samples) == (6, 200)
 
