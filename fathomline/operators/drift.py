@@ -64,27 +64,24 @@ def attr_versions(df: DataFrame, source: str, order: str, tie: str, file: str, a
 def cell_versions(df: DataFrame, source: str, order: str, file: str, row: str, cells: str) -> DataFrame:
     """Versions that are tables kept as rows of name-to-text maps, profiled inside (source, order), which one shuffle brings together.
 
-    Sketch of a column: the least of 12 hashes over its values, each with the
-    least hashes of the rows that have it, and a digest of these rows alone, that
-    is of which rows share a value. Values are compared in one spelling: numbers
-    as numbers, also behind a tag of letters (ch100).
+    Sketch of a column: the least of 12 hashes over its filled (row, value)
+    cells, and a digest of which rows share a value. Values are compared in one
+    spelling: numbers as numbers, also behind a tag of letters (ch100).
     """
     rows = df.select(F.col(source).alias("src"), F.col(order).cast("bigint").alias("ord"), F.col(file).alias("file"), F.col(row).cast("bigint").alias("row"), F.col(cells).alias("cells")).filter("src is not null and ord is not null and cells is not null")
     rows = rows.repartition("src", "ord")
     files = rows.filter(F.size("cells") > 0).groupBy("src", "ord").agg(F.min("file").alias("file"))  # apart, as a text would keep the sums below from hashing
-    each = rows.select("src", "ord", F.xxhash64("row").alias("h"), F.explode("cells").alias("name", "text"))
-    # distinct texts first, so that each is looked at once: how often, and the least hashes of their rows
-    least = lambda of: [F.min(of(i)).alias(f"c{i}") for i in range(SEEDS)]
-    written = each.groupBy("src", "ord", "name", "text").agg(F.count("*").alias("n"), *least(lambda i: F.hash("h", F.lit(i))))
-    t = F.lower(bare_number(F.col("text")))
-    written = written.select("src", "ord", "name", "n", *[f"c{i}" for i in range(SEEDS)], F.lower(F.trim("text")).alias("plain"), F.when(t != "", t).alias("t"))
-    rank = F.when(F.col("plain").rlike(r"^[+-]?\d+$"), 0).when(F.col("plain").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), 1).otherwise(2)
-    values = written.withColumns({"rank": F.when(F.col("t").isNotNull(), rank), "v": F.coalesce(F.col("t").try_cast("double").cast("string"), "t")})
-    values = values.groupBy("src", "ord", "name", "v").agg(F.max("rank").alias("rank"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("n"), *least(lambda i: F.col(f"c{i}")))
-    filled = lambda c: F.when(F.col("v").isNotNull(), c)
-    shared = F.bit_xor(filled(F.xxhash64(*[f"c{i}" for i in range(SEEDS)])))
-    minima = [F.min(filled(F.hash("v", f"c{i % SEEDS}", F.lit(i)))).alias(f"m{i}") for i in range(MINIMA)]
-    per = values.groupBy("src", "ord", "name").agg(F.max("rank").alias("rank"), F.sum("n").alias("filled"), F.count("v").alias("distinct"), shared.alias("classes"), *minima)
+    each = rows.select("src", "ord", "row", F.explode("cells").alias("name", "text"))
+    text = F.lower(F.trim("text"))
+    each = each.select("src", "ord", "row", "name", F.when(text != "", text).alias("t"))
+    rank = F.when(F.col("t").rlike(r"^[+-]?\d+$"), 0).when(F.col("t").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), 1).otherwise(F.when(F.col("t").isNotNull(), 2))
+    bare = bare_number(F.col("t"))
+    each = each.select("src", "ord", "name", rank.alias("rank"), F.coalesce(bare.try_cast("double").cast("string"), bare).alias("v"), F.xxhash64("row").alias("h"))
+    each = each.withColumn("hv", F.when(F.col("v").isNotNull(), F.xxhash64("h", "v")))
+    own = [F.min(F.hash("h", F.lit(i))).alias(f"c{i}") for i in range(SEEDS)] + [F.min(F.when(F.col("hv").isNotNull(), F.hash("hv", F.lit(i)))).alias(f"m{i}") for i in range(MINIMA)]
+    values = each.groupBy("src", "ord", "name", "v").agg(F.max("rank").alias("rank"), F.count("v").alias("n"), *own)
+    shared = F.bit_xor(F.when(F.col("v").isNotNull(), F.xxhash64(*[f"c{i}" for i in range(SEEDS)])))
+    per = values.groupBy("src", "ord", "name").agg(F.max("rank").alias("rank"), F.sum("n").alias("filled"), F.count("v").alias("distinct"), shared.alias("classes"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)])
     kind = F.when(F.col("rank") == 0, "integer").when(F.col("rank") == 1, "fractional").when(F.col("rank") == 2, "text")
     column = F.struct("name", kind.alias("type"), "filled", "distinct", "classes", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("minima"))
     sheets = per.groupBy("src", "ord").agg(F.sort_array(F.collect_list(column)).alias("columns")).join(files, ["src", "ord"])
