@@ -152,6 +152,9 @@ class Rewriter:
         import ahocorasick
 
         self.plain = not any(k.isascii() for k in to)  # no ASCII text has anything to rewrite
+        # what every member has: itself, or its first mark; texts without need no walk
+        telling = sorted({k if len(k) == 1 else k[1] for k in to})
+        self.member = re.compile("[" + "".join(map(re.escape, telling)) + "]") if telling else re.compile(r"(?!)")
         self.automaton = ahocorasick.Automaton()
         for k, v in to.items():
             self.automaton.add_word(k, (len(k), v))
@@ -169,6 +172,8 @@ class Rewriter:
         return self._rewrite(unicodedata.normalize("NFC", text))
 
     def _rewrite(self, text: str) -> str:
+        if not self.member.search(text):
+            return text
         out, at = [], 0
         for end, (size, to) in self.automaton.iter_long(text):
             start = end + 1 - size
