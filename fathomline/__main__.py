@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .functions.scalars import iso_timestamp, parse_iso
 from .operators import catalog as C
@@ -32,9 +33,10 @@ def load_or_build(spark: SparkSession, folder: str, path: str, system: str, over
     """The catalog at ``path``, brought up to date with the folder's files; built where it can't be read. Known files aren't opened."""
     try:
         known = read_catalog(spark, path, system=system) if not overwrite else None
-    except AnalysisException:
+        known = None if known is None or known.isEmpty() else known
+    except (PySparkException, Py4JJavaError):  # not there, or broken: it is built anew
         known = None
-    if known is None or known.isEmpty():
+    if known is None:
         write_catalog(described(spark, folder, system, None, opener), path)
         return read_catalog(spark, path, system=system)
     rows = C.append(C.with_columns(known, "system"), described(spark, folder, system, known, opener), ["file", "first_sample"], ["begin_us"])

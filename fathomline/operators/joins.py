@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], bucket_us: int, on: list[str] | None = None, closed: bool = False) -> DataFrame:
@@ -21,6 +22,29 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return pairs.filter((F.col("_cell") == F.greatest("_lo", "_ro")) & meet).drop("_cell", "_lo", "_ro")
 
 
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], shard_us: int = 3_600_000_000) -> DataFrame:
+    """Left rows with the ``values`` of the latest right row of the same ``on`` at or before them, null where there is none.
+
+    Of right rows of one time the one with the greatest values holds. Both sides
+    are ordered together inside (on, time shard); one row a shard carries its
+    last right row to the shards after it.
+    """
+    shard = lambda t: F.floor(t / F.lit(shard_us)).cast("bigint")
+    a = left.select(*on, F.col(left_time).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"))
+    b = right.select(*on, F.col(right_time).alias("_t"), F.lit(0).alias("_left"), F.struct(*values).alias("_val"))
+    rows = a.unionByName(b, allowMissingColumns=True).filter("_t is not null").withColumn("_shard", shard(F.col("_t")))
+    inside = Window.partitionBy(*on, "_shard").orderBy("_t", "_left", "_val")
+    rows = rows.withColumns({"_seen": F.last("_val", ignorenulls=True).over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    across = Window.partitionBy(*[f"_k{i}" for i in range(len(on))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.filter("_end").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], F.col("_shard").alias("_s"), F.col("_seen").alias("_last"))
+    ends = ends.withColumn("_carry", F.last("_last", ignorenulls=True).over(across)).drop("_last")
+    cond = rows["_shard"] == ends["_s"]
+    for i, k in enumerate(on):
+        cond = cond & rows[k].eqNullSafe(ends[f"_k{i}"])
+    out = rows.filter("_left = 1").join(ends, cond, "left").select("_row", F.coalesce("_seen", "_carry").alias("_found"))
+    return out.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on a sphere of 6371.0088 km."""
     a1, a2 = F.radians(lat1), F.radians(lat2)

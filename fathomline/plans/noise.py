@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as S
 from ..functions.filters import bandpass
 from ..functions.spectral import xcorr
+from ..operators.joins import interval_join
 from ..operators.traces import joined_blocks, subtract_common_mode
 
 
@@ -69,6 +72,42 @@ def dataset_stack(stacks: DataFrame) -> DataFrame:
     return array_mean(stacks.select("ch1", "ch2", F.col("nseg").alias("_k"), "cc"), ["ch1", "ch2"], "cc", F.col("_k"), "nseg")
 
 
+def stacking_windows(segmented: DataFrame, key: str, window_us: int, begin_us: int | None = None, end_us: int | None = None) -> DataFrame:
+    """(key, segment_id, chunk, window_begin, window_end): windows of one length that start anew with each segment, within [begin_us, end_us)."""
+    spans = segmented.groupBy(key, "segment_id").agg(F.min("begin_us").alias("_b"), (F.max("end_us") + F.rint(F.lit(1e6) / F.max("fs")).cast("bigint")).alias("_e"))
+    lo = F.greatest("_b", F.lit(begin_us).cast("bigint")) if begin_us is not None else F.col("_b")
+    hi = F.least("_e", F.lit(end_us).cast("bigint")) if end_us is not None else F.col("_e")
+    spans = spans.select(key, "segment_id", lo.alias("_b"), hi.alias("_e")).filter("_e > _b")
+    spans = spans.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil((F.col("_e") - F.col("_b")) / F.lit(window_us)).cast("bigint") - 1)))
+    begin = F.col("_b") + F.col("_k") * window_us
+    return spans.select(key, "segment_id", F.concat_ws(":", key, "segment_id", "_k").alias("chunk"), begin.alias("window_begin"), F.least(begin + window_us, "_e").alias("window_end"))
+
+
+def read_chunks(segmented: DataFrame, windows: DataFrame, key: str, reader: Callable[[DataFrame], DataFrame], window_us: int) -> DataFrame:
+    """(chunk, channel, samples) of each window, read from its files; ``reader`` as in ``recordings.read_range``. Rows of a segment follow each other as they are."""
+    rows = segmented.withColumn("_stop", (F.col("begin_us") + F.col("nt") * 1e6 / F.col("fs")).cast("bigint"))
+    parts = interval_join(rows, windows, ("begin_us", "_stop"), ("window_begin", "window_end"), window_us, [key, "segment_id"])
+    dt = F.lit(1e6) / F.col("fs")
+    lo, hi = F.greatest("begin_us", "window_begin"), F.least(F.col("begin_us") + F.col("nt") * dt, F.col("window_end").cast("double"))
+    parts = parts.select("chunk", "file", "begin_us", (F.col("first_sample") + F.rint((lo - F.col("begin_us")) / dt).cast("bigint")).alias("first_sample"), F.rint((hi - lo) / dt).cast("bigint").alias("nt")).filter("nt > 0")
+    parts = parts.withColumn("slice", F.concat_ws(":", "first_sample", "nt"))
+    traces = reader(parts.select("file", "first_sample", "nt").distinct()).select("file", "slice", "channel", "samples")
+    whole = parts.join(traces, ["file", "slice"]).groupBy("chunk", "channel").agg(F.array_sort(F.collect_list(F.struct("begin_us", "first_sample", "samples"))).alias("_p"))
+    return whole.select("chunk", "channel", F.flatten(F.col("_p.samples")).alias("samples"))
+
+
+def catalog_stack(segmented: DataFrame, key: str, pairs: DataFrame, reader: Callable[[DataFrame], DataFrame], dt: float, window_us: int, n: int, max_lag: int, begin_us: int | None = None, end_us: int | None = None, prep: dict | None = None, **options) -> DataFrame:
+    """Mean correlation of channel pairs (ch1, ch2) over a whole catalog: (ch1, ch2, nseg, cc).
+
+    Windows start anew with each segment, so none spans a gap; each is read,
+    prepared by ``prepare`` with ``prep``, cut into pieces of ``n`` samples and
+    correlated; the stacks of all windows are weighted by their pieces.
+    """
+    chunks = read_chunks(segmented, stacking_windows(segmented, key, window_us, begin_us, end_us), key, reader, window_us)
+    ready = prepare(chunks, ["chunk", "channel"], "chunk", dt, **(prep or {}))
+    return dataset_stack(stack(pair_traces(ready, pairs, "chunk"), ["chunk"], n, max_lag, **options))
+
+
 def lag_table(stacks: DataFrame, keys: list[str], max_lag: int, fs: float) -> DataFrame:
     """Long form: (keys, lag, lag_s, cc)."""
     return stacks.select(*keys, F.posexplode("cc").alias("_i", "cc")).select(*keys, (F.col("_i") - max_lag).alias("lag"), ((F.col("_i") - max_lag) / F.lit(fs)).alias("lag_s"), "cc")

@@ -419,6 +419,15 @@ def status_counts(spark, sf):
     return E.status_counts(E.extract_status(ev, E.extract_plan(ev, files, BEFORE_US, AFTER_US), done))
 
 
+@query("""WITH p AS (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+  SELECT e.event_id, p.seen AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def asof_purchases(spark, sf):
+    """Every error with its user's latest purchase at or before it."""
+    rows = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    errors, bought = rows.filter("event_type = 'error'").select("event_id", "user_id", "us"), rows.filter("event_type = 'purchase'").select("user_id", F.col("us").alias("at"), F.col("event_id").alias("purchase_id"))
+    return J.asof_join(errors, bought, ["user_id"], "us", "at", ["purchase_id"], 30 * C.DAY_US).select("event_id", "purchase_id")
+
+
 def _located(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "das_channels").filter("run_id is not null and index_raw is not null and lat is not null and lon is not null").groupBy("run_id", "index_raw").agg(F.min_by(F.struct("lat", "lon"), "chan_id").alias("p")).select("run_id", "index_raw", "p.*")
 
@@ -590,18 +599,10 @@ def strain_factors(spark, sf):
     return table(spark, sf, "das_traces").select("trace_id", F.round(factor * 1e9, 6).alias("nano"))
 
 
-@query("""WITH w AS (SELECT row_id, 1092616192 + row_id * 65537 AS word FROM das_catalog), p AS (SELECT row_id, word & 4294967295 AS w FROM w)
-  SELECT row_id, round((1 - 2 * (w >> 31)) * ((w & 16777215) / 16777216.0) * pow(16.0, ((w >> 24) & 127) - 64), 6) AS v FROM p WHERE ((w >> 24) & 127) < 70""")
-def ibm_words(spark, sf):
-    w = F.lit(1_092_616_192) + F.col("row_id") * 65537
-    rows = table(spark, sf, "das_catalog").withColumn("w", w.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return rows.filter(F.shiftright("w", 24).bitwiseAND(F.lit(127)) < 70).select("row_id", F.round(K.ibm_float(F.col("w")), 6).alias("v"))
-
-
 @query("""WITH w AS (SELECT row_id, (1092616192 + row_id * 65537) & 4294967295 AS w FROM das_catalog)
   SELECT row_id, CAST((w >> 24) & 127 AS BIGINT) AS power, round((1 - 2 * (w >> 31)) * ((w & 16777215) / 16777216.0), 9) AS fraction FROM w""")
-def ibm_words_all(spark, sf):
-    """The words of ibm_words whatever their exponent: values as shares of 16^(power - 64)."""
+def ibm_words(spark, sf):
+    """Words of every exponent: values as shares of 16^(power - 64)."""
     w = F.lit(1_092_616_192) + F.col("row_id") * 65537
     rows = table(spark, sf, "das_catalog").withColumn("w", w.bitwiseAND(F.lit(0xFFFFFFFF)))
     power = F.floor(F.col("w") / F.lit(1 << 24)) % 128

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.catalog import keep_last
@@ -72,6 +72,38 @@ def ready_windows(stream: DataFrame, key: str, length_us: int) -> DataFrame:
     return stream.select(key, "begin_us").groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def sessions(stream: DataFrame, key: str, gap_factor: float = 1.5) -> DataFrame:
+    """Segments as sessions, each given out once the row that ends it has come: (key, begin_us, end_us, n_rows).
+
+    A session ends where fs or nx change, or the step to the next row differs
+    from one spacing by more than ``gap_factor`` spacings. Rows of a batch may come
+    in any order; a row before the open session's last begin is late and dropped.
+    State per key: the open session.
+    """
+    kind = stream.schema[key].dataType
+    out = StructType([StructField(key, kind), StructField("begin_us", LongType()), StructField("end_us", LongType()), StructField("n_rows", LongType())])
+    kept = StructType([StructField(c, LongType()) for c in ("begin_us", "end_us", "last_us", "nx", "n_rows")] + [StructField("fs", DoubleType())])
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = list(state.get) if state.exists else None
+        found = []
+        for b, e, nx, fs in sorted((int(b), int(e), int(n), float(f)) for x in frames for b, e, n, f in zip(x["begin_us"], x["end_us"], x["nx"], x["fs"], strict=True)):
+            if at and b < at[2]:
+                continue
+            spacing = 1e6 / at[5] if at else 0.0
+            if at and fs == at[5] and nx == at[3] and abs(b - at[1] - spacing) <= (gap_factor + 1e-5) * spacing:
+                at[1:3], at[4] = [e, b], at[4] + 1
+                continue
+            if at:
+                found.append((group[0], at[0], at[1], at[4]))
+            at = [b, e, b, nx, 1, fs]
+        if at:
+            state.update(tuple(at))
+        yield pd.DataFrame(found, columns=[f.name for f in out])
+
+    return stream.select(key, "begin_us", "end_us", "nx", "fs").groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def coverage_by_window(stream: DataFrame, key: str, time: str, late: str = "10 minutes", window: str = "1 minute") -> DataFrame:
     """Rows and samples that begin in each window of each key; rows later than ``late`` are dropped."""
     w = F.window(time, window)

@@ -107,6 +107,20 @@ def test_sharded_lag_and_runs(spark):
                 before = v
 
 
+def test_asof_join_finds_the_latest_row_at_or_before(spark):
+    rng = random.Random(11)
+    left = [(rng.choice(["a", "b", None]), rng.randint(0, 500), i) for i in range(150)]
+    right = [(rng.choice(["a", "b", "c"]), rng.randint(0, 500), rng.randint(0, 99)) for _ in range(40)]
+    a, b = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, at long, v long")
+    for shard in (7, 90, 10_000):
+        got = {r.i: r.v for r in J.asof_join(a, b, ["k"], "t", "at", ["v"], shard).collect()}
+        assert len(got) == 150
+        for k, t, i in left:
+            before = [(at, v) for k2, at, v in right if k2 == k and at <= t]
+            assert got[i] == (max(before)[1] if before else None), (shard, k, t)
+    assert J.asof_join(a, b.limit(0), ["k"], "t", "at", ["v"]).filter("v is not null").count() == 0
+
+
 def test_interval_join_gives_each_pair_once(spark):
     rng = random.Random(8)
     a = [(i, b, b + rng.choice([0, 5, 300])) for i in range(60) for b in [rng.randint(0, 2000)]]

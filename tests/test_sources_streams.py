@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline import __main__ as jobs
 from fathomline.operators import catalog as C
+from fathomline.plans import noise as N
 from fathomline.plans import recordings as R
 from fathomline.sources import hdf5, segy, tables
 from fathomline.streaming import incremental as I
@@ -200,6 +201,53 @@ def test_windows_are_given_out_once_ready(spark, tmp_path):
     assert flat == [(0, 25), (30, 55), (60, 85)]
 
 
+def test_sessions_are_given_out_once_ended(spark, tmp_path):
+    src, got = str(tmp_path / "in"), []
+    schema = "key string, begin_us long, end_us long, nx int, fs double"
+
+    def run():
+        q = I.sessions(spark.readStream.schema(schema).parquet(src), "key").writeStream.foreachBatch(lambda df, _: got.extend(sorted((r.begin_us, r.end_us, r.n_rows) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    row = lambda i, nx=4, at=0: ("k", at + i * 100_000, at + i * 100_000 + 90_000, nx, 100.0)
+    for rows in ([row(1), row(0)], [row(2), row(0)], [row(3, 5), row(4, 5)], [row(0, 5, 900_000)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    assert got == [(0, 290_000, 3), (300_000, 490_000, 2)]
+
+
+def test_a_broken_catalog_is_built_anew(spark, tmp_path):
+    H.save(tmp_path / "in" / "f.h5", H.apsensing())
+    for name in ("c.csv", "c.parquet"):
+        (tmp_path / name).write_bytes(b"")
+        assert jobs.load_or_build(spark, str(tmp_path / "in"), str(tmp_path / name), "APSensing", opener=H.opener).count() == 1
+
+
+def test_stacks_over_a_catalog(spark, tmp_path):
+    """Windows start anew with each segment; the stack is the mean over all pieces of all windows."""
+    rng = np.random.default_rng(3)
+    runs = []
+    for at, n in ((0, 3), (20, 2)):  # two stretches of files of 2.56 s
+        whole = rng.normal(size=(4, 256 * n)).round(3)
+        for i in range(n):
+            f = H.optasense(1_700_000_000_000_000 + at * 1_000_000 + i * 2_560_000)
+            f["Acquisition/Raw[0]"].items_["RawData"] = H.Data(whole[:, 256 * i : 256 * (i + 1)])
+            H.save(tmp_path / f"f{at}_{i}.h5", f)
+        runs.append(whole.astype(np.float32).astype(float))
+    seg = C.segments(jobs.described(spark, str(tmp_path), "OptaSense", None, H.opener).withColumn("key", F.lit("k")), "key")
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "ch1 int, ch2 int")
+    prep = {"common_mode": False, "detrended": False, "normalise": False}
+    got = {(r.ch1, r.ch2): r for r in N.catalog_stack(seg, "key", pairs, R.file_reader("OptaSense", opener=H.opener), 0.01, 3_000_000, 100, 10, prep=prep).collect()}
+    pieces = []
+    for whole in runs:
+        for a in range(0, whole.shape[1], 300):
+            part = np.gradient(whole[:, a : a + 300], 0.01, axis=1)
+            pieces += [part[:, i : i + 100] for i in range(0, part.shape[1] // 100 * 100, 100)]
+    for (i, j), r in got.items():
+        want = np.mean([[np.sum(p[i, max(0, -k) : 100 - max(0, k)] * p[j, max(0, k) : 100 + min(0, k)]) for k in range(-10, 11)] for p in pieces], axis=0)
+        assert r.nseg == len(pieces) == 12 and np.allclose(r.cc, want, rtol=1e-6, atol=1e-6 * np.abs(want).max())
+
+
 def test_jobs(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"f{i}.segy").write_bytes(segy.encode_file(DATA, 12_500, (2023, 318, 22, 13, 20 + i)))
