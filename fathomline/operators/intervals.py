@@ -24,55 +24,46 @@ SHARD_US = 3_600_000_000
 BLOCK = 512
 
 
-def _stitched(df: DataFrame, key: Column, begin: Column, end: Column, tolerance: Column, shard_us: int, block: int) -> DataFrame:
-    """Per (key, block): fb, last(e, tol), gaps, in which each gap has been found once."""
+def _levels(df: DataFrame, key: Column, begin: Column, end: Column, tolerance: Column, shard_us: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(gaps, blocks): rows (k, f, t), in which each gap has been found once; and per (key, block) fb, last(e, tol)."""
     rows = df.select(key.alias("k"), begin.cast("bigint").alias("b"), end.cast("bigint").alias("e"), F.coalesce(tolerance.cast("double"), F.lit(0.0)).alias("tol"))
     rows = rows.filter("k is not null and b is not null and e >= b")
     div = lambda c: F.floor(F.col(c) / F.lit(shard_us)).cast("bigint")
     rows = rows.withColumn("s", F.explode(F.sequence(div("b"), div("e"))))
     rows = rows.select("k", "s", F.greatest("b", F.col("s") * shard_us).alias("b"), F.least("e", (F.col("s") + 1) * shard_us).alias("e"), "tol")
+    # summaries are combined on the map side; the gaps inside shards need the rows themselves
+    summary = (F.min("b").alias("fb"), F.max(F.struct("e", "tol")).alias("last"))
+    shards = rows.groupBy("k", "s").agg(*summary).withColumn("bl", F.floor(F.col("s") / F.lit(block)).cast("bigint"))
+    blocks = shards.groupBy("k", "bl").agg(F.min("fb").alias("fb"), F.max("last").alias("last"))
 
     so_far = Window.partitionBy("k", "s").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("p", F.max(F.struct("e", "tol")).over(so_far))
-    gap = F.when(F.col("b") - F.col("p.e") > F.col("p.tol"), F.struct(F.col("p.e").alias("f"), F.col("b").alias("t")))
-    shards = rows.withColumn("g", gap).groupBy("k", "s").agg(F.min("b").alias("fb"), F.max(F.struct("e", "tol")).alias("last"), F.collect_list("g").alias("gaps"))
+    inside = _between(rows.withColumn("p", F.max(F.struct("e", "tol")).over(so_far)), "b")
+    shards = shards.withColumn("p", F.lag("last").over(Window.partitionBy("k", "bl").orderBy("s")))
+    across = _between(shards, "fb")
+    ends = _between(blocks.withColumn("p", F.lag("last").over(Window.partitionBy("k").orderBy("bl"))), "fb")
+    return inside.unionByName(across).unionByName(ends), blocks
 
-    shards = shards.withColumn("bl", F.floor(F.col("s") / F.lit(block)).cast("bigint"))
-    shards = _join_ends(shards, Window.partitionBy("k", "bl").orderBy("s"))
-    blocks = shards.groupBy("k", "bl").agg(F.min("fb").alias("fb"), F.max("last").alias("last"), F.flatten(F.collect_list("gaps")).alias("gaps"))
-    return _join_ends(blocks, Window.partitionBy("k").orderBy("bl"))
 
-
-def _join_ends(df: DataFrame, w: Window) -> DataFrame:
-    """Adds the gap between a row and the row before it, if there is one, to ``gaps``."""
-    prev = F.lag("last").over(w)
-    df = df.withColumn("p", prev)
-    gap = F.struct(F.col("p.e").alias("f"), F.col("fb").alias("t"))
-    found = F.when(F.col("fb") - F.col("p.e") > F.col("p.tol"), F.concat(F.array(gap), "gaps")).otherwise(F.col("gaps"))
-    return df.withColumn("gaps", found).drop("p")
+def _between(df: DataFrame, begin: str) -> DataFrame:
+    """The gap between a row's begin and the latest end ``p`` before it, where there is one."""
+    return df.filter(F.col(begin) - F.col("p.e") > F.col("p.tol")).select("k", F.col("p.e").alias("f"), F.col(begin).alias("t"))
 
 
 def coverage_gaps(df: DataFrame, key: str, begin: Column, end: Column, tolerance: Column, shard_us: int = SHARD_US, block: int = BLOCK) -> DataFrame:
     """Gaps per entity: (key, gap_from_us, gap_to_us), wider than the tolerance of the row with the latest end."""
-    out = _stitched(df, F.col(key), begin, end, tolerance, shard_us, block)
-    return out.select(F.col("k").alias(key), F.explode("gaps").alias("g")).select(key, F.col("g.f").alias("gap_from_us"), F.col("g.t").alias("gap_to_us"))
+    gaps, _ = _levels(df, F.col(key), begin, end, tolerance, shard_us, block)
+    return gaps.select(F.col("k").alias(key), F.col("f").alias("gap_from_us"), F.col("t").alias("gap_to_us"))
 
 
 def coverage_periods(df: DataFrame, key: str, begin: Column, end: Column, tolerance: Column, shard_us: int = SHARD_US, block: int = BLOCK) -> DataFrame:
     """Continuous periods per entity: (key, period_from_us, period_to_us).
 
-    Periods are coalesced per block; the last period of a block goes on in the
-    next one unless a gap lies between them.
+    A period begins with the entity or after a gap, and ends with a gap or the
+    entity; each end is paired with the begin before it, shard by shard.
     """
-    out = _stitched(df, F.col(key), begin, end, tolerance, shard_us, block)
-    w = Window.partitionBy("k").orderBy("bl")
-    # a block's gaps in time order; its first one may lie before its own first begin
-    out = out.withColumn("gaps", F.array_sort("gaps")).withColumn("first_block", F.lag("bl").over(w).isNull()).withColumn("next", F.lead("fb").over(w))
-    # each period starts at the entity's first begin or where a gap ends
-    starts = F.concat(F.when(F.col("first_block"), F.array(F.col("fb"))).otherwise(F.array().cast("array<bigint>")), F.transform("gaps", lambda g: g["t"]))
-    ends = F.concat(F.transform("gaps", lambda g: g["f"]), F.when(F.col("next").isNull(), F.array(F.col("last.e"))).otherwise(F.array().cast("array<bigint>")))
-    marks = out.select("k", "bl", F.explode(F.concat(F.transform(starts, lambda t: F.struct(t.alias("t"), F.lit(1).alias("open"))), F.transform(ends, lambda t: F.struct(t.alias("t"), F.lit(0).alias("open"))))).alias("m"))
-    marks = marks.select("k", "bl", F.col("m.t").alias("t"), F.col("m.open").alias("open"))
-    # a period's end and its start may lie in two blocks: lag over the marks, block by block
+    gaps, blocks = _levels(df, F.col(key), begin, end, tolerance, shard_us, block)
+    whole = blocks.groupBy("k").agg(F.max("last")["e"].alias("f"), F.min("fb").alias("t"))
+    mark = lambda t, o: F.struct(F.col(t).alias("t"), F.lit(o).alias("open"))
+    marks = gaps.unionByName(whole).select("k", F.inline(F.array(mark("t", 1), mark("f", 0))))
     pairs = sharded_lag(marks.withColumn("o", -F.col("open")), ["k"], F.floor(F.col("t") / F.lit(shard_us * block)).cast("bigint"), ["t", "o"], ["t", "open"])
     return pairs.filter("open = 0 and prev.open = 1").select(F.col("k").alias(key), F.col("prev.t").alias("period_from_us"), F.col("t").alias("period_to_us"))
