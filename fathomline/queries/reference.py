@@ -6,6 +6,8 @@ chunk, 100 Hz), ``das_catalog`` and ``events`` for catalogs of files.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,23 +193,35 @@ def wiggle_norm(spark, sf):
     return _long(_traces(spark, sf), S.peak_scaled(F.col("samples")))
 
 
-def _recursion(f: float) -> str:
-    from ..functions.filters import sections
+def _second_order(f: float, high_pass: bool) -> tuple[float, ...]:
+    """Two Butterworth poles with the corner at ``f`` cycles per sample, by the textbook's w = 2 tan(pi f) and s = 2 (1 - z) / (1 + z)."""
+    w = 2 * math.tan(math.pi * f)
+    a0 = 4 + 2 * math.sqrt(2) * w + w * w
+    b = (4.0, -8.0, 4.0) if high_pass else (w * w, 2 * w * w, w * w)
+    return (*(v / a0 for v in b), (2 * w * w - 8) / a0, (4 - 2 * math.sqrt(2) * w + w * w) / a0)
+
 
-    ((b0, b1, b2, a1, a2),) = sections(f, 2, False)
-    step = f"({b0!r}) * n.x + ({b1!r}) * p.x1 + ({b2!r}) * p.x2 - ({a1!r}) * p.y1 - ({a2!r}) * p.y2"
-    walk = lambda name, src: f"""{name} AS (SELECT channel, it, ({b0!r}) * x AS y1, 0.0::DOUBLE AS y2, x AS x1, 0.0::DOUBLE AS x2 FROM {src} WHERE it = 0
-      UNION ALL SELECT n.channel, n.it, {step}, p.y1, n.x, p.x1 FROM {name} p JOIN {src} n ON n.channel = p.channel AND n.it = p.it + 1)"""
-    return f"""WITH RECURSIVE {S_SQL}, {walk("f", "s")}, n AS (SELECT channel, max(it) AS top FROM s GROUP BY channel), g AS (SELECT f.channel, CAST(top - it AS INT) AS it, y1 AS x FROM f JOIN n USING (channel)), {walk("h", "g")}
-      SELECT h.channel, CAST(top - it AS INT) AS it, round(y1, 6) + 0.0 AS y FROM h JOIN n USING (channel)"""
+def _recursion(*corners: tuple[float, bool]) -> str:
+    """Each filter forward and backward, from rest, as recursions over the samples."""
+    ctes, src = [S_SQL, "n AS (SELECT channel, max(it) AS top FROM s GROUP BY channel)"], "s"
+    for i, (f, high_pass) in enumerate(corners):
+        b0, b1, b2, a1, a2 = _second_order(f, high_pass)
+        step = f"({b0!r}) * n.x + ({b1!r}) * p.x1 + ({b2!r}) * p.x2 - ({a1!r}) * p.y1 - ({a2!r}) * p.y2"
+        for way in ("ahead", "back"):
+            name = f"{way}{i}"
+            ctes.append(f"""{name} AS (SELECT channel, it, ({b0!r}) * x AS y1, 0.0::DOUBLE AS y2, x AS x1, 0.0::DOUBLE AS x2 FROM {src} WHERE it = 0
+      UNION ALL SELECT n.channel, n.it, {step}, p.y1, n.x, p.x1 FROM {name} p JOIN {src} n ON n.channel = p.channel AND n.it = p.it + 1)""")
+            ctes.append(f"turned_{name} AS (SELECT channel, CAST(top - it AS INT) AS it, y1 AS x FROM {name} JOIN n USING (channel))")
+            src = f"turned_{name}"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT channel, it, round(x, 6) + 0.0 AS y FROM {src}"
 
 
-@query(_recursion(0.1))
+@query(_recursion((0.1, False)))
 def lowpass_o4(spark, sf):
     return _long(_traces(spark, sf), bandpass(0.0, 10.0, DT, order=4)(S.doubles(F.col("samples"))))
 
 
-@query()
+@query(_recursion((0.02, True), (0.1, False)))
 def bandpass_o4(spark, sf):
     return _long(_traces(spark, sf), bandpass(2.0, 10.0, DT, order=4)(S.doubles(F.col("samples"))))
 
