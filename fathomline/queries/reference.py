@@ -193,45 +193,50 @@ def wiggle_norm(spark, sf):
     return _long(_traces(spark, sf), S.peak_scaled(F.col("samples")))
 
 
-def _second_order(f: float, high_pass: bool) -> tuple[float, ...]:
-    """Two Butterworth poles with the corner at ``f`` cycles per sample, by the textbook's w = 2 tan(pi f) and s = 2 (1 - z) / (1 + z)."""
+def _butterworth(f: float, poles: int, high_pass: bool = False) -> list[tuple[float, ...]]:
+    """Sections (b0, b1, b2, a1, a2) with the corner at ``f`` cycles per sample, by the textbook's w = 2 tan(pi f) and s = 2 (1 - z) / (1 + z)."""
     w = 2 * math.tan(math.pi * f)
-    a0 = 4 + 2 * math.sqrt(2) * w + w * w
-    b = (4.0, -8.0, 4.0) if high_pass else (w * w, 2 * w * w, w * w)
-    return (*(v / a0 for v in b), (2 * w * w - 8) / a0, (4 - 2 * math.sqrt(2) * w + w * w) / a0)
+    out = [(w / (2 + w), w / (2 + w), 0.0, (w - 2) / (w + 2), 0.0)] if poles % 2 else []
+    for k in range(poles // 2):
+        damp = 4 * w * math.sin(math.pi * (2 * k + 1) / (2 * poles))
+        a0 = 4 + damp + w * w
+        b = (4.0, -8.0, 4.0) if high_pass else (w * w, 2 * w * w, w * w)
+        out.append((*(v / a0 for v in b), (2 * w * w - 8) / a0, (4 - damp + w * w) / a0))
+    return out
 
 
-def _recursion(*corners: tuple[float, bool]) -> str:
-    """Each filter forward and backward, from rest, as recursions over the samples."""
+def _recursion(*filters: list[tuple[float, ...]], step: int = 1) -> str:
+    """Each filter's sections forward, then backward, from rest, as recursions over the samples; every ``step``-th sample of the result."""
     ctes, src = [S_SQL, "n AS (SELECT channel, max(it) AS top FROM s GROUP BY channel)"], "s"
-    for i, (f, high_pass) in enumerate(corners):
-        b0, b1, b2, a1, a2 = _second_order(f, high_pass)
-        step = f"({b0!r}) * n.x + ({b1!r}) * p.x1 + ({b2!r}) * p.x2 - ({a1!r}) * p.y1 - ({a2!r}) * p.y2"
+    for i, sections in enumerate(filters):
         for way in ("ahead", "back"):
-            name = f"{way}{i}"
-            ctes.append(f"""{name} AS (SELECT channel, it, ({b0!r}) * x AS y1, 0.0::DOUBLE AS y2, x AS x1, 0.0::DOUBLE AS x2 FROM {src} WHERE it = 0
-      UNION ALL SELECT n.channel, n.it, {step}, p.y1, n.x, p.x1 FROM {name} p JOIN {src} n ON n.channel = p.channel AND n.it = p.it + 1)""")
-            ctes.append(f"turned_{name} AS (SELECT channel, CAST(top - it AS INT) AS it, y1 AS x FROM {name} JOIN n USING (channel))")
-            src = f"turned_{name}"
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT channel, it, round(x, 6) + 0.0 AS y FROM {src}"
-
-
-@query(_recursion((0.1, False)))
+            for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+                name = f"{way}{i}_{k}"
+                value = f"({b0!r}) * n.x + ({b1!r}) * p.x1 + ({b2!r}) * p.x2 - ({a1!r}) * p.y1 - ({a2!r}) * p.y2"
+                ctes.append(f"""{name} AS (SELECT channel, it, ({b0!r}) * x AS y1, 0.0::DOUBLE AS y2, x AS x1, 0.0::DOUBLE AS x2 FROM {src} WHERE it = 0
+      UNION ALL SELECT n.channel, n.it, {value}, p.y1, n.x, p.x1 FROM {name} p JOIN {src} n ON n.channel = p.channel AND n.it = p.it + 1)""")
+                turn = k == len(sections) - 1
+                ctes.append(f"of_{name} AS (SELECT channel, {'CAST(top - it AS INT)' if turn else 'it'} AS it, y1 AS x FROM {name} JOIN n USING (channel))")
+                src = f"of_{name}"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT channel, CAST(it // {step} AS INT) AS it, round(x, 6) + 0.0 AS y FROM {src} WHERE it % {step} = 0"
+
+
+@query(_recursion(_butterworth(0.1, 2)))
 def lowpass_o4(spark, sf):
     return _long(_traces(spark, sf), bandpass(0.0, 10.0, DT, order=4)(S.doubles(F.col("samples"))))
 
 
-@query(_recursion((0.02, True), (0.1, False)))
+@query(_recursion(_butterworth(0.02, 2, True), _butterworth(0.1, 2)))
 def bandpass_o4(spark, sf):
     return _long(_traces(spark, sf), bandpass(2.0, 10.0, DT, order=4)(S.doubles(F.col("samples"))))
 
 
-@query()
+@query(_recursion(_butterworth(0.08, 4), step=5))
 def downsample_aa(spark, sf):
     return _long(_traces(spark, sf), downsample(5, DT)(S.doubles(F.col("samples"))))
 
 
-@query()
+@query(_recursion(_butterworth(0.04, 7), step=10))
 def desample_lowpass(spark, sf):
     return _long(_traces(spark, sf), desample(S.doubles(F.col("samples")), FS, 4.0))
 
