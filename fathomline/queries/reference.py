@@ -403,7 +403,10 @@ def intra_file_split(spark, sf):
     return C.stamp_runs(rows, ["run_id"], "us", "fs", "row_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, ends AS (SELECT run_id, segment_id, min(begin_us) AS b0, max(begin_us) AS bn FROM seg GROUP BY ALL),
+  nexts AS (SELECT DISTINCT run_id, segment_id, begin_us AS b, min(begin_us) OVER (PARTITION BY run_id, segment_id ORDER BY begin_us RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nb FROM seg),
+  chain AS (SELECT run_id, segment_id, b0 AS b, bn FROM ends UNION ALL SELECT c.run_id, c.segment_id, x.nb, c.bn FROM chain c JOIN nexts x ON x.run_id = c.run_id AND x.segment_id = c.segment_id AND x.b = c.b WHERE x.nb IS NOT NULL)
+  SELECT run_id, segment_id, b AS window_begin, b + 60000000 AS window_end FROM chain WHERE b + 60000000 <= bn""")
 def window_chain(spark, sf):
     return C.window_chain(_segmented(spark, sf), "run_id", MINUTE_US)
 
