@@ -27,7 +27,7 @@ from ..plans import noise as N
 from ..plans.desample import desample
 from ..plans.desample import desample_windows as desampled
 from ..session import table
-from .catalog_problems import RESOLVED
+from .catalog_problems import PATHS, RESOLVED
 
 DT, FS, T0 = 0.01, 100.0, -0.2
 BEGIN_US = 1_700_000_000_000_000
@@ -648,7 +648,7 @@ def segy_names(spark, sf):
     return table(spark, sf, "das_catalog").select("row_id", K.is_segy(F.col("file")).alias("segy"))
 
 
-@query()
+@query(f"WITH {RESOLVED}, {PATHS} SELECT row_id, file FROM named UNION ALL SELECT row_id, NULL FROM das_catalog WHERE file IS NULL")
 def file_names(spark, sf):
     """Every catalog row's file in its one spelling."""
     return table(spark, sf, "das_catalog").select("row_id", canonical_path(F.col("file")).alias("file"))
